@@ -6,8 +6,8 @@ second one in a quarter of the cases (1 / 0.8 children expected), and sends each
 minwise token there. The first ``depth`` levels are taken at once; nodes that then hold more than ``small`` classes
 branch again. Small nodes are compared exhaustively on 64-byte sketches. A node that no branching splits holds
 near copies: its members are linked to its smallest one. Candidates are confirmed on the full sets, confirmed links
-give components, and then every pair of a node whose components differ is compared and confirmed too, in blocks. So no
-pair that shares a node is left out, but pairs inside one component need not be made.
+give components, and then the components that share a node are compared with the node's main one and each other on full sets, in
+blocks. So no pair that shares a node is left out, but pairs inside one component need not be made.
 
 Nulls and edges: null and white-space-only texts have no shingles and link with nothing; rows with an equal doc_id
 are separate rows; a null doc_id counts as larger than all others and its component_id is the smallest one reached (null if none).
@@ -25,8 +25,11 @@ from sparkloom.llm.common import components, materialize
 from sparkloom.llm.shingles import WordHashes, mix, shingle_set, signature
 
 COORDINATES = 64
+#: Large nodes are broadcast by their 8-byte names up to this many (16 MB), else joined by a shuffle.
+BROADCAST_PATHS = 1_000_000
 NO_ID = np.iinfo(np.int64).max
 _FEATURES = "d long, n_shingles long, h1 long, h2 long, sig binary"
+_LINKS = "xd long, xh long, yd long, yh long"
 _PATHS = "path long, d long, h long, sk binary"
 
 
@@ -157,21 +160,53 @@ def _compare(cut: int):
     return run
 
 
-def _cross(cut: int):
-    """Within each block: pairs of one of the node's lesser components with any class of another component."""
+def _intersections(sets: list[np.ndarray], probes: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the probes with all sets: products of incidence matrices, some columns at a time."""
+    names, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = often > 1  # a shingle of one set only is in no intersection but its own
+    place = np.cumsum(shared) - 1
+    keep = shared[ids]
+    owner, column = owner[keep], place[ids[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(probes), len(sets)), np.float32)
+    for at in range(0, int(shared.sum()), 4096):
+        i, j = np.searchsorted(column, [at, at + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[owner[i:j], column[i:j] - at] = 1
+        some = np.flatnonzero(m[probes].any(axis=1))
+        used = np.flatnonzero(m[probes[some]].any(axis=0))
+        if len(some):
+            both[some] += m[np.ix_(probes[some], used)] @ m[:, used].T
+    return both.astype(np.int64)
+
+
+def _cross(percent: int):
+    """Within each block: links of one of the lesser components' classes with a class of another component.
+
+    Intersections of a class with all others of the block are counted at once on full sets; of the links found,
+    a spanning forest over the components is given.
+    """
 
     def run(batches):
         for t in _runs(batches, "block"):
             block, lesser = t.column("block").to_numpy(), np.asarray(t.column("lesser"))
-            sk, d, h, ld, lh = _table(t.column("sk"), np.uint8, COORDINATES), *(t.column(c).to_numpy() for c in ("d", "h", "ld", "lh"))
-            for run_ in np.split(np.arange(t.num_rows), np.flatnonzero(np.diff(block)) + 1):
-                found = []
-                for i in run_[lesser[run_]]:
-                    other = run_[(ld[run_] != ld[i]) | (lh[run_] != lh[i])]
-                    like = other[(sk[other] == sk[i]).sum(axis=1) >= cut]
-                    found.append(np.stack([np.full(len(like), i), like]))
+            d, h, ld, lh = (t.column(c).to_numpy() for c in ("d", "h", "ld", "lh"))
+            for rows in np.split(np.arange(t.num_rows), np.flatnonzero(np.diff(block)) + 1):
+                sets = [np.frombuffer(t.column("words")[i].as_py(), np.uint64) for i in rows]
+                size = np.array([len(s) for s in sets])
+                probes = np.flatnonzero(lesser[rows])
+                both = _intersections(sets, probes)
+                _, label = np.unique(np.stack([ld[rows], lh[rows]]), axis=1, return_inverse=True)
+                label, found = label.ravel(), []
+                for i, shared in zip(probes, both, strict=True):
+                    for j in np.flatnonzero((100 * shared >= percent * (size + size[i] - shared)) & (label != label[i])):
+                        if label[j] != label[i]:
+                            found.append((rows[i], rows[j]))
+                            label[label == label[j]] = label[i]
                 if found:
-                    i, j = np.concatenate(found, axis=1)
+                    i, j = np.array(found).T
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[i], h[i], d[j], h[j])], ["xd", "xh", "yd", "yh"])
 
     return run
@@ -213,7 +248,7 @@ def _confirm(percent: int):
 class NearDedup:
     """Parameters: words in a shingle, similarity in percent, trees, levels taken at once, classes in a small node."""
 
-    def __init__(self, words: int = 5, percent: int = 80, trees: int = 12, depth: int = 3, more: tuple[int, ...] = (2, 2), small: int = 64, block: int = 2000):
+    def __init__(self, words: int = 5, percent: int = 80, trees: int = 12, depth: int = 3, more: tuple[int, ...] = (2, 2), small: int = 64, block: int = 500):
         self.words, self.percent, self.trees, self.depth, self.more, self.small, self.block = words, percent, trees, depth, more, small, block
         p = percent / 100
         #: Equal sketch bytes that a pair at the bound falls short of about once in 30,000 times.
@@ -229,6 +264,7 @@ class NearDedup:
         for levels in (*self.more, 0):
             big = paths.groupBy("path").count().where(F.col("count") > self.small).select("path")
             big = materialize(big)
+            big = F.broadcast(big) if big.count() <= BROADCAST_PATHS else big
             leaves = paths.join(big, "path", "left_anti")
             found.append(materialize(leaves.repartition("path").sortWithinPartitions("path", "d", "h").mapInArrow(_compare(self.cut), "path long, d long, h long, yd long, yh long")))
             paths = paths.join(big, "path", "left_semi")
@@ -249,41 +285,43 @@ class NearDedup:
             pairs = pairs.unionByName(led.select(x.alias("x"), "y").where("x <> y"))
             members = members.unionByName(dense)
         pairs = materialize(pairs.distinct().select("x.*", "y").select(F.col("d").alias("xd"), F.col("h").alias("xh"), F.col("y.d").alias("yd"), F.col("y.h").alias("yh")))
-        links = materialize(self._confirmed(pairs, texts))
+        sets = self._sets(pairs, texts)
+        links = materialize(self._confirmed(pairs, sets))
         first_round = components(_edges(links))
         labelled = materialize(members.select("path", me.alias("node")).join(first_round, "node", "left").select("path", "node", F.coalesce("component", "node").alias("label")))
-        mixed = labelled.groupBy("path", "label").count().groupBy("path").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("rows")).where("labels > 1")
-        nodes = materialize(labelled.join(mixed, "path").withColumn("lesser", F.col("label") != F.col("main")))
-        if not nodes.isEmpty():
-            more = materialize(self._crossed(nodes, classes).join(pairs, ["xd", "xh", "yd", "yh"], "left_anti"))
-            if not more.isEmpty():
-                return rows, components(_edges(links.unionByName(self._confirmed(more, texts))))
-        return rows, first_round
-
-    def _crossed(self, nodes: DataFrame, classes: DataFrame) -> DataFrame:
-        """Candidate pairs across components; a node's lesser rows and all its rows are dealt to blocks of bounded size."""
-        sketch = classes.mapInArrow(_sketches, "d long, h long, sk binary").select(F.struct("d", "h").alias("node"), "sk")
-        size = nodes.groupBy("path").agg(F.sum(F.col("lesser").cast("long")).alias("few"))
-        n = nodes.join(size, "path").join(sketch, "node")
+        mixed = labelled.groupBy("path", "label").count().groupBy("path").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("rows"))
+        mixed = mixed.where("labels > 1 and rows > 2").select("path", "main")  # two rows alone have met already
+        near = materialize(labelled.select("path", "label").join(mixed, "path").where("label <> main").select("main", "label").distinct())
+        if near.isEmpty():
+            return rows, first_round
+        more = materialize(self._crossed(near, labelled.select("node", "label").distinct(), sets))
+        return rows, first_round if more.isEmpty() else components(_edges(links.unionByName(more)))
+
+    def _crossed(self, near: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links across components that share a node; rows are dealt to blocks of bounded size around the main component."""
+        mains = near.select("main").distinct().select("main", F.col("main").alias("label"), F.lit(False).alias("lesser"))
+        n = nodes.join(mains.unionByName(near.withColumn("lesser", F.lit(True))), "label")
+        size = n.groupBy("main").agg(F.sum(F.col("lesser").cast("long")).alias("few"), F.count(F.lit(1)).alias("all"))
         parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / self.block)).cast("int")
         spot = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-        n = n.withColumn("p", parts("few")).withColumn("q", parts("rows"))
-        own = n.where("lesser").withColumn("i", spot("p")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).withColumn("probe", F.lit(True))
-        all_ = n.withColumn("j", spot("q")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).withColumn("probe", F.lit(False))
-        cells = own.unionByName(all_).select(F.xxhash64("path", "i", "j").alias("block"), F.col("node.d").alias("d"), F.col("node.h").alias("h"), F.col("label.d").alias("ld"), F.col("label.h").alias("lh"), "sk", F.col("probe").alias("lesser"))
-        pairs = cells.repartition("block").sortWithinPartitions("block").mapInArrow(_cross(self.cut), "xd long, xh long, yd long, yh long")
-        swap = F.expr("xd < yd or (xd = yd and xh < yh)")
-        ordered = [F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("xd", "yd"), ("xh", "yh"))] + [F.when(swap, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("xd", "yd"), ("xh", "yh"))]
-        return pairs.select(*ordered).distinct()
-
-    def _confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The pairs whose full shingle sets are alike enough; the sets are made again, for classes in a pair only."""
+        n = n.join(size, "main").withColumn("p", parts("few")).withColumn("q", parts("all"))
+        own = n.where("lesser").withColumn("i", spot("p")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+        others = n.withColumn("j", spot("q")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).withColumn("lesser", F.lit(False))
+        cells = own.unionByName(others).select(F.xxhash64("main", "i", "j").alias("block"), F.col("node.d").alias("d"), F.col("node.h").alias("h"), F.col("label.d").alias("ld"), F.col("label.h").alias("lh"), "lesser")
+        cells = cells.join(sets, ["d", "h"])
+        return cells.repartition("block").sortWithinPartitions("block").mapInArrow(_cross(self.percent), _LINKS)
+
+    def _sets(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The full shingle sets, made again, of the classes that are in a pair."""
         wanted = pairs.select(F.col("xd").alias("d")).union(pairs.select("yd")).distinct()
         sets = texts.join(wanted, "d", "left_semi").mapInArrow(_sets(self.words), "d long, h long, words binary").where("h is not null")
-        sets = materialize(sets.groupBy("d", "h").agg(F.first("words").alias("words")))
+        return materialize(sets.groupBy("d", "h").agg(F.first("words").alias("words")))
+
+    def _confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs whose full shingle sets are alike enough."""
         both = pairs.join(sets.select(F.col("d").alias("xd"), F.col("h").alias("xh"), F.col("words").alias("xs")), ["xd", "xh"])
         both = both.join(sets.select(F.col("d").alias("yd"), F.col("h").alias("yh"), F.col("words").alias("ys")), ["yd", "yh"])
-        return both.select("xd", "xh", "yd", "yh", "xs", "ys").mapInArrow(_confirm(self.percent), "xd long, xh long, yd long, yh long")
+        return both.select("xd", "xh", "yd", "yh", "xs", "ys").mapInArrow(_confirm(self.percent), _LINKS)
 
     def classify(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id (smallest doc_id reachable), kept: one row for each row of ``docs``."""
@@ -297,13 +335,6 @@ class NearDedup:
         return out.select(real("d").alias("doc_id"), "n_shingles", real("c").alias("component_id"), F.coalesce(F.col("d") == F.col("c"), F.lit(False)).alias("kept"))
 
 
-def _sketches(batches):
-    for batch in batches:
-        if batch.num_rows:
-            sig = _table(batch.column("sig"), np.uint32, COORDINATES)
-            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), _binary(sig.astype(np.uint8))], ["d", "h", "sk"])
-
-
 def _edges(links: DataFrame) -> DataFrame:
     return links.select(F.struct(F.col("xd").alias("d"), F.col("xh").alias("h")).alias("a"), F.struct(F.col("yd").alias("d"), F.col("yh").alias("h")).alias("b"))
 
