@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from sparkloom.llm.chat import OP3_SQL, op3_chat_format
+from sparkloom.llm.mixing import op1_mixing, op1_sql
 from sparkloom.llm.near_dedup import op10_near_dedup
+from sparkloom.llm.url_filter import OP4_SQL, op4_url_filter
 
 
 def queries() -> dict:
-    found = [op10_near_dedup]
+    found = [op1_mixing, op3_chat_format, op4_url_filter, op10_near_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": op1_sql(), "op3_chat_format": OP3_SQL, "op4_url_filter": OP4_SQL}
