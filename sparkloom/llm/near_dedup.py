@@ -4,9 +4,9 @@ Texts with equal shingle sets form one class first, so exact copies never meet e
 independent trees starts with all classes at its root; a node picks one coordinate of the minwise signature, and a
 second one in a quarter of the cases (1 / 0.8 children expected), and sends each class to the child named by the
 minwise token there. The first ``depth`` levels are taken at once; nodes that then hold more than ``small`` classes
-branch again. Small nodes are compared exhaustively on 64-byte sketches. A node that no branching splits holds
-near copies: its members are linked to its smallest one. Candidates are confirmed on the full sets, confirmed links
-give components, and then the components that share a node are compared with the node's main one and each other on full sets, in
+branch again. Small nodes are compared exhaustively on 64-byte sketches: each class's candidate is the smaller one that it is
+most like. A node that no branching splits holds near copies: its smallest class is a candidate for all its members.
+Candidates are confirmed on the full sets, confirmed links give components, and then the components that share a node are compared with the node's main one and each other on full sets, in
 blocks. So no pair that shares a node is left out, but pairs inside one component need not be made.
 
 Nulls and edges: null and white-space-only texts have no shingles and link with nothing; rows with an equal doc_id
@@ -137,12 +137,12 @@ def _runs(batches, key: str):
 
 
 def _compare(cut: int):
-    """Within each path: for each class that is like another one, the smallest class that it is like."""
+    """Within each path: for each class that is like another one, the smaller class that it is most like, and how much."""
 
     def run(batches):
         for t in _runs(batches, "path"):
             path, sk, n = t.column("path").to_numpy(), _table(t.column("sk"), np.uint8, COORDINATES), t.num_rows
-            mate, flagged = np.arange(n), np.zeros(n, bool)
+            mate, best, flagged = np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)
             at = np.arange(n)
             for k in range(1, n):
                 at = at[at < n - k]
@@ -150,12 +150,14 @@ def _compare(cut: int):
                 if not len(at):
                     break
                 for part in np.array_split(at, max(1, len(at) // 20_000)):
-                    like = part[(sk[part] == sk[part + k]).sum(axis=1) >= cut]
-                    mate[like + k] = like
+                    same = (sk[part] == sk[part + k]).sum(axis=1)
+                    like = part[same >= cut]
                     flagged[like] = flagged[like + k] = True
+                    more = same[same >= cut] >= best[like + k]
+                    mate[like[more] + k], best[like[more] + k] = like[more], same[same >= cut][more]
             rows, d, h = np.flatnonzero(flagged), t.column("d").to_numpy(), t.column("h").to_numpy()
             m = mate[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (path[rows], d[rows], h[rows], d[m], h[m])], ["path", "d", "h", "yd", "yh"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (path[rows], d[rows], h[rows], d[m], h[m], best[rows])], ["path", "d", "h", "yd", "yh", "same"])
 
     return run
 
@@ -266,7 +268,7 @@ class NearDedup:
             big = materialize(big)
             big = F.broadcast(big) if big.count() <= BROADCAST_PATHS else big
             leaves = paths.join(big, "path", "left_anti")
-            found.append(materialize(leaves.repartition("path").sortWithinPartitions("path", "d", "h").mapInArrow(_compare(self.cut), "path long, d long, h long, yd long, yh long")))
+            found.append(materialize(leaves.repartition("path").sortWithinPartitions("path", "d", "h").mapInArrow(_compare(self.cut), "path long, d long, h long, yd long, yh long, same long")))
             paths = paths.join(big, "path", "left_semi")
             if big.isEmpty():
                 break
@@ -278,20 +280,23 @@ class NearDedup:
         for x in found[1:]:
             leaf = leaf.unionByName(x)
         x, y, me = F.struct(F.col("d").alias("d"), F.col("h").alias("h")), F.struct(F.col("yd").alias("d"), F.col("yh").alias("h")), F.struct("d", "h")
-        pairs, members = leaf.select(x.alias("x"), y.alias("y")).where("x <> y"), leaf.select("path", "d", "h")
+        nearest = leaf.where("same > 0").groupBy("d", "h").agg(F.max_by(y, F.struct("same", -F.col("yd"), "yh")).alias("y"))
+        pairs, members = nearest.select(x.alias("x"), "y"), leaf.select("path", "d", "h")
         if dense is not None:
             first = dense.groupBy("path").agg(F.min(me).alias("y"))
             led = dense.join(first, "path").groupBy("d", "h").agg(F.min("y").alias("y"))
             pairs = pairs.unionByName(led.select(x.alias("x"), "y").where("x <> y"))
             members = members.unionByName(dense)
         pairs = materialize(pairs.distinct().select("x.*", "y").select(F.col("d").alias("xd"), F.col("h").alias("xh"), F.col("y.d").alias("yd"), F.col("y.h").alias("yh")))
-        sets = self._sets(pairs, texts)
+        sets = self._sets(members, texts)
         links = materialize(self._confirmed(pairs, sets))
         first_round = components(_edges(links))
         labelled = materialize(members.select("path", me.alias("node")).join(first_round, "node", "left").select("path", "node", F.coalesce("component", "node").alias("label")))
-        mixed = labelled.groupBy("path", "label").count().groupBy("path").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("rows"))
-        mixed = mixed.where("labels > 1 and rows > 2").select("path", "main")  # two rows alone have met already
-        near = materialize(labelled.select("path", "label").join(mixed, "path").where("label <> main").select("main", "label").distinct())
+        size = labelled.select("node", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+        groups = labelled.groupBy("path", "label").count().join(size, "label")
+        mixed = groups.groupBy("path").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+        mixed = mixed.where("labels > 1").select("path", "main")
+        near = materialize(groups.select("path", "label").join(mixed, "path").where("label <> main").select("main", "label").distinct())
         if near.isEmpty():
             return rows, first_round
         more = materialize(self._crossed(near, labelled.select("node", "label").distinct(), sets))
@@ -311,9 +316,9 @@ class NearDedup:
         cells = cells.join(sets, ["d", "h"])
         return cells.repartition("block").sortWithinPartitions("block").mapInArrow(_cross(self.percent), _LINKS)
 
-    def _sets(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The full shingle sets, made again, of the classes that are in a pair."""
-        wanted = pairs.select(F.col("xd").alias("d")).union(pairs.select("yd")).distinct()
+    def _sets(self, members: DataFrame, texts: DataFrame) -> DataFrame:
+        """The full shingle sets, made again, of the classes that are like another one."""
+        wanted = members.select("d").distinct()
         sets = texts.join(wanted, "d", "left_semi").mapInArrow(_sets(self.words), "d long, h long, words binary").where("h is not null")
         return materialize(sets.groupBy("d", "h").agg(F.first("words").alias("words")))
 
