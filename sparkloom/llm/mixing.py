@@ -117,14 +117,14 @@ class Mixer:
         """The mix as documents: a row for each document and pass, of the words taken, white space between them kept."""
         streams = materialize(self.streams(docs))
         parts = self.segments(streams, self.slots(streams)).groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("parts"), F.sum("n").alias("taken"))
-        parts = streams.join(parts, "row").select(F.struct("doc_id", "source", "h").alias("key"), "size", "parts", "taken")
+        parts = streams.join(parts, "row").select(F.struct("doc_id", "source", "h").alias("_of"), F.col("size").alias("_size"), F.col("parts").alias("_parts"), F.col("taken").alias("_taken"))
         key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("h"))
         texts = docs.withColumn("_key", key).dropDuplicates(["_key"])  # rows that repeat have a part each
-        out = texts.join(parts, F.col("_key").eqNullSafe(F.col("key")))
+        out = texts.join(parts, F.col("_key").eqNullSafe(F.col("_of")))
         pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # words with the white space after them
         lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-        cut = F.array_join(F.transform("parts", lambda x: F.array_join(F.slice(pieces, (x["start"] + lead + 1).cast("int"), x["n"].cast("int")), "")), "")
-        text = F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(F.regexp_replace(cut, r"[\x20\x09-\x0D]+$", ""))
+        cut = F.array_join(F.transform("_parts", lambda x: F.array_join(F.slice(pieces, (x["start"] + lead + 1).cast("int"), x["n"].cast("int")), "")), "")
+        text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(F.regexp_replace(cut, r"[\x20\x09-\x0D]+$", ""))
         made = out.withColumn("text", text)
         if "n_chars" in docs.columns:
             made = made.withColumn("n_chars", F.length("text").cast("long"))
