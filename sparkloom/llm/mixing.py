@@ -36,7 +36,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     """source, source_size, source_id, weight, target for each row of ``sizes(source, source_size)``.
 
     The target is the least of most * source_size and weight * level; the level makes the targets sum to all sizes.
-    Sources fill up in the order of capacity per weight, so the level follows from running sums over the sources.
+    Sources fill up in the order of capacity per weight, so the level follows from running sums over the sources: it is the
+    first, and so the largest, at which the source at hand does not fill up.
     """
     by = Window.orderBy(F.col("source").asc_nulls_last())
     s = sizes.withColumn("source_id", F.row_number().over(by).cast("long"))
@@ -46,7 +47,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     every = Window.partitionBy()
     before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
     s = s.withColumn("_level", (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after))
-    s = s.withColumn("_level", F.min(F.when(F.col("_level") * F.col("weight") <= F.col("cap"), F.col("_level"))).over(every))
+    s = s.withColumn("_level", F.max(F.when(F.col("_level") * F.col("weight") <= F.col("cap"), F.col("_level"))).over(every))
     share = F.coalesce(F.col("_level") * F.col("weight"), F.col("cap").cast("double"))
     return s.select("source", "source_size", "source_id", "weight", F.least(F.col("cap").cast("double"), share).alias("target"))
 
@@ -152,7 +153,7 @@ rows AS (SELECT *, row_number() OVER () AS id, {num("coalesce(doc_id::VARCHAR, '
 sources AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS source_id FROM (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY 1) t),
 caps AS (SELECT *, ((source_id - 1) % 3 + 1) AS weight, 3 * source_size AS cap FROM sources),
 levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM caps),
-goal AS (SELECT source, source_size, source_id, least(cap::DOUBLE, coalesce(min(CASE WHEN l * weight <= cap THEN l END) OVER () * weight, cap)) AS target FROM levels),
+goal AS (SELECT source, source_size, source_id, least(cap::DOUBLE, coalesce(max(CASE WHEN l * weight <= cap THEN l END) OVER () * weight, cap)) AS target FROM levels),
 streams AS (SELECT r.id, doc_id, size, source_size, target, source_id, (coalesce(sum(size) OVER (PARTITION BY source_id ORDER BY bucket, doc_id NULLS FIRST, size, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first FROM rows r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source),
 plan AS (SELECT source_id, source_size, round(target)::BIGINT AS take, unnest([0, 1, 2, 3]) AS pass FROM goal WHERE source_size > 0),
 given AS (SELECT *, greatest(0, least(source_size, take - pass * source_size)) AS given, source_size // {block} AS full_blocks FROM plan),
