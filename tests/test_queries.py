@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import sparkloom.plans.evidence  # noqa: F401  registers its queries
 from sparkloom.functions import text as T
 from sparkloom.operators.tables import value_type
 from sparkloom.plans.queries import ORACLE, QUERIES
