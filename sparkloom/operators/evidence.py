@@ -66,3 +66,49 @@ def orphans(removed: DataFrame, remaining: DataFrame, content: str) -> DataFrame
     """content_hash of removed contents that no remaining row holds: what a cascading delete may drop."""
     hashed = lambda d: d.select(F.sha2(F.col(content).cast("binary"), 256).alias("content_hash")).distinct()
     return hashed(removed).join(hashed(remaining), "content_hash", "left_anti")
+
+
+# fixed values
+REFERENCE_NAME = ("syllabus", "outline", "handbook", "requirements", "program", "programme", "curriculum", "course info", "course-info", "course_info", "assessment", "regulations", "guidelines")
+# fixed values
+SLIDE_NAME = ("week", "lecture", "lec", "topic", "chapter", "slides", "slide", "deck", "session", "class", "ch", "wk")
+# fixed values
+REFERENCE_TEXT = (
+    "learning outcomes", "learning outcome", "grading", "assessment", "office hours", "prerequisite", "credit", "textbook", "academic honesty", "academic integrity",
+    "course description", "grade breakdown", "attendance policy", "plagiarism", "instructor",
+)
+
+
+def role(df: DataFrame, path: str, text: str, pages: str | None = None) -> DataFrame:
+    """role (slides or reference) and confidence, from suffix, file name, words a page, telling phrases and short lines; ties are slides.
+
+    ``pages`` names a column of page numbers; without it, or where it is null or under 1, a text is one page.
+    """
+    flag = lambda c: c.cast("int")
+    low, where = F.lower(F.coalesce(F.col(text), F.lit(""))), F.lower(F.coalesce(F.col(path), F.lit("")))
+    name = F.regexp_replace(F.regexp_replace(F.regexp_extract(where, "([^/]*)$", 1), r"\.[a-z0-9]+$", ""), "[_-]+", " ")
+    hits = F.filter(F.array(*map(F.lit, REFERENCE_TEXT)), lambda c: F.contains(F.col("_low"), c))
+    lines = F.filter(F.split("_low", "[\r\n]+"), lambda x: F.trim(x, F.lit(" \t")) != "")
+    size = F.greatest(F.coalesce(F.col(pages), F.lit(1)), F.lit(1)) if pages else F.lit(1)
+    out = df.withColumn("_low", low).withColumn("_name", name).withColumn("_hits", hits).withColumn("_lines", lines)
+    out = out.withColumn("_wpp", F.size(F.filter(F.split("_low", r"[ \t\r\n]+"), lambda x: x != "")) / size)
+    out = out.withColumn("_cues", F.size(F.filter("_hits", lambda c: ~F.exists("_hits", lambda o: (o != c) & F.contains(o, c)))))
+    few = F.size(F.filter("_lines", lambda x: F.size(F.split(F.trim(x, F.lit(" \t")), "[ \t]+")) <= 8))
+    # fixed values
+    deck, named_slide = F.regexp_extract(where, r"(\.[a-z0-9]+)$", 1).isin(".pptx", ".ppt", ".potx", ".key"), F.col("_name").rlike(rf"\b({'|'.join(SLIDE_NAME)})\b|\b[lw]\d{{1,2}}\b|\block\d")
+    named, dense, sparse = F.col("_name").rlike("|".join(REFERENCE_NAME)), F.col("_wpp") >= 200, (F.col("_wpp") > 0) & (F.col("_wpp") <= 110)
+    listed = (F.size("_lines") >= 6) & (few >= 0.7 * F.size("_lines"))
+    cues = F.when(F.col("_cues") >= 2, 2.0).when(F.col("_cues") == 1, 0.75).otherwise(0.0)
+    out = out.withColumn("_ref", 2.0 * flag(named) + 2.0 * flag(dense) + cues).withColumn("_slide", 2.5 * flag(deck) + 1.5 * flag(named_slide) + 1.5 * flag(sparse) + flag(listed))
+    reference = F.col("_ref") > F.col("_slide")
+    why = F.when(reference, flag(named) + flag(dense) + flag(F.col("_cues") > 0)).otherwise(F.greatest(flag(deck) + flag(named_slide) + flag(sparse) + flag(listed), F.lit(1)))
+    sure = F.lit(0.5) + 0.12 * F.abs(F.col("_ref") - F.col("_slide")) + 0.05 * (why - 1)
+    out = out.withColumn("role", F.when(reference, "reference").otherwise("slides")).withColumn("confidence", F.round(F.least(F.greatest(sure, F.lit(0.3)), F.lit(0.97)), 2))
+    return out.drop("_low", "_name", "_hits", "_lines", "_wpp", "_cues", "_ref", "_slide")
+
+
+def both_present(pairs: DataFrame, a: str, b: str, known: DataFrame, key: str) -> DataFrame:
+    """The rows of ``pairs`` whose two names are both known."""
+    for side in (a, b):
+        pairs = pairs.join(known.select(F.col(key).alias(side)), side, "left_semi")
+    return pairs.select(a, b)

@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import tokens
+from sparkloom.operators.evidence import phrase_links
 
 K1, B = 1.2, 0.75
 
 
-def postings(objects: DataFrame, part: str, key: str, text: str = "text") -> DataFrame:
-    """part, key, token, tf, dl: one row for each token of each object; counted before the shuffle."""
-    words = objects.select(part, key, tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    return words.select(part, key, "dl", F.explode("w").alias("token")).groupBy(part, key, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+def postings(objects: DataFrame, part: str, key: str, text: str = "text", split: Callable = tokens, stem: Callable | None = None) -> DataFrame:
+    """part, key, token, tf, dl: one row for each token of each object; counted before the shuffle, and before words are stemmed."""
+    words = objects.select(part, key, split(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    found = words.select(part, key, "dl", F.explode("w").alias("token")).groupBy(part, key, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    if stem is None:
+        return found
+    return found.withColumn("token", stem(F.col("token"))).groupBy(part, key, "dl", "token").agg(F.sum("tf").alias("tf"))
+
+
+def query_terms(queries: DataFrame, query: str, terms: int = 12, split: Callable = tokens, stem: Callable | None = None) -> DataFrame:
+    """query, token: the distinct tokens among a query's first ``terms``."""
+    asked = queries.select(query, F.explode(F.array_distinct(F.slice(split(F.col("text")), 1, terms))).alias("token"))
+    return asked if stem is None else asked.withColumn("token", stem(F.col("token"))).distinct()
+
+
+def expanded_terms(queries: DataFrame, catalog: DataFrame, query: str, terms: int = 12, most: int = 40) -> DataFrame:
+    """query, token: a query's first ``terms`` tokens, then those of every phrase of the concepts that it names, ``most`` in all.
+
+    ``catalog`` has rows (label, alias); a query names a concept where an alias occurs in it as whole tokens.
+    """
+    phrases = catalog.select("alias").distinct().withColumn("text", F.col("alias"))
+    named = phrase_links(queries, phrases, query, "alias").join(catalog, "alias").select(query, "label").distinct()
+    added = named.join(catalog, "label").groupBy(query).agg(F.flatten(F.transform(F.sort_array(F.collect_set("alias")), tokens)).alias("more"))
+    own = queries.select(query, F.slice(tokens(F.col("text")), 1, terms).alias("w")).join(added, query, "left")
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(F.coalesce("w", none), F.coalesce("more", none)))
+    return own.select(query, F.explode(F.slice(F.filter(every, lambda t: F.length(t) >= 2), 1, most)).alias("token"))
 
 
-def bm25(objects: DataFrame, queries: DataFrame, part: str = "source", key: str = "doc_id", query: str = "item_id", terms: int = 12) -> DataFrame:
-    """query, part, key, score: the sum over a query's first ``terms`` tokens, counts and lengths taken within the part."""
-    index = postings(objects, part, key)
-    size = objects.select(part, F.size(tokens(F.col("text"))).alias("n")).where("n >= 0").groupBy(part).agg(F.count(F.lit(1)).alias("n_objects"), F.avg("n").alias("avgdl"))
-    asked = queries.select(query, F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, terms))).alias("token"))
+def bm25(objects: DataFrame, asked: DataFrame, part: str = "source", key: str = "doc_id", query: str = "item_id", split: Callable = tokens, stem: Callable | None = None) -> DataFrame:
+    """query, part, key, score: the sum over the terms ``asked(query, token)``, counts and lengths taken within the part."""
+    index = postings(objects, part, key, split=split, stem=stem)
+    size = objects.select(part, F.size(split(F.col("text"))).alias("n")).where("n >= 0").groupBy(part).agg(F.count(F.lit(1)).alias("n_objects"), F.avg("n").alias("avgdl"))
     hits = index.join(asked.select("token").distinct(), "token", "left_semi")  # only asked tokens go on
     df = hits.groupBy(part, "token").agg(F.count(F.lit(1)).alias("df"))
     scored = hits.join(df, [part, "token"]).join(size, part)

@@ -86,3 +86,21 @@ def round_robin(df: DataFrame, by: str, group: str, order: str, size: str, most:
     seat = F.row_number().over(Window.partitionBy(by).orderBy("turn", group, order))
     seated = df.withColumn("turn", turn).where(F.col("turn") <= most).withColumn("seat", seat).where(F.col("seat") <= rows)
     return budget_prefix(seated, by, ["seat"], size, total, each)
+
+
+def first_rows(df: DataFrame, by: list[str], order: list, n: int, salts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group: of each salt first, then of these, so no window holds a whole large group."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+    few = df.withColumn("_salt", salt).withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order))).where(F.col("_i") <= n)
+    return few.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_i") <= n).drop("_salt", "_i")
+
+
+def close(a: Column, b: Column) -> Column:
+    """Equal to nine digits, or within a billionth."""
+    return F.abs(a - b) <= F.greatest(1e-9 * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-9))
+
+
+def audit(df: DataFrame, by: str, stored: Column, computed: Column) -> DataFrame:
+    """by, total, verified, mismatch, unknown: stored values against computed ones."""
+    same = close(stored.cast("double"), computed.cast("double"))
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if(same).alias("verified"), F.count_if(~same).alias("mismatch"), F.count_if(same.isNull()).alias("unknown"))

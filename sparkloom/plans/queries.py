@@ -25,18 +25,27 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_BM25 = r"""
+_FIRST_TOKENS = r"SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:12]) AS token FROM benchmark) t"
+_SCORES = r"""
 WITH words AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
 index AS (SELECT source, doc_id, len(w) AS dl, token, count(*) AS tf FROM (SELECT *, unnest(w) AS token FROM words) t GROUP BY ALL),
-tokens AS (SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:12]) AS token FROM benchmark) t),
+tokens AS (_ASKED_),
 stats AS (SELECT source, count(*) AS n, avg(len(w)) AS avgdl FROM words GROUP BY 1),
 df AS (SELECT source, token, count(*) AS df FROM index GROUP BY 1, 2),
 scores AS (SELECT item_id, source, doc_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM tokens JOIN index USING (token) JOIN df USING (source, token) JOIN stats USING (source) GROUP BY 1, 2, 3)"""
 
 
+def bm25_sql(asked: str) -> str:
+    """Common tables up to scores(item_id, source, doc_id, score) for the query terms of ``asked``."""
+    return _SCORES.replace("_ASKED_", asked)
+
+
+_BM25 = bm25_sql(_FIRST_TOKENS)
+
+
 def _scores(spark, sf_dir):
-    return S.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return S.bm25(table(spark, sf_dir, "documents"), S.query_terms(table(spark, sf_dir, "benchmark"), "item_id"))
 
 
 @query(_BM25 + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS rank FROM scores) t WHERE rank <= 5")
