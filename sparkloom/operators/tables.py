@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -104,3 +105,42 @@ def audit(df: DataFrame, by: str, stored: Column, computed: Column) -> DataFrame
     """by, total, verified, mismatch, unknown: stored values against computed ones."""
     same = close(stored.cast("double"), computed.cast("double"))
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if(same).alias("verified"), F.count_if(~same).alias("mismatch"), F.count_if(same.isNull()).alias("unknown"))
+
+
+def text_criterion(value: Column, rule: str) -> Column:
+    """A spreadsheet criterion on any column: numbers compare where both sides are numbers, else texts.
+
+    With ``*`` or ``?`` a text is matched from its start, whatever its case; then any sign but ``<>`` means equal. Plain texts
+    compare by case; null is the empty text.
+    """
+    sign = next((s for s in ("<=", ">=", "<>", "=", "<", ">") if rule.startswith(s)), "")
+    want, text = rule[len(sign) :], F.coalesce(value.cast("string"), F.lit(""))
+    if "*" in want or "?" in want:
+        pattern = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in want)
+        met = text.rlike(f"(?is)^{pattern}$")
+        return ~met if sign == "<>" else met
+    compare = {"<=": Column.__le__, ">=": Column.__ge__, "<>": Column.__ne__, "<": Column.__lt__, ">": Column.__gt__}.get(sign, Column.__eq__)
+    as_text = compare(text, F.lit(want))
+    try:
+        number = float(want)
+    except ValueError:
+        return as_text
+    is_number = value_type(text).isin("integer", "number")
+    return F.when(is_number, compare(text.try_cast("double"), F.lit(number))).otherwise(as_text)
+
+
+def numbered(df: DataFrame, by: str, key: str, width: int = 65_536, out: str = "n") -> DataFrame:
+    """1, 2, ... within each group by an integer key: counts of key ranges first, so that a window holds one range of a group."""
+    df = df.withColumn("_range", F.floor(F.col(key) / width))
+    sizes = df.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(by).alias("_by"), F.col("_range").alias("_of"), before.alias("_before"))
+    joined = df.join(sizes, F.col(by).eqNullSafe(F.col("_by")) & F.col("_range").eqNullSafe(F.col("_of")))
+    own = F.row_number().over(Window.partitionBy(by, "_range").orderBy(key))
+    return joined.withColumn(out, F.col("_before") + own).drop("_range", "_by", "_of", "_before")
+
+
+def free_slugs(df: DataFrame, slug: str, key: str) -> DataFrame:
+    """Column id: the slug for the first of a name, then slug-2, slug-3 and so on."""
+    out = numbered(df, slug, key, out="_n")
+    return out.withColumn("id", F.when(F.col("_n") == 1, F.col(slug)).otherwise(F.concat_ws("-", F.col(slug), F.col("_n").cast("string")))).drop("_n")

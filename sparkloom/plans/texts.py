@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.sentences import BANNED, json_object, sentences, without_sentences
 from sparkloom.functions.stems import search_words, stems
-from sparkloom.functions.text import tokens
+from sparkloom.functions.text import first_sentence, slug, tokens
 from sparkloom.operators import evidence as E
 from sparkloom.operators import search as S
 from sparkloom.operators import tables as X
+from sparkloom.operators import vectors as V
 from sparkloom.plans.evidence import concept_edges
 from sparkloom.plans.queries import ORACLE, QUERIES, bm25_sql, mined_terms, query, table
+from sparkloom.sources.files import shared_folder
+from sparkloom.streaming.progress import done, process
 
 
 def untold(f):
@@ -28,6 +31,7 @@ def search_stemmed(spark, sf_dir):
 
 
 _W = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+_SNIPPET_W = _W.replace("text", r"left(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'), 320)")
 _CATALOG = f"SELECT token_a AS label, token_b AS alias FROM ({ORACLE['concept_edges']}) e UNION SELECT token_a, token_a FROM ({ORACLE['concept_edges']}) e"
 _EXPANDED = f"""WITH catalog AS ({_CATALOG}), q AS (SELECT item_id, {_W} AS w FROM benchmark),
 named AS (SELECT DISTINCT item_id, label FROM q, catalog WHERE list_contains(w, alias)),
@@ -43,12 +47,16 @@ SELECT item_id, t AS token FROM (SELECT *, row_number() OVER (PARTITION BY item_
 best AS (SELECT item_id, source, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY i > 4, score DESC, doc_id) AS rank FROM r)
 SELECT best.*, CASE WHEN list_has_any(q.w, d.s) THEN 'source terms' ELSE 'concept alias' END AS matched_by FROM best
 JOIN (SELECT item_id, {_W} AS w FROM benchmark) q USING (item_id)
-JOIN (SELECT doc_id, {_W.replace("lower(text)", "lower(left(regexp_replace(text, '[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "r]+', ' ', 'g'), 320))")} AS s FROM documents) d USING (doc_id) WHERE rank <= 10"""
+JOIN (SELECT doc_id, {_SNIPPET_W} AS s FROM documents) d USING (doc_id) WHERE rank <= 10"""
 )
 def search_expanded(spark, sf_dir):
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     pairs = concept_edges(spark, sf_dir).select(F.col("token_a").alias("label"), F.col("token_b").alias("alias"))
-    catalog = pairs.union(pairs.select("label", "label")).distinct()
+    both = F.array(F.struct("label", "alias"), F.struct("label", F.col("label").alias("alias")))
+    # mined terms are 30 at most, so the catalog is small; written once, as three joins read it
+    path = shared_folder(spark)
+    pairs.select(F.explode(both).alias("c")).select("c.*").distinct().write.parquet(path)
+    catalog = spark.read.schema("label string, alias string").parquet(path)
     best = S.diverse_top(S.bm25(docs, S.expanded_terms(items, catalog, "item_id")), "item_id", "source", "doc_id", 10)
     snippet = docs.select("doc_id", tokens(F.left(F.regexp_replace("text", "[ \\t\\n\\r]+", " "), F.lit(320))).alias("s"))
     own = items.select("item_id", tokens(F.col("text")).alias("w"))
@@ -114,8 +122,8 @@ def word_budget(spark, sf_dir):
     return X.budget_prefix(first, "lang", ["doc_id"], "size", 6000, 1800).select("lang", "doc_id", "used_before", "taken")
 
 
-@query("""WITH a AS (SELECT user_id, lower(props) AS term, max(ts) AS ts, max((ts, event_id)).event_id AS event_id FROM (SELECT user_id, props, ts, event_id, struct_pack(ts := ts, event_id := event_id) AS s FROM events) e GROUP BY 1, 2)
-SELECT user_id, term, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM a) t WHERE n <= 40""".replace("max((ts, event_id)).event_id", "max(s).event_id"))
+@query("""WITH a AS (SELECT user_id, lower(props) AS term, max(ts) AS ts, max(s).event_id AS event_id FROM (SELECT user_id, props, ts, event_id, struct_pack(ts := ts, event_id := event_id) AS s FROM events) e GROUP BY 1, 2)
+SELECT user_id, term, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM a) t WHERE n <= 40""")
 def latest_annotations(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.lower("props").alias("term"), "ts", "event_id")
     return X.first_rows(X.last_wins(e, ["user_id", "term"], ["ts", "event_id"]), ["user_id"], [F.desc("ts"), F.desc("event_id")], 40)
@@ -143,11 +151,50 @@ def saved_order(spark, sf_dir):
     return c.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(saved.asc_nulls_last(), "turn", "role")))
 
 
-@query(r"""WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '://([^/?#]+)', 1) AS name FROM pages), n AS (SELECT name, count(*) AS pages FROM u WHERE length(name) >= 4 GROUP BY 1),
+@query(r"""WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '://(?:(?:www|blog|m)\.)?([^./?#]+)', 1) AS name FROM pages), n AS (SELECT name, count(*) AS pages FROM u WHERE length(name) >= 4 GROUP BY 1),
 w AS (SELECT page_id, ' ' || array_to_string(regexp_extract_all(lower(html), '[\p{L}\p{N}_]+'), ' ') || ' ' AS w FROM pages), k AS (SELECT name, pages, array_to_string(regexp_extract_all(lower(name), '[\p{L}\p{N}_]+'), ' ') AS p FROM n)
 SELECT w.page_id, k.name, k.pages FROM w, k JOIN u ON true WHERE u.page_id = w.page_id AND u.name <> k.name AND p <> '' AND contains(w, ' ' || p || ' ')""")
 def name_reference_links(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"), F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]+)", 1).alias("own"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"), F.regexp_extract(F.coalesce("url", F.lit("")), r"://(?:(?:www|blog|m)\.)?([^./?#]+)", 1).alias("own"))
     names = pages.where("length(own) >= 4").groupBy(F.col("own").alias("name")).agg(F.count(F.lit(1)).alias("pages")).withColumn("text", F.col("name"))
     links = E.phrase_links(pages, names, "page_id", "name")
     return links.join(pages.select("page_id", "own"), "page_id").where("own <> name").join(names.select("name", "pages"), "name").select("page_id", "name", "pages")
+
+
+@query("""SELECT p_brand, count(*) FILTER (p_type ILIKE 'standard%' AND p_size >= 10) AS countifs, count(*) FILTER (p_name NOT ILIKE '%a_%') AS others, count(*) FILTER (p_brand = 'Brand#11' OR p_brand = 'brand#11') AS plain FROM part GROUP BY 1""")
+def countifs_text(spark, sf_dir):
+    met = lambda c, rule: X.text_criterion(F.col(c), rule)
+    both = met("p_type", "=standard*") & met("p_size", ">=10")
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_if(both).alias("countifs"), F.count_if(met("p_name", "<>*a?*")).alias("others"), F.count_if(met("p_brand", "Brand#11")).alias("plain"))
+
+
+@query("""SELECT c_custkey, CASE n WHEN 1 THEN s ELSE s || '-' || n END AS id FROM (SELECT c_custkey, s, row_number() OVER (PARTITION BY s ORDER BY c_custkey) AS n
+  FROM (SELECT c_custkey, regexp_replace(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM customer) c) t""")
+def free_slugs(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", slug(F.col("c_mktsegment")).alias("s"))
+    return X.free_slugs(c, "s", "c_custkey").select("c_custkey", "id")
+
+
+def _hashed(name: str, key: str) -> str:
+    return f"""(SELECT {key} AS k, list(v ORDER BY b) AS v FROM (SELECT {key}, b, sum(v) AS v FROM (SELECT {key}, unnest(range(384)) AS b, 0.0::DOUBLE AS v FROM {name} UNION ALL
+  SELECT {key}, (('0x' || md5(t)[1:8])::BIGINT % 384) AS b, CASE WHEN ('0x' || md5(t)[9:10])::BIGINT % 2 = 1 THEN -1 ELSE 1 END * (1 + ln(count(*))) AS v
+  FROM (SELECT {key}, unnest({_W.replace("text", "left(text, 8000)")}) AS t FROM {name}) w GROUP BY {key}, t) x GROUP BY 1, 2) y GROUP BY 1)"""
+
+
+@query(f"""WITH s AS (SELECT q.k AS query_id, d.k AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM {_hashed("benchmark", "item_id")} q, {_hashed("documents", "doc_id")} d)
+SELECT query_id, doc_id, score + 0.0 AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) t WHERE rank <= 5""")
+def hash_embed_similarity(spark, sf_dir):
+    items, docs = V.hash_vectors(table(spark, sf_dir, "benchmark"), "item_id"), V.hash_vectors(table(spark, sf_dir, "documents"), "doc_id")
+    return V.cosine_topk(items.withColumnRenamed("item_id", "doc_id"), docs, 5, key="doc_id", vector="vec", dim=384)
+
+
+@query(ORACLE["running_gists"])
+def resumed_gists(spark, sf_dir):
+    """The running gists again, from what a stream stored turn by turn."""
+    like = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    source = spark.readStream.schema(like.schema).parquet(f"{sf_dir}/conversations.parque[t]")
+    key = ["conv_id", "turn", "role"]
+    rows = process(source, shared_folder(spark), key, lambda d: d.select(*key, first_sentence(F.coalesce("text", F.lit(""))).alias("result")))
+    whole = like.select(*key).join(done(rows).select(*key, "result"), key, "left")
+    out = E.running_gists(whole, "conv_id", ["turn", "role"], "result")
+    return out.select(*key, F.md5(F.col("gists").cast("binary")).alias("gists_md5"))
