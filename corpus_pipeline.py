@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that equal an earlier one, or are one edit away, go."""
-    return drop_lines(docs)
+    """Whole lines that equal an earlier one, or are one edit away, go."""
+    return drop_lines(docs, unit=None)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,10 @@ The others emit themselves and all their variants with one character deleted as
 the same character place are a substitution apart; a line and a variant that equal are an insertion apart. Equal keys meet in a window,
 whose size is bounded by the alphabet and ``unit``; the earliest partner of each line is verified by its edit distance.
 
+With ``unit=None`` lines are judged whole, however long. Then variants would be too many: of ``edits`` + 1 parts of a line
+one at least is left as it was, moved by as many places as edits lie before it. So each line is known by its own parts and looks for the
+parts of lines that are as long or up to ``edits`` shorter; whoever shares a part, and differs in few words, is verified.
+
 Nulls and edges: null and empty texts stay as they are; blank lines always stay; lines of fewer than
 ``least`` characters go only if equal to an earlier one; a document left without any line but blank ones goes, if it had some before; rows with
 equal doc_id are ordered by a hash of their text, and rows that repeat wholly are treated alike; a null doc_id comes first; extra columns are carried along (ones named n_lines or n_kept are replaced).
@@ -27,10 +31,12 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 class LineDedup:
-    def __init__(self, unit: int = 512, least: int = 16):
-        self.unit, self.least = unit, least
+    """Parameters: characters in a stretch (None for whole lines), characters in a line that is compared for edits."""
+
+    def __init__(self, unit: int | None = 512, least: int = 16):
+        self.unit, self.least, self.edits = unit, least, 1
         #: SQL for the units of a text, the newline that ends one included.
-        self.units = f"regexp_extract_all(text, '(?s)[^\\n]{{1,{unit}}}\\n?|\\n', 0)"
+        self.units = f"regexp_extract_all(text, '(?s)[^\\n]{f'{{1,{unit}}}' if unit else '+'}\\n?|\\n', 0)"
 
     def _lines(self, docs: DataFrame) -> DataFrame:
         cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dh"), F.expr(f"posexplode({self.units}) as (no, raw)"))
@@ -65,10 +71,44 @@ class LineDedup:
         both = pairs.join(texts.select("me", F.col("u").alias("x")), "me").join(texts.select(F.col("me").alias("mate"), F.col("u").alias("y")), "mate")
         return both.where(F.levenshtein("x", "y", 1) >= 0).select("me.a", "me.b").distinct()
 
+    def part_places(self, docs: DataFrame) -> DataFrame:
+        """a, b (hashes of a distinct line), place (its first one), keys (hashes of its ``edits`` + 1 parts, then of the parts it looks for), words (parity of its words)."""
+        k = self.edits
+        part = lambda i, m, moved: f"xxhash64({i}, {m}, substring(u, {i} * ({m}) div {k + 1} + {1 + moved}, {i + 1} * ({m}) div {k + 1} - {i} * ({m}) div {k + 1}))"
+        keys = [part(i, "n", 0) for i in range(k + 1)]
+        for less in range(k + 1):
+            for i in range(k + 1):
+                # each part before holds an edit, and so does each part after: that bounds the move from both ends
+                moves = range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1)
+                keys += [part(i, f"n - {less}", moved) for moved in moves if less or moved]
+        lines = self._lines(docs).withColumn("n", F.length("u"))
+        held = F.expr(f"case when n < {self.least} then array() else array({', '.join(keys)}) end").alias("keys")
+        words = F.expr("aggregate(split(u, ' '), 0L, (s, w) -> s ^ shiftleft(1L, cast(pmod(xxhash64(w), 64) as int)))").alias("words")
+        lines = lines.select(F.xxhash64("u").alias("a"), F.xxhash64(F.lit(17), "u").alias("b"), F.struct("doc_id", "dh", "no", held, words).alias("place"))
+        return lines.groupBy("a", "b").agg(F.min("place").alias("place"))
+
+    def near_whole(self, docs: DataFrame, first: DataFrame) -> DataFrame:
+        """a, b of the distinct lines that are at most ``edits`` edits away from an earlier one."""
+        keys = first.select("a", F.col("place.words").alias("w"), F.posexplode("place.keys").alias("i", "key"))
+        own = keys.where(F.col("i") <= self.edits).select("key", F.col("a").alias("y"), F.col("w").alias("v"))
+        # an edit takes or adds three words at most: it joins two to one, or splits one
+        alike = (F.col("a") != F.col("y")) & (F.bit_count(F.col("w").bitwiseXOR(F.col("v"))) <= 3 * self.edits)
+        met = keys.select("key", "a", "w").join(own, "key").where(alike)
+        pairs = materialize(met.select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("y")).distinct())
+        likely = materialize(pairs.select("a").unionByName(pairs.select(F.col("y").alias("a"))).distinct())
+        likely = F.broadcast(likely) if likely.count() <= BROADCAST_LINES else likely
+        texts = self._lines(docs).withColumn("a", F.xxhash64("u")).join(likely, "a").withColumn("b", F.xxhash64(F.lit(17), "u"))
+        place = F.struct("place.doc_id", "place.dh", "place.no", "a", "b")
+        texts = materialize(texts.groupBy("a", "b").agg(F.first("u").alias("u")).join(first.select("a", "b", place.alias("me")), ["a", "b"]).select("a", "u", "me"))
+        both = pairs.join(texts.select("a", F.col("u").alias("u1"), F.col("me").alias("me1")), "a").join(texts.select(F.col("a").alias("y"), F.col("u").alias("u2"), F.col("me").alias("me2")), "y")
+        return both.where(F.levenshtein("u1", "u2", self.edits) >= 0).select(F.greatest("me1", "me2").alias("me")).select("me.a", "me.b").distinct()
+
     def dedup(self, docs: DataFrame) -> DataFrame:
         """``docs`` with the lines kept, and columns n_lines and n_kept (units that are not blank)."""
-        first = materialize(self.first_places(docs))
-        kept = first.select("a", "b", "place.doc_id", "place.dh", "place.no").join(self.near(docs, first), ["a", "b"], "left_anti")
+        whole = self.unit is None
+        first = materialize(self.part_places(docs) if whole else self.first_places(docs))
+        near = self.near_whole(docs, first) if whole else self.near(docs, first)
+        kept = first.select("a", "b", "place.doc_id", "place.dh", "place.no").join(near, ["a", "b"], "left_anti")
         kept = kept.groupBy("doc_id", "dh").agg(F.sort_array(F.collect_list("no")).alias("nos"))
         # a sign for each unit up to the last kept one
         flags = "split(array_join(transform(nos, (x, i) -> concat(repeat('0', x - if(i = 0, 0, nos[i - 1] + 1)), '1')), ''), '')"

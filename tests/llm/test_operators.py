@@ -321,6 +321,27 @@ def test_line_dedup(spark):
     assert drop_lines(df.limit(0)).count() == 0
 
 
+def test_whole_lines(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(6))
+    lines = [" ".join(word() for _ in range(rng.choice([3, 4, 80, 300]))) for _ in range(25)]
+    long = lines[0] + " " + " ".join(word() for _ in range(90))
+    texts = [long[:512] + ".", "b.\n" + long[512:] + " " + long[:512] + ".\nc", long[:512] + " other end"]
+    for _ in range(80):
+        s = rng.choice(lines)
+        p = rng.randrange(len(s))
+        texts.append(rng.choice([s, s[:p] + s[p + 1 :], s[:p] + "z" + s[p:], s[:p] + " " + s[p + 1 :], word() + s]))
+    seen, want = [], Counter()
+    for i, text in enumerate(texts):
+        own = text.split("\n")
+        kept = [u for j, u in enumerate(own) if not any(u == v or min(len(u), len(v)) >= 16 and edit_distance_1(u, v) for v in seen + own[:j])]
+        seen += own
+        want[(i, len(own), len(kept), "\n".join(kept))] += 1
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    assert Counter((r.doc_id, r.n_lines, r.n_kept, r.text) for r in LineDedup(unit=None).dedup(df).collect()) == want
+    assert all(n == 1 and kept == 1 or i != 2 for i, n, kept, _ in want)
+
+
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
