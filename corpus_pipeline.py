@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole lines that equal an earlier one, or are one edit away, go."""
-    return drop_lines(docs, unit=None)
+    """Whole lines that equal an earlier one, or are up to two edits away, go."""
+    return drop_lines(docs, unit=None, edits=2)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

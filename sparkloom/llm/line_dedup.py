@@ -7,7 +7,7 @@ The others emit themselves and all their variants with one character deleted as
 the same character place are a substitution apart; a line and a variant that equal are an insertion apart. Equal keys meet in a window,
 whose size is bounded by the alphabet and ``unit``; the earliest partner of each line is verified by its edit distance.
 
-With ``unit=None`` lines are judged whole, however long. Then variants would be too many: of ``edits`` + 1 parts of a line
+With ``unit=None`` lines are judged whole, however long; with ``edits`` over 1 more edits are allowed. Then variants would be too many: of ``edits`` + 1 parts of a line
 one at least is left as it was, moved by as many places as edits lie before it. So each line is known by its own parts and looks for the
 parts of lines that are as long or up to ``edits`` shorter; whoever shares a part, and differs in few words, is verified.
 
@@ -31,10 +31,10 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 class LineDedup:
-    """Parameters: characters in a stretch (None for whole lines), characters in a line that is compared for edits."""
+    """Parameters: characters in a stretch (None for whole lines), characters in a line that is compared for edits, edits at most."""
 
-    def __init__(self, unit: int | None = 512, least: int = 16):
-        self.unit, self.least, self.edits = unit, least, 1
+    def __init__(self, unit: int | None = 512, least: int = 16, edits: int = 1):
+        self.unit, self.least, self.edits = unit, least, edits
         #: SQL for the units of a text, the newline that ends one included.
         self.units = f"regexp_extract_all(text, '(?s)[^\\n]{f'{{1,{unit}}}' if unit else '+'}\\n?|\\n', 0)"
 
@@ -105,7 +105,7 @@ class LineDedup:
 
     def dedup(self, docs: DataFrame) -> DataFrame:
         """``docs`` with the lines kept, and columns n_lines and n_kept (units that are not blank)."""
-        whole = self.unit is None
+        whole = self.unit is None or self.edits != 1
         first = materialize(self.part_places(docs) if whole else self.first_places(docs))
         near = self.near_whole(docs, first) if whole else self.near(docs, first)
         kept = first.select("a", "b", "place.doc_id", "place.dh", "place.no").join(near, ["a", "b"], "left_anti")

@@ -342,6 +342,34 @@ def test_whole_lines(spark):
     assert all(n == 1 and kept == 1 or i != 2 for i, n, kept, _ in want)
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits", [2, 3])
+def test_line_edits(spark, edits):
+    rng = random.Random(edits)
+    base = [" ".join(rng.choice(["alpha", "béta", "gamma", "delta", "x"]) for _ in range(rng.randrange(3, 9))) for _ in range(12)]
+    lines = ["A report of the year 1998", "A report of the year 2008", "A report of the year 1989"]
+    for _ in range(90):
+        s = rng.choice(base)
+        for _ in range(rng.randrange(edits + 3)):
+            p = rng.randrange(len(s))
+            s = rng.choice([s[:p] + s[p + 1 :], s[:p] + rng.choice("z ") + s[p:], s[:p] + rng.choice("Z ") + s[p + 1 :]])
+        lines.append(s)
+    want = [not any(u == v or min(len(u), len(v)) >= 16 and edit_distance(u, v) <= edits for v in lines[:i]) for i, u in enumerate(lines)]
+    assert not want[2]
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(lines)])
+    for unit in (None, 512):
+        got = LineDedup(unit=unit, edits=edits).dedup(df).collect()
+        assert {r.doc_id: bool(r.n_kept) for r in got} == dict(enumerate(want))
+
+
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
