@@ -3,8 +3,9 @@
 How full sequences can get depends only on how many pieces have each length, and there are at most ``capacity`` lengths.
 So Spark counts the lengths; bin completion works on these counts, as many equal sequences at a time as the counts
 allow; and Spark deals the pieces out to the sequences' places by their rank among pieces of that length. Bin completion takes
-the longest length left and searches its undominated fillings by branch and bound: more of the waste than the incumbent's
-prunes a branch, and best-fit gives the first incumbent.
+the longest length left and the filling of it that leaves least, over any number of pieces; best-fit gives the first incumbent, and bit sets
+of all sums a better one. If the plan needs more sequences than the lower bound, its end is searched again by branching over undominated
+fillings: more waste than one sequence less allows prunes a branch.
 
 Nulls and edges: a null text is empty, and an empty document is its end token alone; rows with equal doc_id are
 separate documents; an empty table gives no pieces; extra columns are ignored.
@@ -52,8 +53,25 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     return run
 
 
-def _filling(room: int, have: dict[int, int], lengths: list[int], mask: int, most: int = 3, nodes: int = 3000) -> list[int]:
-    """The lengths, longest first, that leave least of ``room``: best-fit as incumbent, then branch and bound over up to ``most`` items."""
+def _sums(room: int, have: dict[int, int], lengths: list[int], stop: bool = False) -> tuple[list[tuple[int, int]], int]:
+    """(each length with the sums that those before it make, sums of all) as bit sets up to ``room``; ``stop`` at the first way to fill it."""
+    steps, sums, full = [], 1, (1 << (room + 1)) - 1
+    for n in lengths:
+        count, k = min(have[n], room // n), 1
+        if not count:
+            continue
+        steps.append((n, sums))
+        while count:
+            k = min(k, count)
+            sums |= (sums << (k * n)) & full
+            count, k = count - k, 2 * k
+        if stop and sums >> room:
+            break
+    return steps, sums
+
+
+def _filling(room: int, have: dict[int, int], lengths: list[int]) -> list[int]:
+    """The lengths, of any number, that leave least of ``room``: best-fit if nothing leaves less, else by all sums."""
     best, left, used = [], room, {}
     for n in lengths:  # best-fit: the longest that fits, again and again
         while n <= left and have[n] > used.get(n, 0):
@@ -62,60 +80,147 @@ def _filling(room: int, have: dict[int, int], lengths: list[int], mask: int, mos
             left -= n
         if not left:
             return best
-    waste, budget = left, nodes
-
-    def longest(limit: int) -> int:
-        """The longest length present that is at most ``limit``, from the bit set."""
-        return (mask & ((1 << (limit + 1)) - 1)).bit_length() - 1
-
-    def search(picked: list[int], left: int, top: int) -> None:
-        nonlocal best, waste, budget
-        n = longest(min(left, top))
-        if n > 0 and have[n] > picked.count(n) and left - n < waste:
-            best, waste = [*picked, n], left - n
-        if len(picked) + 1 >= most or not waste:
+    steps, sums = _sums(room, have, lengths, stop=True)
+    target = sums.bit_length() - 1
+    if target == room - left:
+        return best
+    best = []
+    for n, before in reversed(steps):
+        while not before >> target & 1:
+            best.append(n)
+            target -= n
+    return best
+
+
+def _fillings(room: int, have: dict[int, int], lengths: list[int], slack: int):
+    """All undominated fillings that leave at most ``slack``, by what they leave, longer pieces first; None for each dominated one."""
+    steps, sums = _sums(room, have, lengths[::-1])
+
+    def ways(last: int, target: int):
+        if not target:
+            yield []
             return
-        n = longest(min(left, top))
-        while n > 0 and waste and budget:
-            budget -= 1
-            # items to come are no longer than this one: more than their sum stays empty
-            if left - n * (most - len(picked)) >= waste:
+        for i in range(last, -1, -1):
+            n, before = steps[i]
+            for k in range(min(have[n], target // n), 0, -1):
+                if before >> (target - k * n) & 1:
+                    for rest in ways(i - 1, target - k * n):
+                        yield [n] * k + rest
+            if not before >> target & 1:
                 return
-            if have[n] > picked.count(n) and left - n > 0:
-                search([*picked, n], left - n, n)
-            n = longest(n - 1)
 
-    search([], room, room)
-    return best
+    for waste in range(min(slack, room) + 1):
+        if sums >> (room - waste) & 1:
+            for way in ways(len(steps) - 1, room - waste):
+                # dominated: another piece fits in, or fits instead of one
+                free = [n for n, _ in steps if have[n] > way.count(n)] if waste else []
+                yield None if any(n <= waste or any(x < n <= x + waste for x in way) for n in free) else way
+
+
+def fewest(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound of the sequences: long pieces lie apart, and pieces over a part of ``capacity`` lie few together."""
+    count = np.zeros(capacity + 2, np.int64)
+    for n, c in counts.items():
+        count[n] = c
+    size = count * np.arange(capacity + 2)
+    number, total = np.cumsum(count), np.cumsum(size)
+    half, bound = capacity // 2, 0
+    for k in range(half + 1):  # pieces under k are left out; those over capacity - k lie alone
+        apart, beside = number[-1] - number[half], total[capacity - k] - total[half] if capacity - k > half else 0
+        room = (number[max(half, capacity - k)] - number[half]) * capacity - beside
+        bound = max(bound, apart + max(0, -((room - (total[half] - (total[k - 1] if k else 0))) // capacity)))
+    for m in range(1, capacity):  # at most m of the pieces over capacity / (m + 1)
+        bound = max(bound, -(-(number[-1] - number[capacity // (m + 1)]) // m))
+    return int(bound)
+
+
+def _search(counts: dict[int, int], capacity: int, most: int, nodes: list[int]) -> list[list[int]] | None:
+    """At most ``most`` sequences that hold ``counts``, by branching over undominated fillings; None if there are none or ``nodes`` end."""
+    have, stack = dict(counts), []
+    slack = most * capacity - sum(n * c for n, c in counts.items())
+
+    def branch():
+        lengths = sorted((n for n, c in have.items() if c), reverse=True)
+        n, own = lengths[0], dict(have)
+        own[n] -= 1
+        stack.append((([n, *way] if way is not None else [] for way in _fillings(capacity - n, own, lengths, slack)), []))
+
+    branch()
+    while stack and nodes[0] > 0:
+        ways, done = stack[-1]
+        for n in done:
+            have[n] += 1
+        if done:
+            slack += capacity - sum(done)
+        way = next(ways, None)
+        if way is None:
+            stack.pop()
+            continue
+        nodes[0] -= 1
+        stack[-1] = ways, way
+        if not way:
+            continue
+        for n in way:
+            have[n] -= 1
+        slack -= capacity - sum(way)
+        if not any(have.values()):
+            return [w for _, w in stack]
+        if len(stack) < most:
+            branch()
+    return None
+
 
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 2000) -> list[tuple[int, list[int]]]:
+    """(how many sequences, their lengths) that hold ``counts`` pieces of each length.
 
-def complete_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """(how many sequences, their lengths) that hold ``counts`` pieces of each length."""
+    The fillings with least waste come first, as many times as the counts allow. While that is more than the lower bound, longer and
+    longer ends of the plan are searched for one sequence less, over ``nodes`` fillings altogether.
+    """
     have = {n: c for n, c in counts.items() if c > 0}
     lengths = sorted(have, reverse=True)
-    mask = sum(1 << n for n in lengths)
     out = []
     while lengths:
         n = lengths[0]
         have[n] -= 1
-        chosen = [n, *(_filling(capacity - n, have, lengths, mask) if n < capacity else [])]
+        chosen = [n, *(_filling(capacity - n, have, lengths) if n < capacity else [])]
         have[n] += 1
         need = {x: chosen.count(x) for x in chosen}
         times = min(have[x] // c for x, c in need.items())
         out.append((times, sorted(chosen, reverse=True)))
         for x, c in need.items():
             have[x] -= times * c
-            if not have[x]:
-                mask &= ~(1 << x)
         lengths = [x for x in lengths if have[x]]
+    bound, left, width = fewest(counts, capacity) if out else 0, [nodes], 2
+    while left[0] > 0 and sum(t for t, _ in out) > bound:
+        end, held = out[-width:], {}
+        size = sum(t for t, _ in end)
+        for t, way in end:
+            for n in way:
+                held[n] = held.get(n, 0) + t
+        if size > left[0]:  # not even one plan fits in
+            break
+        found = None
+        if fewest(held, capacity) < size:
+            # a share of what is left, so that one end doesn't use up all
+            share = [max(size, left[0] // 3)]
+            left[0] -= share[0]
+            found = _search(held, capacity, size - 1, share)
+            left[0] += share[0]
+        if found is not None:
+            out[-width:] = [(1, way) for way in found]
+            width = 2
+        elif width >= len(out):
+            break
+        else:
+            width *= 2
     return out
 
 
 class Packer:
-    """Parameters: tokens in a sequence, tokenizer file, end token."""
+    """Parameters: tokens in a sequence, tokenizer file, end token, fillings searched beyond the first plan."""
 
-    def __init__(self, capacity: int = 4096, tokenizer: str | None = None, end: int = 1):
-        self.capacity, self.tokenizer, self.end = capacity, tokenizer or public_tokenizer(), end
+    def __init__(self, capacity: int = 4096, tokenizer: str | None = None, end: int = 1, nodes: int = 2000):
+        self.capacity, self.tokenizer, self.end, self.nodes = capacity, tokenizer or public_tokenizer(), end, nodes
 
     def pieces(self, docs: DataFrame, with_ids: bool = False) -> DataFrame:
         schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
@@ -126,7 +231,7 @@ class Packer:
         """The pieces with sequence_id and offset."""
         pieces = materialize(self.pieces(docs, with_ids))
         counted = pieces.groupBy("length").count().collect()  # one row for each of at most ``capacity`` lengths
-        plan = complete_bins({r["length"]: r["count"] for r in counted}, self.capacity)
+        plan = complete_bins({r["length"]: r["count"] for r in counted}, self.capacity, self.nodes)
         entries, first, taken = [], 0, {}
         for times, lengths in plan:
             offset = 0

@@ -17,7 +17,7 @@ from sparkloom.llm.line_dedup import LineDedup, drop_lines
 from sparkloom.llm.media import A_LAW, IMA_ADPCM, MU_LAW, STEPS, a_law_table, adpcm, mu_law_table, read_wav, resampled, store_texts, to_pcm, wav
 from sparkloom.llm.mixing import Mixer, size_of, targets
 from sparkloom.llm.near_dedup import NearDedup, keep_one
-from sparkloom.llm.packing import Packer, complete_bins
+from sparkloom.llm.packing import Packer, _filling, complete_bins, fewest
 from sparkloom.llm.quality import Quality
 from sparkloom.llm.token_counts import PreTokens, SegmentTree, byte_bpe, count_tokens
 from sparkloom.llm.url_filter import judge
@@ -418,6 +418,34 @@ def test_bin_completion():
         assert sum((Counter({n: t * x.count(n) for n in set(x)}) for t, x in plan), Counter()) == counts
 
 
+def test_fillings_of_many_pieces():
+    rng = random.Random(10)
+    for _ in range(200):
+        have = Counter(rng.randrange(5, 40) for _ in range(rng.randrange(1, 14)))
+        sums = {0}
+        for n in have.elements():
+            sums |= {x + n for x in sums}
+        room = rng.randrange(40, 160)
+        way = _filling(room, dict(have), sorted(have, reverse=True))
+        assert sum(way) == max(x for x in sums if x <= room) and not Counter(way) - have
+    assert _filling(3500, {700: 3, 690: 1, 710: 1}, [710, 700, 690]) == [710, 700, 700, 700, 690]
+
+
+def test_fewest_sequences():
+    # all fit without waste, in more pieces than three; the first plan alone needs more sequences for most of these
+    rng, more = random.Random(11), 0
+    for _ in range(40):
+        counts = Counter()
+        for _ in range(5):
+            cuts = sorted(rng.sample(range(1, 60), rng.randrange(2, 6)))
+            counts.update(b - a for a, b in zip([0, *cuts], [*cuts, 60], strict=True))
+        size = lambda plan: sum(t for t, _ in plan)
+        assert fewest(counts, 60) == size(complete_bins(counts, 60)) == 5
+        more += size(complete_bins(counts, 60, nodes=0)) > 5
+    plan = complete_bins({819: 4, 700: 10, 585: 20}, 4096)
+    assert sum((Counter({n: t * x.count(n) for n in set(x)}) for t, x in plan), Counter()) == {819: 4, 700: 10, 585: 20}
+
+
 def test_quality(spark):
     rng = random.Random(6)
     rows, labels = [], []
