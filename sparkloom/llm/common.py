@@ -34,6 +34,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys() -> list[Column]:
+    """k1, k2: digests of ``text``; with the doc_id they tell rows apart that share it, or have none."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    empty = F.col("text").isNull()
+    return [F.xxhash64(text, empty).alias("k1"), F.xxhash64(F.lit(17), text, empty).alias("k2")]
+
+
 def root_of(count: int, least: int = 16) -> int:
     """Buckets for two-level ranks: their number and their size both grow as the square root of the rows."""
     return max(least, math.isqrt(max(0, count)))

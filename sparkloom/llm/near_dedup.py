@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import components, materialize
+from sparkloom.llm.common import components, materialize, row_keys
 from sparkloom.llm.shingles import WordHashes, mix, shingle_set, signature
 
 COORDINATES = 64
@@ -54,7 +54,9 @@ def _features(size: int):
                     h1.append(int(a)), h2.append(int(b)), sig.append(signature(s, mul, add).tobytes())
                 else:
                     h1.append(None), h2.append(None), sig.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["d", "n_shingles", "h1", "h2", "sig"])
+            keys = [c for c in batch.schema.names if c not in ("d", "text")]
+            made = [batch.column("d"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), *[batch.column(c) for c in keys]]
+            yield pa.RecordBatch.from_arrays(made, ["d", "n_shingles", "h1", "h2", "sig", *keys])
 
     return run
 
@@ -256,10 +258,10 @@ class NearDedup:
         #: Equal sketch bytes that a pair at the bound falls short of about once in 30,000 times.
         self.cut = max(1, int(COORDINATES * p - 4.2 * (COORDINATES * p * (1 - p)) ** 0.5))
 
-    def links(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(features of all rows, component of every linked class); classes are structs of smallest doc_id and digest."""
+    def links(self, docs: DataFrame, keys: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(features of all rows, with ``keys`` their digests too, component of every linked class); classes are structs of smallest doc_id and digest."""
         texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("text"))
-        rows = materialize(texts.mapInArrow(_features(self.words), _FEATURES))
+        rows = materialize(texts.select("*", *(row_keys() if keys else [])).mapInArrow(_features(self.words), _FEATURES + ", k1 long, k2 long" * keys))
         classes = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("d").alias("d"), F.first("sig").alias("sig")).select("d", F.col("h1").alias("h"), "sig")
         paths = materialize(classes.mapInArrow(_root_paths(self.trees, self.depth), _PATHS))
         found, dense = [], None
@@ -331,9 +333,7 @@ class NearDedup:
     def classify(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id (smallest doc_id reachable), kept: one row for each row of ``docs``."""
         rows, comps = self.links(docs)
-        classes = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("d").alias("d"))
-        named = classes.select("h1", "h2", "d", F.struct("d", F.col("h1").alias("h")).alias("node")).join(comps, "node", "left")
-        named = named.select("h1", "h2", F.coalesce("component.d", "d").alias("c"))
+        named = _named(rows, comps).select("h1", "h2", F.col("c.d").alias("c"))
         out = rows.select("d", "n_shingles", "h1", "h2").where("h1 is not null").join(named, ["h1", "h2"]).select("d", "n_shingles", "c")
         out = out.unionByName(rows.where("h1 is null").select("d", "n_shingles", F.col("d").alias("c")))
         real = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
@@ -344,11 +344,23 @@ def _edges(links: DataFrame) -> DataFrame:
     return links.select(F.struct(F.col("xd").alias("d"), F.col("xh").alias("h")).alias("a"), F.struct(F.col("yd").alias("d"), F.col("yh").alias("h")).alias("b"))
 
 
+def _named(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """h1, h2, c: the component of each class, its own node if it is linked with nothing."""
+    classes = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("d").alias("d"))
+    named = classes.select("h1", "h2", F.struct("d", F.col("h1").alias("h")).alias("node")).join(comps, "node", "left")
+    return named.select("h1", "h2", F.coalesce("component", "node").alias("c"))
+
+
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each group of near copies (of equal rows, one); texts without words stay."""
-    kept = NearDedup(**parameters).classify(docs).where("kept").select("doc_id").distinct()
-    marked = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return marked.where("_n = 1").drop("_n").unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each group of near copies, the smallest doc_id's (of equal rows, one); texts without words stay."""
+    rows, comps = NearDedup(**parameters).links(docs, keys=True)
+    first = rows.join(_named(rows, comps), ["h1", "h2"]).groupBy("c").agg(F.min(F.struct("d", "k1", "k2")).alias("k")).select("k.*")
+    kept = first.unionByName(rows.where("h1 is null").select("d", "k1", "k2").distinct()).toDF("_kept", "_kept1", "_kept2")
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    marked = docs.withColumns({"_d": d} | dict(zip(("_k1", "_k2"), row_keys(), strict=True)))
+    marked = marked.join(kept, (F.col("_d") == F.col("_kept")) & (F.col("_k1") == F.col("_kept1")) & (F.col("_k2") == F.col("_kept2")), "left_semi")
+    marked = marked.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_k1", "_k2").orderBy("text")))
+    return marked.where("_n = 1").select(*docs.columns)
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import materialize, row_keys
 
 TERMS = 2048
 CACHE_WORDS = 500_000
@@ -66,7 +66,9 @@ def _features(batches):
     shapes = Shapes()
     for batch in batches:
         found = [_terms(t or "", shapes) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float32()))], ["doc_id", "terms", "weights"])
+        made = [pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float32()))]
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, "terms", "weights"])
 
 
 def _dense(terms: pa.Array, weights: pa.Array) -> np.ndarray:
@@ -101,12 +103,18 @@ class Quality:
         project = (idf[:, None] * basis).astype(np.float32)
         return project, _unit(x @ basis.astype(np.float32)), b.column("quality").to_numpy()
 
+    def scored(self, docs: DataFrame, labels: DataFrame, keys: list | None = None) -> tuple[DataFrame, bool]:
+        """(doc_id, the long columns ``keys``, score; whether there were labels to fit on)."""
+        given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(keys or []), F.col("text").cast("string").alias("text"))
+        names = ", ".join(f"{c} long" for c in given.columns[:-1])
+        features = materialize(given.mapInArrow(_features, f"{names}, terms array<int>, weights array<float>"))
+        fitted = self._fitted(features, labels)
+        model = docs.sparkSession.sparkContext.broadcast(fitted)
+        return features.mapInArrow(_voted(model, self.k, self.block), f"{names}, score double"), len(fitted[2]) > 0
+
     def score(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
         """doc_id, held_out, score, predicted: one row for each row of ``docs``."""
-        given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        features = materialize(given.mapInArrow(_features, "doc_id long, terms array<int>, weights array<float>"))
-        model = docs.sparkSession.sparkContext.broadcast(self._fitted(features, labels))
-        scored = features.mapInArrow(_voted(model, self.k, self.block), "doc_id long, score double")
+        scored, _ = self.scored(docs, labels)
         held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
         return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= self.threshold, 1).otherwise(0).alias("predicted"))
 
@@ -129,15 +137,22 @@ def _voted(model, k: int, block: int):
                     near = np.argpartition(-cosine, min(k, len(label)) - 1, axis=1)[:, :k]
                     weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(np.float64) ** 4
                     score[some] = (weight * label[near]).sum(axis=1) / weight.sum(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.clip(score, 0, 1))], ["doc_id", "score"])
+                kept = b.schema.names[:-2]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(np.clip(score, 0, 1))], [*kept, "score"])
 
     return run
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without those whose score is under the threshold."""
-    rejected = Quality(**parameters).score(docs, labels).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows (by doc_id and text) whose score is under the threshold; without labels to fit on, all of them."""
+    model = Quality(**parameters)
+    scored, fitted = model.scored(docs, labels, row_keys())
+    if not fitted:
+        return docs
+    rejected = scored.where(F.col("score") < model.threshold).select("doc_id", "k1", "k2").distinct().toDF("_d", "_r1", "_r2")
+    marked = docs.withColumns(dict(zip(("_k1", "_k2"), row_keys(), strict=True)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2"))
+    return marked.join(rejected, same, "left_anti").select(*docs.columns)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

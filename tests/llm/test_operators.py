@@ -18,7 +18,7 @@ from sparkloom.llm.media import A_LAW, IMA_ADPCM, MU_LAW, STEPS, a_law_table, ad
 from sparkloom.llm.mixing import Mixer, size_of, targets
 from sparkloom.llm.near_dedup import NearDedup, keep_one
 from sparkloom.llm.packing import Packer, _filling, complete_bins, fewest
-from sparkloom.llm.quality import Quality
+from sparkloom.llm.quality import Quality, keep_good
 from sparkloom.llm.token_counts import PreTokens, SegmentTree, byte_bpe, count_tokens
 from sparkloom.llm.url_filter import judge
 
@@ -272,6 +272,22 @@ def test_near_dedup(spark, corpus, n):
     assert NearDedup().classify(df.limit(0)).count() == 0
 
 
+def test_stages_tell_rows_apart(spark):
+    rng = random.Random(13)
+    x, y, z = (prose(rng, 60) for _ in range(3))
+    rows = [(3, y, "s"), (5, x, "s"), (5, y + " more", "s"), (None, z, "s"), (None, z + " more", "s"), (None, x + " too", "s"), (7, "", "s"), (7, None, "s")]
+    got = keep_one(docs(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in got if r.doc_id is not None) == Counter([(3, y), (5, x), (7, ""), (7, None)])
+    assert [r.text in (z, z + " more") for r in got if r.doc_id is None] == [True]
+    bad = [" ".join(rng.choice(["BUY!!", "|", "$$$now", "x%%%"]) for _ in range(40)) for _ in range(62)]
+    good = [prose(rng, 40) for _ in range(62)]
+    known = spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(good[:60] + bad[:60])] + [(200, good[60], "s"), (200, bad[60], "s"), (None, good[61], "s"), (None, bad[61], "s")])
+    left = keep_good(df, known).collect()
+    assert {(r.doc_id, r.text) for r in left if r.doc_id is None or r.doc_id >= 200} == {(200, good[60]), (None, good[61])}
+    assert keep_good(df, known.limit(0)).count() == df.count()
+
+
 def edit_distance_1(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
