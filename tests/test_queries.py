@@ -34,6 +34,16 @@ def test_query(spark, name):
     assert key(df.select(*names).collect()) == key(found.fetchall())
 
 
+def test_fingerprint_gathers_nothing(spark, tmp_path):
+    rows = [(i % 50, f"text {i}" if i % 7 else None, ["a", "b", None][i % 3]) for i in range(400) if i % 50 != 3]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["index_fingerprint"](spark, str(tmp_path))
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+    found = duckdb.connect().execute(ORACLE["index_fingerprint"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
+    assert sorted(map(str, map(tuple, df.select("source", "objects", "fingerprint").collect()))) == sorted(map(str, found.fetchall()))
+
+
 def test_text(spark):
     rows = [(1, " a  b c "), (2, ""), (3, None), (4, "Why? No. Yes!"), (5, "x\r\n\r\n\r\n\r\ny ​z  \n"), (6, "key sk-abcdefgh12 end")]
     df = spark.createDataFrame(rows, "i int, t string").select("i", T.truncate_words(F.col("t"), 2).alias("short"), T.first_sentence(F.col("t")).alias("first"), T.slug(F.col("t")).alias("slug"), T.normalise(F.col("t")).alias("normal"), T.scrub(F.col("t")).alias("clean"), T.tokens(F.col("t")).alias("w"))
