@@ -1,19 +1,20 @@
 """Line dedup by deletion neighbourhoods, with DataFrame functions alone.
 
-A line (of a longer line, each stretch of ``unit`` characters) goes if an earlier one, by doc_id and place, equals it or
-is one edit away; equal lines collapse to their first place before anything else. One edit leaves a half of a line as it
-was, so lines that share no half (by hash, for their length and one less) with another line cannot be near one and stop there.
-The others emit themselves and all their variants with one character deleted as hashed keys. Lines that lack
-the same character place are a substitution apart; a line and a variant that equal are an insertion apart. Equal keys meet in a window,
-whose size is bounded by the alphabet and ``unit``; the earliest partner of each line is verified by its edit distance.
-
-With ``unit=None`` lines are judged whole, however long; with ``edits`` over 1 more edits are allowed. Then variants would be too many: of ``edits`` + 1 parts of a line
-one at least is left as it was, moved by as many places as edits lie before it. So each line is known by its own parts and looks for the
-parts of lines that are as long or up to ``edits`` shorter; whoever shares a part, and differs in few words, is verified.
+A line goes if an earlier one, by doc_id and place, equals it or is at most ``edits`` edits away; equal lines collapse to their first
+place before anything else. ``edits`` edits leave one of ``edits`` + 1 parts of a line as it was, so lines that share no part
+(by hash, for their length and those up to ``edits`` less) with another line cannot be near one and stop there.
+
+The others emit their variants as hashed keys. For one edit the place is narrowed first: a line is cut in segments of about the square root of
+its length, and only a segment whose outside equals another line's outside can hold the edit. Such a segment emits itself and all its
+variants with one character deleted: two that lack the same place are a substitution apart, a variant that equals a whole segment is an insertion
+apart. So a line of n characters makes about 4 * sqrt(n) keys, however many lines share a part. For more edits a whole line emits all variants
+with up to ``edits`` places deleted or marked; two that equal and need no more than ``edits`` of these together are near.
+Keys meet in a window, whose size is bounded by the alphabet and the line; no pairs within a group are made: each variant meets only the earliest line that it
+can be near, and that pair is verified by its edit distance.
 
 Nulls and edges: null and empty texts stay as they are; blank lines always stay; lines of fewer than
 ``least`` characters go only if equal to an earlier one; a document left without any line but blank ones goes, if it had some before; rows with
-equal doc_id are ordered by a hash of their text, and rows that repeat wholly are treated alike; a null doc_id comes first; extra columns are carried along (ones named n_lines or n_kept are replaced).
+equal doc_id are ordered by a hash of their text, and rows that repeat wholly are treated alike; a null doc_id comes first; extra columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -23,56 +24,25 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import materialize
 
-#: Lines that share a half are broadcast by an 8-byte hash up to this count (16 MB), else joined by a shuffle.
+#: Lines that share a part are broadcast by an 8-byte hash up to this count (16 MB), else joined by a shuffle.
 BROADCAST_LINES = 2_000_000
 
-
 SPACE = " \t\n\x0b\x0c\r"
 
 
 class LineDedup:
-    """Parameters: characters in a stretch (None for whole lines), characters in a line that is compared for edits, edits at most."""
+    """Parameters: characters in a line that is compared for edits, edits at most (the variants of a line grow with its length to this power)."""
 
-    def __init__(self, unit: int | None = 512, least: int = 16, edits: int = 1):
-        self.unit, self.least, self.edits = unit, least, edits
-        #: SQL for the units of a text, the newline that ends one included.
-        self.units = f"regexp_extract_all(text, '(?s)[^\\n]{f'{{1,{unit}}}' if unit else '+'}\\n?|\\n', 0)"
+    def __init__(self, least: int = 16, edits: int = 1):
+        self.least, self.edits = least, edits
 
     def _lines(self, docs: DataFrame) -> DataFrame:
-        cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dh"), F.expr(f"posexplode({self.units}) as (no, raw)"))
-        return cols.select("doc_id", "dh", "no", F.rtrim("raw", F.lit("\n")).alias("u")).where(F.trim("u", F.lit(SPACE)) != "")
+        text = F.col("text").cast("string")
+        cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("dh"), F.posexplode(F.split(text, "\n")).alias("no", "u"))
+        return cols.where(F.trim("u", F.lit(SPACE)) != "")
 
     def first_places(self, docs: DataFrame) -> DataFrame:
-        """a, b (hashes of a distinct line), place (its first one), keys (hashes of its halves, its own and as the longer one)."""
-        half = lambda side, n, text: f"xxhash64('{side}', {n}, {text})"
-        keys = f"""case when n < {self.least} then array() else array(
-            struct({half('p', 'n', 'left(u, n div 2)')} as key, 1 as own, 1 as side), struct({half('s', 'n', 'substring(u, n div 2 + 1)')} as key, 1 as own, 0 as side),
-            struct({half('p', 'n - 1', 'left(u, (n - 1) div 2)')} as key, 0 as own, 1 as side), struct({half('s', 'n - 1', 'substring(u, (n - 1) div 2 + 2)')} as key, 0 as own, 0 as side)) end"""
-        lines = self._lines(docs).withColumn("n", F.length("u"))
-        lines = lines.select(F.xxhash64("u").alias("a"), F.xxhash64(F.lit(17), "u").alias("b"), F.struct("doc_id", "dh", "no", F.expr(keys).alias("keys")).alias("place"))
-        return lines.groupBy("a", "b").agg(F.min("place").alias("place"))
-
-    def near(self, docs: DataFrame, first: DataFrame) -> DataFrame:
-        """a, b of the distinct lines that are one edit away from an earlier one."""
-        keys = first.select("a", F.explode("place.keys").alias("k")).select("a", "k.key", "k.own", "k.side")
-        shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("own")).where("n > 1 and own > 0").select("key")
-        likely = materialize(keys.join(shared, "key", "left_semi").groupBy("a").agg(F.max("side").alias("late"), F.max(1 - F.col("side")).alias("early")))
-        likely = F.broadcast(likely) if likely.count() <= BROADCAST_LINES else likely
-        place = F.struct("place.doc_id", "place.dh", "place.no", "a", "b")
-        texts = self._lines(docs).withColumn("a", F.xxhash64("u")).join(likely, "a").withColumn("b", F.xxhash64(F.lit(17), "u"))
-        texts = materialize(texts.groupBy("a", "b").agg(F.first("u").alias("u"), F.max("late").alias("late"), F.max("early").alias("early")).join(first.select("a", "b", place.alias("me")), ["a", "b"]))
-        # an edit is in the half that isn't shared; one place more allows for the two ways to halve
-        cut = "transform(sequence(if(early = 1, 0, length(u) div 2 - 1), if(late = 1, length(u) - 1, length(u) div 2)), p -> struct(p as p, xxhash64(concat(left(u, p), substring(u, p + 2))) as v))"
-        own = "array(struct(-1 as p, xxhash64(u) as v))"
-        variants = texts.repartition("a").select("me", F.expr(f"explode(concat({own}, {cut})) as x")).select("me", "x.p", "x.v")
-        v, vp = Window.partitionBy("v"), Window.partitionBy("v", "p")
-        mate = F.when(F.col("p") < 0, F.min(F.when(F.col("p") >= 0, F.col("me"))).over(v)).otherwise(F.least(F.min("me").over(vp), F.min(F.when(F.col("p") < 0, F.col("me"))).over(v)))
-        pairs = variants.select("me", mate.alias("mate")).where("mate < me").groupBy("me").agg(F.collect_set("mate").alias("mates")).select("me", F.explode("mates").alias("mate"))
-        both = pairs.join(texts.select("me", F.col("u").alias("x")), "me").join(texts.select(F.col("me").alias("mate"), F.col("u").alias("y")), "mate")
-        return both.where(F.levenshtein("x", "y", 1) >= 0).select("me.a", "me.b").distinct()
-
-    def part_places(self, docs: DataFrame) -> DataFrame:
-        """a, b (hashes of a distinct line), place (its first one), keys (hashes of its ``edits`` + 1 parts, then of the parts it looks for), words (parity of its words)."""
+        """a, b (hashes of a distinct line), place (its first one), keys (hashes of its ``edits`` + 1 parts, then of the parts it looks for)."""
         k = self.edits
         part = lambda i, m, moved: f"xxhash64({i}, {m}, substring(u, {i} * ({m}) div {k + 1} + {1 + moved}, {i + 1} * ({m}) div {k + 1} - {i} * ({m}) div {k + 1}))"
         keys = [part(i, "n", 0) for i in range(k + 1)]
@@ -83,55 +53,99 @@ class LineDedup:
                 keys += [part(i, f"n - {less}", moved) for moved in moves if less or moved]
         lines = self._lines(docs).withColumn("n", F.length("u"))
         held = F.expr(f"case when n < {self.least} then array() else array({', '.join(keys)}) end").alias("keys")
-        words = F.expr("aggregate(split(u, ' '), 0L, (s, w) -> s ^ shiftleft(1L, cast(pmod(xxhash64(w), 64) as int)))").alias("words")
-        lines = lines.select(F.xxhash64("u").alias("a"), F.xxhash64(F.lit(17), "u").alias("b"), F.struct("doc_id", "dh", "no", held, words).alias("place"))
+        lines = lines.select(F.xxhash64("u").alias("a"), F.xxhash64(F.lit(17), "u").alias("b"), F.struct("doc_id", "dh", "no", held).alias("place"))
         return lines.groupBy("a", "b").agg(F.min("place").alias("place"))
 
-    def near_whole(self, docs: DataFrame, first: DataFrame) -> DataFrame:
-        """a, b of the distinct lines that are at most ``edits`` edits away from an earlier one."""
-        keys = first.select("a", F.col("place.words").alias("w"), F.posexplode("place.keys").alias("i", "key"))
-        own = keys.where(F.col("i") <= self.edits).select("key", F.col("a").alias("y"), F.col("w").alias("v"))
-        # an edit takes or adds three words at most: it joins two to one, or splits one
-        alike = (F.col("a") != F.col("y")) & (F.bit_count(F.col("w").bitwiseXOR(F.col("v"))) <= 3 * self.edits)
-        met = keys.select("key", "a", "w").join(own, "key").where(alike)
-        pairs = materialize(met.select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("y")).distinct())
-        likely = materialize(pairs.select("a").unionByName(pairs.select(F.col("y").alias("a"))).distinct())
+    def _likely(self, docs: DataFrame, first: DataFrame) -> DataFrame:
+        """me (place and hashes), u: the distinct lines that share a part with another one."""
+        keys = first.select("a", F.posexplode("place.keys").alias("i", "key"))
+        own = F.count_if(F.col("i") <= self.edits)
+        shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), own.alias("own")).where("n > 1 and own > 0").select("key")
+        likely = materialize(keys.join(shared, "key", "left_semi").select("a").distinct())
         likely = F.broadcast(likely) if likely.count() <= BROADCAST_LINES else likely
-        texts = self._lines(docs).withColumn("a", F.xxhash64("u")).join(likely, "a").withColumn("b", F.xxhash64(F.lit(17), "u"))
-        place = F.struct("place.doc_id", "place.dh", "place.no", "a", "b")
-        texts = materialize(texts.groupBy("a", "b").agg(F.first("u").alias("u")).join(first.select("a", "b", place.alias("me")), ["a", "b"]).select("a", "u", "me"))
-        both = pairs.join(texts.select("a", F.col("u").alias("u1"), F.col("me").alias("me1")), "a").join(texts.select(F.col("a").alias("y"), F.col("u").alias("u2"), F.col("me").alias("me2")), "y")
-        return both.where(F.levenshtein("u1", "u2", self.edits) >= 0).select(F.greatest("me1", "me2").alias("me")).select("me.a", "me.b").distinct()
+        texts = self._lines(docs).withColumn("a", F.xxhash64("u")).join(likely, "a").groupBy("a", F.xxhash64(F.lit(17), "u").alias("b")).agg(F.first("u").alias("u"))
+        me = F.struct("place.doc_id", "place.dh", "place.no", "a", "b").alias("me")
+        return materialize(texts.join(first.select("a", "b", me), ["a", "b"]).select("me", "u").repartition("me"))
+
+    def _one_edit(self, texts: DataFrame) -> DataFrame:
+        """me, mate: each line and the earliest that a variant of one of its segments meets."""
+        # a line in its own length and, as the longer of two, in one less: its segment then has one character more
+        ways = texts.select("me", "u", F.expr("explode(array(struct(length(u) as m, 0 as more), struct(length(u) - 1 as m, 1 as more))) as w")).select("me", "u", "w.m", "w.more")
+        cut = ways.withColumn("s", F.expr("greatest(16, cast(ceil(sqrt(m)) as int))")).withColumn("j", F.expr("explode(sequence(0, (m - 1) div s))"))
+        outside = F.expr("xxhash64(j, m, left(u, j * s), substring(u, (j + 1) * s + more + 1))")
+        segments = cut.select("me", "more", outside.alias("key"), F.expr("substring(u, j * s + 1, s + more)").alias("g"))
+        shared = segments.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("more") == 0).alias("own")).where("n > 1 and own > 0").select("key")
+        lacking = "transform(sequence(1, length(g)), p -> struct({p} as p, xxhash64(key, {p}, left(g, p - 1), substring(g, p + 1)) as v))"
+        whole = "transform(sequence(1, length(g)), p -> struct(0 as p, xxhash64(key, 0, concat(left(g, p - 1), substring(g, p + 1))) as v))"
+        made = F.expr(f"explode(if(more = 1, {whole}, concat(array(struct(-1 as p, xxhash64(key, 0, g) as v)), {lacking.format(p='p')}))) as x")
+        variants = segments.join(shared, "key", "left_semi").select("me", made).select("me", "x.p", "x.v")
+        v = Window.partitionBy("v")
+        least = lambda p: F.min(F.when(F.col("p") == p, F.col("me"))).over(v)
+        mate = F.when(F.col("p") == -1, least(0)).when(F.col("p") == 0, least(-1)).otherwise(F.min("me").over(v))
+        return variants.select("me", mate.alias("mate")).where("mate < me").distinct()
+
+    def _more_edits(self, texts: DataFrame) -> DataFrame:
+        """me, mate: each line and the earliest that one of its variants meets, by how many places the two lack."""
+
+        def ways(made: str, at: str, left: int, lack: int) -> str:
+            marked, p = self.edits - left - lack, f"p{left}"
+            one = f"array(struct({lack} as lack, {marked} as marked, xxhash64({marked}, concat({made}, substring(u, {at} + 1))) as v))"
+            if not left:
+                return one
+            until = f"concat({made}, substring(u, {at} + 1, {p} - {at}))"
+            more = f"concat({ways(f'concat({until}, char(0))', f'({p} + 1)', left - 1, lack)}, {ways(until, f'({p} + 1)', left - 1, lack + 1)})"
+            return f"concat({one}, flatten(transform(filter(sequence({at}, length(u)), x -> x < length(u)), {p} -> {more})))"
+
+        found = texts.select("me", F.expr(f"explode({ways("''", '0', self.edits, 0)}) as x")).select("me", "x.*")
+        v = Window.partitionBy("v", "marked")
+        mate = F.lit(None)
+        for lack in range(self.edits + 1):
+            earliest = F.min(F.when(F.col("lack") == lack, F.col("me"))).over(v)
+            mate = F.least(mate, F.when(F.col("lack") + F.col("marked") + lack <= self.edits, earliest)) if lack else F.when(F.col("lack") + F.col("marked") <= self.edits, earliest)
+        return found.select("me", mate.alias("mate")).where("mate < me").distinct()
 
-    def dedup(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with the lines kept, and columns n_lines and n_kept (units that are not blank)."""
-        whole = self.unit is None or self.edits != 1
-        first = materialize(self.part_places(docs) if whole else self.first_places(docs))
-        near = self.near_whole(docs, first) if whole else self.near(docs, first)
-        kept = first.select("a", "b", "place.doc_id", "place.dh", "place.no").join(near, ["a", "b"], "left_anti")
+    def near(self, docs: DataFrame, first: DataFrame) -> DataFrame:
+        """a, b of the distinct lines that are at most ``edits`` edits away from an earlier one."""
+        texts = self._likely(docs, first)
+        pairs = self._one_edit(texts) if self.edits == 1 else self._more_edits(texts)
+        both = pairs.join(texts.select("me", F.col("u").alias("x")), "me").join(texts.select(F.col("me").alias("mate"), F.col("u").alias("y")), "mate")
+        return both.where(F.levenshtein("x", "y", self.edits) >= 0).select("me.a", "me.b").distinct()
+
+    def _kept(self, docs: DataFrame) -> DataFrame:
+        """row (all columns), text (of the lines kept), n_lines, n_kept (lines that are not blank)."""
+        first = materialize(self.first_places(docs))
+        kept = first.select("a", "b", "place.doc_id", "place.dh", "place.no")
+        if self.edits:
+            kept = kept.join(self.near(docs, first), ["a", "b"], "left_anti")
         kept = kept.groupBy("doc_id", "dh").agg(F.sort_array(F.collect_list("no")).alias("nos"))
-        # a sign for each unit up to the last kept one
+        # a sign for each line up to the last kept one
         flags = "split(array_join(transform(nos, (x, i) -> concat(repeat('0', x - if(i = 0, 0, nos[i - 1] + 1)), '1')), ''), '')"
-        kept = kept.select(F.col("doc_id").alias("_d"), F.col("dh").alias("_h"), F.expr(flags).alias("_flags"))
-        out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
-        out = out.withColumn("_u", F.expr(self.units)).withColumn("_f", F.coalesce("_flags", F.array().cast("array<string>")))
-        zipped = F.filter(F.arrays_zip("_u", "_f"), lambda x: x["_u"].isNotNull())
-        unit = lambda x: F.struct(x["_u"].alias("u"), (F.trim(x["_u"], F.lit(SPACE)) == "").alias("blank"), F.coalesce(x["_f"] == "1", F.lit(False)).alias("f"))
-        out = out.withColumn("_units", F.transform(zipped, unit)).drop("_u", "_f")
-        text = F.expr("array_join(transform(filter(_units, x -> x.blank or x.f), x -> x.u), '')")
-        text = F.when(F.col("text").endswith("\n"), text).otherwise(F.regexp_replace(text, "\n$", ""))
-        out = out.withColumn("n_lines", F.expr("size(filter(_units, x -> not x.blank))").cast("long")).withColumn("n_kept", F.expr("size(filter(_units, x -> x.f))").cast("long"))
-        all_kept = F.col("text").isNull() | (F.col("n_lines") == F.col("n_kept"))
-        out = out.withColumn("text", F.when(all_kept, F.col("text")).otherwise(text))
-        return out.drop("_d", "_h", "_flags", "_units").withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_kept", F.greatest("n_kept", F.lit(0)))
+        kept = kept.select(F.col("doc_id").alias("d"), F.col("dh").alias("h"), F.expr(flags).alias("flags"))
+        text = F.col("row.text").cast("string")
+        given = docs.select(F.struct(*docs.columns).alias("row")).select("row", text.alias("text"), F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("dh"))
+        out = given.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("dh") == F.col("h")), "left")
+        out = out.withColumn("lines", F.split("text", "\n")).withColumn("solid", F.filter("lines", lambda x: F.trim(x, F.lit(SPACE)) != ""))
+        n_kept = F.coalesce(F.size(F.filter("flags", lambda x: x == "1")), F.lit(0)).cast("long")
+        left = F.filter("lines", lambda x, i: (F.trim(x, F.lit(SPACE)) == "") | F.coalesce(F.get("flags", i) == "1", F.lit(False)))
+        out = out.select("row", "text", "lines", "flags", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("solid")).cast("long").alias("n_lines"), F.when(F.col("flags").isNull(), F.lit(0)).otherwise(n_kept).cast("long").alias("n_kept"))
+        text = F.when(F.col("text").isNull() | (F.col("n_lines") == F.col("n_kept")), F.col("text")).otherwise(F.array_join(left, "\n"))
+        return out.select("row", text.alias("text"), "n_lines", "n_kept")
+
+    def dedup(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with the lines kept, and columns n_lines and n_kept (lines that are not blank), in place of any of that name."""
+        cols = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_kept")]
+        return self._kept(docs).select(*cols, "n_lines", "n_kept")
+
+    def drop_lines(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with the lines kept; documents left without any go."""
+        same = F.col("n_lines") == F.col("n_kept")
+        new = {"text": F.col("text"), "n_chars": F.when(same, F.col("row")["n_chars"]).otherwise(F.length("text").cast("long")) if "n_chars" in docs.columns else None}
+        return self._kept(docs).where("n_lines = 0 or n_kept > 0").select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_lines(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with the lines kept; documents left without any go."""
-    out = LineDedup(**parameters).dedup(docs).where("n_lines = 0 or n_kept > 0")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_lines") == F.col("n_kept"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    """``docs`` without the lines that equal or are near an earlier one; documents left without any line go."""
+    return LineDedup(**parameters).drop_lines(docs)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -142,9 +156,7 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH docs AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS id FROM documents),
-units AS (SELECT id, doc_id, no, regexp_extract_all(text, '(?s)[^\n]{1,512}\n?|\n')[no] AS raw FROM
-  (SELECT *, unnest(range(1, len(regexp_extract_all(text, '(?s)[^\n]{1,512}\n?|\n')) + 1)) AS no FROM docs) t),
-lines AS (SELECT *, regexp_replace(raw, '\n$', '') AS u FROM units),
+lines AS (SELECT id, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM docs WHERE text IS NOT NULL),
 full_lines AS (SELECT * FROM lines WHERE regexp_matches(u, '[^\x20\x09-\x0D]')),
 firsts AS (SELECT u, min(id * 1000000 + no) AS place, length(u) AS n FROM full_lines GROUP BY u),
 halves AS (SELECT u, place, n, n AS m, left(u, n // 2) AS p, right(u, n - n // 2) AS s FROM firsts WHERE n >= 16
@@ -155,8 +167,7 @@ near AS (SELECT DISTINCT u FROM pairs WHERE levenshtein(u, v) <= 1),
 marked AS (SELECT l.*, regexp_matches(l.u, '[^\x20\x09-\x0D]') AS solid, f.place = l.id * 1000000 + l.no AND l.u NOT IN (SELECT u FROM near) AS keep
   FROM lines l LEFT JOIN firsts f USING (u)),
 made AS (SELECT id, count(*) FILTER (solid) AS n_lines, count(*) FILTER (solid AND keep) AS n_kept,
-  coalesce(string_agg(raw, '' ORDER BY no) FILTER (NOT solid OR keep), '') AS text FROM marked GROUP BY id),
-done AS (SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept,
-  CASE WHEN n_lines IS NULL OR n_lines = n_kept THEN d.text WHEN ends_with(d.text, chr(10)) THEN m.text ELSE regexp_replace(m.text, '\n$', '') END AS text
+  coalesce(string_agg(u, chr(10) ORDER BY no) FILTER (NOT solid OR keep), '') AS text FROM marked GROUP BY id),
+done AS (SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, CASE WHEN n_lines IS NULL OR n_lines = n_kept THEN d.text ELSE m.text END AS text
   FROM docs d LEFT JOIN made m USING (id))
 SELECT doc_id, n_lines, n_kept, length(text)::BIGINT AS kept_chars, md5(text) AS kept_md5 FROM done"""
