@@ -34,6 +34,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch, column: str, rows: int = 500, size: int = 8 << 20):
+    """Parts of an Arrow batch of at most ``rows`` rows and, but for single longer ones, ``size`` bytes in ``column``."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        until = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        until = max(at + 1, min(until, at + rows))
+        yield batch.slice(at, until - at)
+        at = until
+
+
 def row_keys() -> list[Column]:
     """k1, k2: digests of ``text``; with the doc_id they tell rows apart that share it, or have none."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

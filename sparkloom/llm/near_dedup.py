@@ -18,15 +18,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import components, materialize, row_keys
+from sparkloom.llm.common import components, materialize, row_keys, slices
 from sparkloom.llm.shingles import WordHashes, mix, shingle_set, signature
 
 COORDINATES = 64
 #: Large nodes are broadcast by their 8-byte names up to this many (16 MB), else joined by a shuffle.
 BROADCAST_PATHS = 1_000_000
+#: So are main components of nodes, by 32 bytes each.
+BROADCAST_MAINS = 500_000
 NO_ID = np.iinfo(np.int64).max
 _FEATURES = "d long, n_shingles long, h1 long, h2 long, sig binary"
 _LINKS = "xd long, xh long, yd long, yh long"
@@ -43,20 +45,21 @@ def _features(size: int):
         import xxhash
 
         hashes, (mul, add) = WordHashes(), _constants()
-        for batch in batches:
-            n, h1, h2, sig = [], [], [], []
-            for text in batch.column("text"):
-                s = shingle_set(text.as_py(), size, hashes)
-                n.append(len(s))
-                if len(s):
-                    digest = xxhash.xxh3_128_digest(s.tobytes())
-                    a, b = np.frombuffer(digest, np.int64)
-                    h1.append(int(a)), h2.append(int(b)), sig.append(signature(s, mul, add).tobytes())
-                else:
-                    h1.append(None), h2.append(None), sig.append(None)
-            keys = [c for c in batch.schema.names if c not in ("d", "text")]
-            made = [batch.column("d"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), *[batch.column(c) for c in keys]]
-            yield pa.RecordBatch.from_arrays(made, ["d", "n_shingles", "h1", "h2", "sig", *keys])
+        for whole in batches:
+            for batch in slices(whole, "text", 2000):
+                n, h1, h2, sig = [], [], [], []
+                for text in batch.column("text"):
+                    s = shingle_set(text.as_py(), size, hashes)
+                    n.append(len(s))
+                    if len(s):
+                        digest = xxhash.xxh3_128_digest(s.tobytes())
+                        a, b = np.frombuffer(digest, np.int64)
+                        h1.append(int(a)), h2.append(int(b)), sig.append(signature(s, mul, add).tobytes())
+                    else:
+                        h1.append(None), h2.append(None), sig.append(None)
+                keys = [c for c in batch.schema.names if c not in ("d", "text")]
+                made = [batch.column("d"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), *[batch.column(c) for c in keys]]
+                yield pa.RecordBatch.from_arrays(made, ["d", "n_shingles", "h1", "h2", "sig", *keys])
 
     return run
 
@@ -221,7 +224,7 @@ def _sets(size: int):
         import xxhash
 
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole, "text", 2000)):
             out = []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), size, hashes)
@@ -311,6 +314,8 @@ class NearDedup:
         size = n.groupBy("main").agg(F.sum(F.col("lesser").cast("long")).alias("few"), F.count(F.lit(1)).alias("all"))
         parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / self.block)).cast("int")
         spot = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+        size = materialize(size)
+        size = F.broadcast(size) if size.count() <= BROADCAST_MAINS else size  # else rows of a large main meet in one task
         n = n.join(size, "main").withColumn("p", parts("few")).withColumn("q", parts("all"))
         own = n.where("lesser").withColumn("i", spot("p")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
         others = n.withColumn("j", spot("q")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).withColumn("lesser", F.lit(False))
@@ -356,11 +361,12 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     rows, comps = NearDedup(**parameters).links(docs, keys=True)
     first = rows.join(_named(rows, comps), ["h1", "h2"]).groupBy("c").agg(F.min(F.struct("d", "k1", "k2")).alias("k")).select("k.*")
     kept = first.unionByName(rows.where("h1 is null").select("d", "k1", "k2").distinct()).toDF("_kept", "_kept1", "_kept2")
-    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    marked = docs.withColumns({"_d": d} | dict(zip(("_k1", "_k2"), row_keys(), strict=True)))
-    marked = marked.join(kept, (F.col("_d") == F.col("_kept")) & (F.col("_k1") == F.col("_kept1")) & (F.col("_k2") == F.col("_kept2")), "left_semi")
-    marked = marked.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_k1", "_k2").orderBy("text")))
-    return marked.where("_n = 1").select(*docs.columns)
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), d, *row_keys())
+    keyed = keyed.join(kept, (F.col("d") == F.col("_kept")) & (F.col("k1") == F.col("_kept1")) & (F.col("k2") == F.col("_kept2")), "left_semi")
+    # of rows that repeat one stays, with its own extra columns: the least by a hash of them
+    hashed = F.xxhash64(*[F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    return keyed.groupBy("d", "k1", "k2").agg(F.min_by("row", hashed).alias("row")).select("row.*")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

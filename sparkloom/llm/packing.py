@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, root_of, spread_rank
+from sparkloom.llm.common import materialize, root_of, slices, spread_rank
 from sparkloom.llm.token_cache import WordIds
 
 
@@ -36,8 +36,7 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches):
         words = WordIds.of(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in slices(whole, "text", 256):
                 rows = []
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), words.texts([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                     ids += last

@@ -1,13 +1,14 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are the shapes of its words (letters by case, digits, other signs as they are, runs as one), pairs of
-shapes in a row, and words that repeat one of the four before, hashed to ``TERMS`` places. Document frequencies count all documents.
-The vectors of a bounded sample of labelled documents span the latent space (singular vectors of their weighted terms); they are
-broadcast, at most ``sample`` times ``rank`` numbers. Every document's cosine with every one of them is computed, in blocks, and the
-``k`` nearest vote, weighted by similarity.
-
-Labels are learnt only from documents whose crc32(doc_id as text) mod 4 is not 2. Nulls and edges: a text without
-words, null ones too, gets the share of label 1 in the sample; without any labels the score is 0.5; null doc_id: held_out is
+A text's terms are its words in lower case, hashed to half of ``TERMS`` places, and in the other half the shapes of its words (letters by case,
+digits, other signs as they are, runs as one), pairs of shapes in a row, and how many words repeat one of the four before. Document frequencies
+count all documents. The vectors of a bounded sample of labelled documents span the latent space (singular vectors of their weighted
+terms); they are broadcast, at most ``sample`` times ``rank`` numbers. Every document's cosine with every one of them is computed, in blocks, and the
+``k`` nearest vote, weighted by similarity. Ties, of cosines rounded to nine digits, go to the document that comes first in the sample, which is in the
+order of a hash of doc_id.
+
+Labels are learnt only from documents whose crc32(doc_id as text) mod 4 is not 2; labels of one doc_id that disagree count by their mean.
+Nulls and edges: a text without words, null ones too, gets the share of label 1 in the sample; without any labels the score is 0.5; null doc_id: held_out is
 false and it is never learnt from; rows that repeat are all scored; extra columns are ignored.
 """
 
@@ -19,10 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, row_keys
+from sparkloom.llm.common import materialize, row_keys, slices
 
 TERMS = 2048
-CACHE_WORDS = 500_000
+HALF = TERMS // 2
+CACHE_WORDS = 200_000
 
 
 def shape(word: str) -> str:
@@ -34,41 +36,48 @@ def shape(word: str) -> str:
     return out
 
 
-class Shapes(dict):
-    """A number for each word's shape; the table starts anew when it is full."""
+class Words(dict):
+    """For each word 32 bits of its shape's hash, and above them 32 of its own; the table starts anew when it is full."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(shape(word).encode("utf-8", "surrogatepass"))
+        low = xxhash.xxh32_intdigest(shape(word).encode("utf-8", "surrogatepass"))
+        self[word] = value = low | xxhash.xxh32_intdigest(word.lower().encode("utf-8", "surrogatepass")) << 32
         return value
 
 
-def _terms(text: str, shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
+def _terms(text: str, table: Words) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights (square roots of frequencies) of a text's terms."""
     words = text.split()
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
-    s = np.fromiter(map(shapes.__getitem__, words), np.uint64, len(words))
-    w = np.fromiter(map(hash, words), np.int64, len(words))  # compared within this text only
-    again = np.zeros(len(w), bool)
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    both = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
+    s, w = both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)
+    again = np.zeros(len(both), bool)
     for k in range(1, 5):
-        again[k:] |= w[k:] == w[:-k]
+        again[k:] |= both[k:] == both[:-k]
     pair = s[1:] * np.uint64(0x9E3779B97F4A7C15) ^ s[:-1]
-    place = np.concatenate([s, pair ^ (pair >> np.uint64(32))]) % np.uint64(TERMS - 1)
+    place = np.concatenate([s % np.uint64(HALF - 1), (pair ^ (pair >> np.uint64(32))) % np.uint64(HALF - 1), w % np.uint64(HALF) + np.uint64(HALF)])
     count = np.bincount(place.astype(np.int64), minlength=TERMS)
-    count[TERMS - 1] = 2 * again.sum()
+    count[HALF - 1] = 2 * again.sum()
     at = np.flatnonzero(count)
-    return at, np.sqrt(count[at] / len(words)).astype(np.float32)
+    return at.astype(np.int32), np.sqrt(count[at] / len(words)).astype(np.float32)
+
+
+def _lists(parts: list[np.ndarray], kind) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), kind))
 
 
 def _features(batches):
-    shapes = Shapes()
-    for batch in batches:
-        found = [_terms(t or "", shapes) for t in batch.column("text").to_pylist()]
-        made = [pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float32()))]
-        kept = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, "terms", "weights"])
+    table = Words()
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            found = [_terms(t or "", table) for t in batch.column("text").to_pylist()]
+            made = [_lists([a for a, _ in found], pa.int32()), _lists([v for _, v in found], pa.float32())]
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, "terms", "weights"])
 
 
 def _dense(terms: pa.Array, weights: pa.Array) -> np.ndarray:
@@ -90,10 +99,10 @@ class Quality:
         idf = np.zeros(TERMS, np.float32)
         for term, df in features.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # TERMS rows at most
             idf[term] = np.log((1 + n) / (1 + df)) + 0.2
-        learn = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+        learn = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("quality"))
         learn = learn.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-        rows = features.where(F.size("terms") > 0).join(learn, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(self.sample)
-        t = rows.select("terms", "weights", F.col("quality").cast("int").alias("quality")).toArrow().combine_chunks()
+        rows = features.where(F.size("terms") > 0).join(learn, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("terms", "weights")).limit(self.sample)
+        t = rows.select("terms", "weights", "quality").toArrow().combine_chunks()
         if not t.num_rows:
             return idf[:, None] * 0, np.zeros((0, 1), np.float32), np.zeros(0)
         b = t.to_batches()[0]
@@ -101,7 +110,7 @@ class Quality:
         _, basis = np.linalg.eigh((x.T @ x).astype(np.float64))
         basis = basis[:, ::-1][:, : self.rank]
         project = (idf[:, None] * basis).astype(np.float32)
-        return project, _unit(x @ basis.astype(np.float32)), b.column("quality").to_numpy()
+        return project, _unit((x @ basis.astype(np.float32)).astype(np.float64)), b.column("quality").to_numpy()
 
     def scored(self, docs: DataFrame, labels: DataFrame, keys: list | None = None) -> tuple[DataFrame, bool]:
         """(doc_id, the long columns ``keys``, score; whether there were labels to fit on)."""
@@ -126,6 +135,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _voted(model, k: int, block: int):
     def run(batches):
         project, known, label = model.value
+        first = np.arange(len(label)) * (5e-10 / max(1, len(label)))
         for whole in batches:
             for at in range(0, whole.num_rows, block):
                 b = whole.slice(at, block)
@@ -133,9 +143,10 @@ def _voted(model, k: int, block: int):
                 score = np.full(len(x), float(label.mean()) if len(label) else 0.5)
                 some = np.flatnonzero(x.any(axis=1))
                 if len(label) and len(some):
-                    cosine = _unit(x[some] @ project) @ known.T
-                    near = np.argpartition(-cosine, min(k, len(label)) - 1, axis=1)[:, :k]
-                    weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(np.float64) ** 4
+                    cosine = np.round(_unit((x[some] @ project).astype(np.float64)) @ known.T, 9)
+                    # a tie goes to the first: the sample's order in less than the ninth digit
+                    near = np.argpartition(-cosine + first, min(k, len(label)) - 1, axis=1)[:, :k]
+                    weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** 4
                     score[some] = (weight * label[near]).sum(axis=1) / weight.sum(axis=1)
                 kept = b.schema.names[:-2]
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(np.clip(score, 0, 1))], [*kept, "score"])
@@ -149,10 +160,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     scored, fitted = model.scored(docs, labels, row_keys())
     if not fitted:
         return docs
-    rejected = scored.where(F.col("score") < model.threshold).select("doc_id", "k1", "k2").distinct().toDF("_d", "_r1", "_r2")
-    marked = docs.withColumns(dict(zip(("_k1", "_k2"), row_keys(), strict=True)))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2"))
-    return marked.join(rejected, same, "left_anti").select(*docs.columns)
+    rejected = scored.where(F.col("score") < model.threshold).select("doc_id", "k1", "k2").distinct().toDF("d", "r1", "r2")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *row_keys())
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2"))
+    return keyed.join(rejected, same, "left_anti").select("row.*")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import xxhash
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a worker keeps; the table starts anew when it is full, which changes no result.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

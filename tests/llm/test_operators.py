@@ -18,7 +18,7 @@ from sparkloom.llm.media import A_LAW, IMA_ADPCM, MU_LAW, STEPS, a_law_table, ad
 from sparkloom.llm.mixing import Mixer, size_of, targets
 from sparkloom.llm.near_dedup import NearDedup, keep_one
 from sparkloom.llm.packing import Packer, _filling, complete_bins, fewest
-from sparkloom.llm.quality import Quality, keep_good
+from sparkloom.llm.quality import TERMS, Quality, Words, _terms, keep_good
 from sparkloom.llm.token_counts import PreTokens, SegmentTree, byte_bpe, count_tokens
 from sparkloom.llm.url_filter import judge
 
@@ -127,6 +127,26 @@ def test_mixing(spark, corpus, block):
     slots = mixer.slots(mixer.streams(df)).collect()
     seen = Counter((s.source_id, s["pass"], s.block) for s in slots)
     assert max(seen.values()) == 1 and len({s.shard for s in slots}) > 1  # each pass is a permutation, cut short
+    # every shard but the last is full; what a shard holds of each source is what its slots drew, but for those dealt anew
+    streams = mixer.streams(df)
+    plan = mixer.plan(streams)
+    total, held = sum(r.slots for r in plan.collect()), {r.source_id: r.slots for r in plan.collect()}
+    assert sorted(s.slot for s in slots) == list(range(total)) and all(s.shard == s.slot // mixer.shard_slots for s in slots)
+    chance, at = [], 0
+    for i in sorted(held):
+        chance += [i] * held[i]
+    draws = {k: chance[int(hashlib.md5(f"slot/{k}".encode()).hexdigest()[:13], 16) % total] for k in range(total)}
+    counts, drawn = Counter(draws.values()), Counter((k // mixer.shard_slots, i) for k, i in draws.items())
+    assert Counter(s.source_id for s in slots) == held
+    assert sum((Counter((s.shard, s.source_id) for s in slots) - drawn).values()) <= sum(max(0, counts[i] - n) for i, n in held.items())
+    assert "shard" in mixer.taken(df)._jdf.queryExecution().optimizedPlan().toString()
+    made = mixer.blocks(df).select("shard", "slot", size_of(F.col("text")).alias("n")).collect()
+    assert {(r.shard, r.slot): r.n for r in made} == {(s.shard, s.slot): s.words for s in slots}
+    clash = df.withColumns({c: F.lit(c) for c in CLASHES})
+    again = mixer.mixed(clash)
+    assert again.columns == clash.columns and {tuple(r[c] for c in CLASHES) for r in again.collect()} == {CLASHES}
+    tagged = mixer.mixed(docs(spark, [(1, "one two three four", "a")] * 2).withColumn("tag", F.monotonically_increasing_id()))
+    assert len({r.tag for r in tagged.collect()}) == 2
     mixed = mixer.mixed(df).select("source", "text", "n_chars").collect()
     words = Counter()
     for r in mixed:
@@ -288,6 +308,9 @@ def test_stages_tell_rows_apart(spark):
     left = keep_good(df, known).collect()
     assert {(r.doc_id, r.text) for r in left if r.doc_id is None or r.doc_id >= 200} == {(200, good[60]), (None, good[61])}
     assert keep_good(df, known.limit(0)).count() == df.count()
+    clash = df.withColumns({c: F.lit(c) for c in CLASHES})
+    assert {tuple(r[c] for c in CLASHES) for r in keep_good(clash, known).collect() + keep_one(clash).collect()} == {CLASHES}
+    assert keep_good(clash, known).count() == len(left)
 
 
 def edit_distance_1(a, b):
@@ -501,6 +524,21 @@ def test_quality(spark):
     assert all(r.held_out == held[r.doc_id] for r in got if r.doc_id in held)
     unseen = [r for r in got if held.get(r.doc_id)]
     assert len(unseen) > 100 and sum(r.predicted == truth[r.doc_id] for r in unseen) / len(unseen) > 0.97
+    # the same vote, by a full sort of all neighbours of each document
+    model = Quality(sample=200, k=15)
+    features = spark.createDataFrame([(r.doc_id, *(a.tolist() for a in _terms(r.text or "", Words()))) for r in df.collect()], "doc_id long, terms array<int>, weights array<float>")
+    project, near, label = model._fitted(features, known)
+    want = []
+    for r in df.collect():
+        at, weights = _terms(r.text or "", Words())
+        v = np.zeros(TERMS)
+        v[at] = weights
+        v = (v.astype(np.float32) @ project).astype(np.float64)
+        best = sorted((-round(float(x), 7), i) for i, x in enumerate(near @ (v / max(np.linalg.norm(v), 1e-12))))[:15]
+        w = [max(-x, 1e-6) ** 4 for x, _ in best]
+        want.append((str(r.doc_id), sum(x * label[i] for x, (_, i) in zip(w, best, strict=True)) / sum(w) if len(at) else label.mean()))
+    for (a, x), (b, y) in zip(sorted(want), sorted((str(r.doc_id), r.score) for r in got), strict=True):
+        assert a == b and abs(x - y) < 2e-3
     flipped = known.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     key = lambda rs: sorted((str(r.doc_id), round(r.score, 9)) for r in rs)
     assert key(Quality(sample=200).score(df, flipped).collect()) == key(got)  # held-out labels have no part
