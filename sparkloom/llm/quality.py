@@ -75,9 +75,9 @@ def _features(batches):
     for whole in batches:
         for batch in slices(whole, "text"):
             found = [_terms(t or "", table) for t in batch.column("text").to_pylist()]
-            made = [_lists([a for a, _ in found], pa.int32()), _lists([v for _, v in found], pa.float32())]
+            made = [pa.array([len(a) for a, _ in found], pa.int32()), _lists([a for a, _ in found], pa.int32()), _lists([v for _, v in found], pa.float32())]
             kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, "terms", "weights"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, "n_terms", "terms", "weights"])
 
 
 def _dense(terms: pa.Array, weights: pa.Array) -> np.ndarray:
@@ -101,7 +101,10 @@ class Quality:
             idf[term] = np.log((1 + n) / (1 + df)) + 0.2
         learn = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("quality"))
         learn = learn.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-        rows = features.where(F.size("terms") > 0).join(learn, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("terms", "weights")).limit(self.sample)
+        # the sample's ids come from narrow rows; only their terms are then looked up
+        order = [F.xxhash64("doc_id"), "doc_id"]
+        ids = features.where("n_terms > 0").select("doc_id").join(learn, "doc_id").distinct().orderBy(*order).limit(self.sample)
+        rows = features.where("n_terms > 0").join(F.broadcast(ids), "doc_id").orderBy(*order, F.xxhash64("terms", "weights")).limit(self.sample)
         t = rows.select("terms", "weights", "quality").toArrow().combine_chunks()
         if not t.num_rows:
             return idf[:, None] * 0, np.zeros((0, 1), np.float32), np.zeros(0)
@@ -116,7 +119,7 @@ class Quality:
         """(doc_id, the long columns ``keys``, score; whether there were labels to fit on)."""
         given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(keys or []), F.col("text").cast("string").alias("text"))
         names = ", ".join(f"{c} long" for c in given.columns[:-1])
-        features = materialize(given.mapInArrow(_features, f"{names}, terms array<int>, weights array<float>"))
+        features = materialize(given.mapInArrow(_features, f"{names}, n_terms int, terms array<int>, weights array<float>"))
         fitted = self._fitted(features, labels)
         model = docs.sparkSession.sparkContext.broadcast(fitted)
         return features.mapInArrow(_voted(model, self.k, self.block), f"{names}, score double"), len(fitted[2]) > 0
@@ -148,7 +151,7 @@ def _voted(model, k: int, block: int):
                     near = np.argpartition(-cosine + first, min(k, len(label)) - 1, axis=1)[:, :k]
                     weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** 4
                     score[some] = (weight * label[near]).sum(axis=1) / weight.sum(axis=1)
-                kept = b.schema.names[:-2]
+                kept = b.schema.names[:-3]
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(np.clip(score, 0, 1))], [*kept, "score"])
 
     return run
