@@ -1,10 +1,12 @@
 """Telephony audio in binary columns: mu-law and A-law by lookup tables, IMA ADPCM blocks, resampled PCM.
 
 A media value is a WAV file of 8-bit mu-law or A-law samples or of 4-bit ADPCM blocks. It is parsed, expanded to 16-bit PCM and
-resampled by linear interpolation; ADPCM is decoded sample by sample for all blocks of a batch at once.
+resampled, by means of samples where the rate is a whole multiple of the new one, else by linear interpolation; ADPCM is decoded sample by
+sample for all blocks of a batch at once. Texts are stored as media of the three codecs, by a checksum of their bytes; media and
+resampled PCM are written to the shared folder, and features are taken from what is read back.
 
-Nulls and edges: a null or broken media value has null PCM and null features; a WAV without samples has an empty PCM; a
-null text is stored as an empty one; rows that repeat are all kept; extra columns are ignored.
+Nulls and edges: a null or broken media value has null PCM and null features; a WAV without samples has an empty PCM; of a short last ADPCM
+block the samples that are there are decoded; a null text is stored as an empty one; rows that repeat are all kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import materialize, slices
+
 #: Fixed values of the WAV format: codec tags.
 A_LAW, MU_LAW, IMA_ADPCM = 6, 7, 17
 #: Fixed values of IMA ADPCM: change of the step's index by the low three bits of a code, and the steps.
@@ -85,6 +89,10 @@ def adpcm(blocks: np.ndarray) -> np.ndarray:
 def resampled(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     if rate == to or not len(pcm):
         return pcm
+    if rate % to == 0:  # means of as many samples as there are to one new one
+        m = rate // to
+        x = np.append(pcm, np.repeat(pcm[-1], -len(pcm) % m)).reshape(-1, m)
+        return (x.sum(axis=1, dtype=np.int32) // m).astype(np.int16)
     if to % rate == 0:  # a whole multiple: in-between samples in integer arithmetic
         m, x = to // rate, pcm.astype(np.int32)
         after = np.append(x[1:], x[-1])
@@ -97,74 +105,93 @@ def resampled(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
 _TABLES = {A_LAW: a_law_table(), MU_LAW: mu_law_table()}
 
 
-def expand(data: bytes, to: int) -> np.ndarray | None:
-    """The resampled PCM of a WAV file; None if it is broken."""
-    parts = read_wav(data)
-    if parts is None:
-        return None
-    codec, rate, align, samples = parts
-    if codec != IMA_ADPCM:
-        return resampled(_TABLES[codec][np.frombuffer(samples, np.uint8)], rate, to)
-    if align < 5:
-        return None
-    whole = len(samples) // align
-    return resampled(adpcm(np.frombuffer(samples, np.uint8)[: whole * align].reshape(whole, align)), rate, to)
-
-
-def to_pcm(media: DataFrame, rate: int = 16000, column: str = "media") -> DataFrame:
+def expand(values: list[bytes | None], to: int) -> list[np.ndarray | None]:
+    """The resampled PCM of each WAV file, None for null and broken ones; ADPCM blocks of one size are decoded together."""
+    parts = [None if v is None else read_wav(v) for v in values]
+    out: list[np.ndarray | None] = [None] * len(values)
+    by_size: dict[int, list[int]] = {}
+    for i, p in enumerate(parts):
+        if p is not None and p[0] != IMA_ADPCM:
+            out[i] = _TABLES[p[0]][np.frombuffer(p[3], np.uint8)]
+        elif p is not None and p[2] > 4:
+            by_size.setdefault(p[2], []).append(i)
+    for align, rows in by_size.items():
+        # a last block is filled up; what it has too many is cut again
+        filled = [parts[i][3] + bytes(-len(parts[i][3]) % align) for i in rows]
+        each = 2 * align - 7
+        pcm, at = adpcm(np.frombuffer(b"".join(filled), np.uint8).reshape(-1, align)), 0
+        for i, f in zip(rows, filled, strict=True):
+            n, rest = divmod(len(parts[i][3]), align)
+            out[i] = pcm[at : at + n * each + (2 * rest - 7 if rest >= 4 else 0)]
+            at += len(f) // align * each
+    return [None if x is None else resampled(x, p[1], to) for x, p in zip(out, parts, strict=True)]
+
+
+def to_pcm(media: DataFrame, rate: int = 8000, column: str = "media") -> DataFrame:
     """``media`` with a column ``pcm``: 16-bit little-endian samples at ``rate``."""
 
     @F.pandas_udf("binary")
     def run(values):
-        return values.map(lambda x: None if x is None or (y := expand(bytes(x), rate)) is None else y.astype("<i2").tobytes())
+        made = expand([None if x is None else bytes(x) for x in values], rate)
+        return type(values)([None if y is None else y.astype("<i2").tobytes() for y in made])
 
     return media.withColumn("pcm", run(F.col(column)))
 
 
-def _store(unit: int):
+def _store(unit: int, rate: int):
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in slices(whole, "text", 256):
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-                media = [wav(t + b"\xff" * (max(1, -(-len(t) // unit)) * unit - len(t))) for t in texts]
+                media = []
+                for t in texts:
+                    samples = t + b"\xff" * (max(1, -(-len(t) // unit)) * unit - len(t))
+                    codec = (A_LAW, MU_LAW, IMA_ADPCM)[zlib.crc32(samples) % 3]
+                    media.append(wav(samples, codec, rate, unit if codec == IMA_ADPCM else 1))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return run
 
 
-def store_texts(docs: DataFrame, unit: int = 576) -> DataFrame:
-    """doc_id, n_bytes, media: each text's bytes, filled up with 255 to a positive multiple of ``unit``, as mu-law samples of a WAV file."""
+def store_texts(docs: DataFrame, unit: int = 576, rate: int = 32000) -> DataFrame:
+    """doc_id, n_bytes, media: each text's bytes, filled up with 255 to a positive multiple of ``unit``, as samples (or blocks) of a WAV file."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(_store(unit), "doc_id long, n_bytes long, media binary")
+    return given.mapInArrow(_store(unit, rate), "doc_id long, n_bytes long, media binary")
 
 
-def _digest(rate: int, unit: int):
-    """Features: samples, peak, mean size, zero crossings and checksum of the resampled PCM, and the checksum of the samples read as ADPCM blocks."""
+_FOUND = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "sound": pa.string(), "pcm": pa.binary()}
+
+
+def _read(rate: int):
+    """Digests of the samples and of the file, the resampled PCM, and its codec, samples, peak, mean size and zero crossings; nulls for null and broken media."""
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                media = b.column("media").to_pylist()
-                payloads = [read_wav(m)[3] for m in media]
-                blocks = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, unit)
-                decoded, ends = adpcm(blocks), np.cumsum([0, *(len(p) // unit for p in payloads)]) * (2 * unit - 7)
-                rows = []
-                for i, (m, p) in enumerate(zip(media, payloads, strict=True)):
-                    pcm = expand(m, rate)
+            for b in slices(whole, "media", 256):
+                media, rows = b.column("media").to_pylist(), []
+                for m, pcm in zip(media, expand(media, rate), strict=True):
+                    if pcm is None:
+                        rows.append([None] * len(_FOUND))
+                        continue
+                    codec, _, _, p = read_wav(m)
                     loud, crossings = np.abs(pcm.astype(np.int32)), int(((pcm[1:] >= 0) != (pcm[:-1] >= 0)).sum())
-                    feature = f"n={len(pcm)};peak={loud.max()};mean={int(loud.sum()) // len(pcm)};crossings={crossings};pcm={zlib.crc32(pcm.tobytes())};adpcm={zlib.crc32(decoded[ends[i] : ends[i + 1]].tobytes())}"
-                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                    sound = f"codec={codec};n={len(pcm)};peak={loud.max(initial=0)};mean={int(loud.sum()) // max(1, len(pcm))};crossings={crossings}"
+                    rows.append([len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), sound, pcm.astype("<i2").tobytes()])
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FOUND.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *cols], ["doc_id", "n_bytes", *_FOUND])
 
     return run
 
 
+def features(media: DataFrame, rate: int = 8000) -> DataFrame:
+    """doc_id, n_bytes, digests and feature of ``media(doc_id, n_bytes, media)``; the resampled PCM is stored, and the feature's checksum is that of what is stored."""
+    kinds = {"int64": "long", "string": "string", "binary": "binary"}
+    schema = "doc_id long, n_bytes long, " + ", ".join(f"{c} {kinds[str(t)]}" for c, t in _FOUND.items())
+    made = materialize(media.mapInArrow(_read(rate), schema), "zstd")
+    feature = F.concat(F.col("sound"), F.lit(";pcm="), F.crc32("pcm").cast("string")).alias("feature")
+    return made.select("doc_id", "n_bytes", *[c for c in _FOUND if c not in ("sound", "pcm")], feature)
+
+
 def op5_media(spark, sf_dir: str) -> DataFrame:
-    """All documents as stored mu-law audio, read back."""
-    stored = store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.mapInArrow(_digest(16000, 576), schema)
+    """All documents as stored telephony audio, read back, its PCM stored at 8 kHz."""
+    return features(materialize(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")), "zstd"))

@@ -14,7 +14,7 @@ from sparkloom.llm.chat import Template, format_conversations, read_turns
 from sparkloom.llm.common import components, spread_rank
 from sparkloom.llm.embedding_dedup import EmbeddingDedup
 from sparkloom.llm.line_dedup import LineDedup, drop_lines
-from sparkloom.llm.media import A_LAW, IMA_ADPCM, MU_LAW, STEPS, a_law_table, adpcm, mu_law_table, read_wav, resampled, store_texts, to_pcm, wav
+from sparkloom.llm.media import A_LAW, IMA_ADPCM, MU_LAW, STEPS, a_law_table, adpcm, features, mu_law_table, read_wav, resampled, store_texts, to_pcm, wav
 from sparkloom.llm.mixing import Mixer, size_of, targets
 from sparkloom.llm.near_dedup import NearDedup, keep_one
 from sparkloom.llm.packing import Packer, _filling, complete_bins, fewest
@@ -222,13 +222,38 @@ def test_audio(spark):
     assert resampled(np.array([0, 10, 20], np.int16), 8000, 16000).tolist() == [0, 5, 10, 15, 20, 20]
     files = [(1, wav(blocks.tobytes(), IMA_ADPCM, 8000, 36)), (2, wav(b"\x00\x80", A_LAW)), (3, wav(b"", MU_LAW)), (4, None), (5, b"junk")]
     pcm = {r.i: r.pcm for r in to_pcm(spark.createDataFrame(files, "i int, media binary"), 8000).collect()}
+    short = to_pcm(spark.createDataFrame([(1, wav(blocks.tobytes()[:-30], IMA_ADPCM, 8000, 36))], "i int, media binary"), 8000).first().pcm
+    assert short == adpcm(blocks).astype("<i2").tobytes()[: 2 * (39 * 65 + 5)]  # 6 bytes are left of the last block
+    assert resampled(np.array([1, 3, 10, 20, 7], np.int16), 16000, 8000).tolist() == [2, 15, 7]
     assert pcm[1] == adpcm(blocks).astype("<i2").tobytes() and len(pcm[2]) == 4 and pcm[3] == b"" and pcm[4] is None and pcm[5] is None
     long = docs(spark, [(1, "é" * 5000, "a"), *ODD])
     for r, t in zip(sorted(store_texts(long).collect(), key=str), sorted([(1, "é" * 5000), *((i, t) for i, t, _ in ODD)], key=lambda x: str(x[0])), strict=True):
         codec, rate, _, payload = read_wav(r.media)
-        assert (codec, rate) == (MU_LAW, 8000) and len(payload) % 576 == 0 and payload and payload[r.n_bytes :] == b"\xff" * (len(payload) - r.n_bytes)
+        assert codec == (A_LAW, MU_LAW, IMA_ADPCM)[zlib.crc32(payload) % 3] and rate == 32000 and len(payload) % 576 == 0 and payload and payload[r.n_bytes :] == b"\xff" * (len(payload) - r.n_bytes)
     stored = {(r.doc_id, r.n_bytes): r.media for r in store_texts(long).collect()}
     assert read_wav(stored[(1, 10000)])[3][:10000].decode() == "é" * 5000
+    texts = [(i, prose(random.Random(i), 40 * i), "a") for i in range(12)]
+    rows = {r.doc_id: r for r in features(store_texts(docs(spark, texts))).collect()}
+    codecs = set()
+    for i, t, _ in texts:
+        raw, r = t.encode(), rows[i]
+        p = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        codec = (A_LAW, MU_LAW, IMA_ADPCM)[zlib.crc32(p) % 3]
+        codecs.add(codec)
+        if codec == IMA_ADPCM:
+            full = [x for k in range(0, len(p), 576) for x in slow(np.frombuffer(p[k : k + 576], np.uint8))]
+        else:
+            full = (a if codec == A_LAW else mu)[list(p)].tolist()
+        full += full[-1:] * (-len(full) % 4)
+        low = [sum(full[k : k + 4]) // 4 for k in range(0, len(full), 4)]
+        mean, crossings = sum(map(abs, low)) // len(low), sum((x >= 0) != (y >= 0) for x, y in zip(low, low[1:]))
+        want = f"codec={codec};n={len(low)};peak={max(map(abs, low))};mean={mean};crossings={crossings};pcm={zlib.crc32(np.array(low, '<i2').tobytes())}"
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), want)
+        m = wav(p, codec, 32000, 576 if codec == IMA_ADPCM else 1)
+        assert (r.media_bytes, r.media_sha256) == (len(m), hashlib.sha256(m).hexdigest())
+    assert codecs == {A_LAW, MU_LAW, IMA_ADPCM}
+    none = features(spark.createDataFrame([(1, 5, None), (2, 5, b"junk"), (3, 0, wav(b""))], "doc_id long, n_bytes long, media binary")).orderBy("doc_id").collect()
+    assert [r.feature for r in none[:2]] == [None, None] and none[0].payload_sha256 is None and none[2].feature.startswith("codec=7;n=0;peak=0")
 
 
 def test_embeddings(spark):
@@ -526,7 +551,7 @@ def test_quality(spark):
     assert len(unseen) > 100 and sum(r.predicted == truth[r.doc_id] for r in unseen) / len(unseen) > 0.97
     # the same vote, by a full sort of all neighbours of each document
     model = Quality(sample=200, k=15)
-    features = spark.createDataFrame([(r.doc_id, *(a.tolist() for a in _terms(r.text or "", Words()))) for r in df.collect()], "doc_id long, terms array<int>, weights array<float>")
+    features = spark.createDataFrame([(r.doc_id, len(x[0]), *(a.tolist() for a in x)) for r in df.collect() for x in [_terms(r.text or "", Words())]], "doc_id long, n_terms int, terms array<int>, weights array<float>")
     project, near, label = model._fitted(features, known)
     want = []
     for r in df.collect():
