@@ -168,16 +168,18 @@ class Mixer:
         taken = self.segments(streams, self.slots(streams)).groupBy("row", *by).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("parts"), F.sum("n").alias("taken"))
         streams = streams.select("row", "size", "doc_id", "source", "h", F.regexp_extract("row", r"(\d+)$", 1).cast("int").alias("i"))
         # rows that repeat have equal keys: they are numbered on both sides, so that each keeps its own columns
-        key = ["doc_id", "source", "h"]
+        key = lambda *c: F.xxhash64(*c, *[F.col(x).isNull() for x in c]).alias("key")
         text = F.col("row.text").cast("string")
         given = docs.select(F.struct(*docs.columns).alias("row")).select(F.col("row").alias("whole"), text.alias("text"), F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"), F.md5(text.cast("binary")).alias("h"))
+        given = given.withColumn("key", key("doc_id", "source", "h"))
+        streams = streams.join(taken, "row").withColumn("key", key("doc_id", "source", "h"))
         hashed = F.xxhash64(*[F.col("whole")[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
-        given = given.withColumn("same", F.row_number().over(Window.partitionBy(*key).orderBy(hashed)))
-        streams = streams.withColumn("same", F.row_number().over(Window.partitionBy(*key).orderBy("i")))
-        alike = F.col("g.same") == F.col("s.same")
-        for c in key:
-            alike &= F.col(f"g.{c}").eqNullSafe(F.col(f"s.{c}"))
-        met = given.alias("g").join(streams.join(taken, "row").alias("s"), alike)
+        same = lambda *order: F.dense_rank().over(Window.partitionBy("key").orderBy("doc_id", "source", "h", *order))
+        given = given.withColumn("same", F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "source", "h", hashed)))
+        streams = streams.withColumn("same", same("i"))
+        # both sides lie by key already: the rest must not become part of what they are dealt by
+        alike = (F.col("g.key") == F.col("s.key")) & (F.col("g.same") - F.col("s.same") == 0)
+        met = given.alias("g").join(streams.alias("s"), alike)
         pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # words with the white space after them
         lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
         cut = F.array_join(F.transform("parts", lambda x: F.array_join(F.slice(pieces, (x["start"] + lead + 1).cast("int"), x["n"].cast("int")), "")), "")
