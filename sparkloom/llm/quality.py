@@ -87,6 +87,15 @@ def _dense(terms: pa.Array, weights: pa.Array) -> np.ndarray:
     return out
 
 
+def _leading(square: np.ndarray, rank: int, rounds: int = 40) -> np.ndarray:
+    """The ``rank`` leading eigenvectors of a symmetric matrix by subspace iteration, in little memory."""
+    q = np.cos(np.outer(np.arange(len(square)) + 1, np.arange(rank + 16) * 7 + 3))  # any start that is no special one
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(square @ q)
+    value, inner = np.linalg.eigh(q.T @ square @ q)
+    return (q @ inner)[:, ::-1][:, :rank]
+
+
 class Quality:
     """Parameters: labelled documents sampled at most, rank of the latent space, neighbours, threshold."""
 
@@ -109,11 +118,16 @@ class Quality:
         if not t.num_rows:
             return idf[:, None] * 0, np.zeros((0, 1), np.float32), np.zeros(0)
         b = t.to_batches()[0]
-        x = _dense(b.column("terms"), b.column("weights")) * idf
-        _, basis = np.linalg.eigh((x.T @ x).astype(np.float64))
-        basis = basis[:, ::-1][:, : self.rank]
+        parts = [b.slice(at, self.block) for at in range(0, b.num_rows, self.block)]
+        dense = lambda p: _dense(p.column("terms"), p.column("weights")) * idf
+        square = np.zeros((TERMS, TERMS))
+        for p in parts:
+            x = dense(p)
+            square += x.T @ x
+        basis = _leading(square, self.rank)
         project = (idf[:, None] * basis).astype(np.float32)
-        return project, _unit((x @ basis.astype(np.float32)).astype(np.float64)), b.column("quality").to_numpy()
+        near = [_unit((dense(p) @ basis.astype(np.float32)).astype(np.float64)) for p in parts]
+        return project, np.concatenate(near), b.column("quality").to_numpy()
 
     def scored(self, docs: DataFrame, labels: DataFrame, keys: list | None = None) -> tuple[DataFrame, bool]:
         """(doc_id, the long columns ``keys``, score; whether there were labels to fit on)."""
