@@ -8,6 +8,43 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import first_sentence, tokens
 
 
+# fixed values
+STOP_WORDS = (
+    "about", "after", "again", "also", "among", "because", "before", "being", "between", "both", "could", "course", "data", "does", "each", "from", "have",
+    "into", "more", "most", "object", "only", "other", "should", "source", "such", "than", "that", "their", "there", "these", "they", "this", "through",
+    "using", "value", "values", "were", "what", "when", "where", "which", "while", "with", "would", "your", "true", "false", "none", "null", "text", "type",
+    "page", "slide",
+)
+# fixed values: labels and their other names
+CONCEPTS = {
+    "regression": ("linear regression", "least squares", "ols", "regression model"),
+    "regularization": ("ridge", "lasso", "penalty", "shrinkage"),
+    "model evaluation": ("rmse", "mae", "r squared", "residual", "test score"),
+    "data leakage": ("look ahead", "look-ahead", "future information", "target leakage"),
+    "train test split": ("training set", "test set", "validation set", "out of sample"),
+    "entity relationship": ("er diagram", "erd", "entity relationship diagram"),
+    "cardinality": ("one to many", "many to many", "optionality", "crow foot"),
+    "database key": ("primary key", "foreign key", "identifier", "candidate key"),
+    "ethical framework": ("utilitarian", "kantian", "rights", "virtue ethics", "rawls"),
+    "stakeholder analysis": ("stakeholder", "affected parties", "consequences"),
+    "financial return": ("returns", "simple return", "log return", "rate of return"),
+    "risk and volatility": ("volatility", "standard deviation", "variance", "risk measure"),
+    "annualization": ("annualised", "annualized", "trading days", "frequency conversion"),
+    "spreadsheet formula": ("formula", "countif", "vlookup", "cell reference"),
+    "data visualization": ("histogram", "boxplot", "scatter plot", "chart"),
+}
+# fixed values: what comes before what
+PREREQUISITES = (
+    ("train test split", "data leakage"), ("regression", "regularization"), ("regression", "model evaluation"), ("entity relationship", "cardinality"),
+    ("entity relationship", "database key"), ("ethical framework", "stakeholder analysis"), ("financial return", "risk and volatility"), ("financial return", "annualization"),
+)
+
+
+def useful(token: Column) -> Column:
+    """Tokens that may become terms: four characters or more, no stop word, not digits only."""
+    return (F.length(token) >= 4) & ~token.isin(*STOP_WORDS) & ~token.rlike(r"^\p{Nd}+$")
+
+
 def phrase_links(objects: DataFrame, phrases: DataFrame, key: str, name: str, n: int = 5) -> DataFrame:
     """key, name where the phrase's tokens occur in a row in the object's: joined on the first ``n`` tokens, then verified."""
     p = phrases.select(name, tokens(F.col("text")).alias("p")).where("size(p) > 0").withColumn("n", F.least(F.size("p"), F.lit(n)))
@@ -30,12 +67,12 @@ def capped_evidence(objects: DataFrame, terms: DataFrame, part: str, key: str, c
 
 
 def purpose(path: Column, text: Column) -> Column:
-    """dataset, assignment, tutorial, solution, lecture, reference or unknown: the first rule that fits the path and the first 3000 characters."""
+    """dataset, assignment, tutorial, worked_result, lecture, reference or unknown: the first rule that fits the path and the first 3000 characters."""
     hay = F.lower(F.concat_ws(" ", path, F.left(text, F.lit(3000))))
     has = lambda *words: hay.rlike("|".join(words))
     suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     # fixed values
-    rules = [(suffix == "csv", "dataset"), (has("assignment", "homework"), "assignment"), (has("tutorial", "exercise", "prompt"), "tutorial"), (has("solution", "worked", "answer"), "solution"), (suffix.isin("pdf", "pptx") | has("lecture") | F.lower(path).rlike(r"(^|/)l\d+(/|$)"), "lecture"), (has("syllabus", "reference"), "reference")]
+    rules = [(suffix == "csv", "dataset"), (has("assignment", "homework"), "assignment"), (has("tutorial", "exercise", "prompt"), "tutorial"), (has("solution", "worked", "answer"), "worked_result"), (suffix.isin("pdf", "pptx") | has("lecture") | F.lower(path).rlike(r"(^|/)l\d+(/|$)"), "lecture"), (has("syllabus", "reference"), "reference")]
     out = F.lit("unknown")
     for rule, name in reversed(rules):
         out = F.when(F.coalesce(rule, F.lit(False)), name).otherwise(out)

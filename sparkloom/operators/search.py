@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import tokens
 from sparkloom.operators.evidence import phrase_links
+from sparkloom.sources.files import shared_folder
 
 K1, B = 1.2, 0.75
 
@@ -43,18 +44,49 @@ def expanded_terms(queries: DataFrame, catalog: DataFrame, query: str, terms: in
 
 
 def bm25(objects: DataFrame, asked: DataFrame, part: str = "source", key: str = "doc_id", query: str = "item_id", split: Callable = tokens, stem: Callable | None = None) -> DataFrame:
-    """query, part, key, score: the sum over the terms ``asked(query, token)``, counts and lengths taken within the part."""
-    index = postings(objects, part, key, split=split, stem=stem)
-    size = objects.select(part, F.size(split(F.col("text"))).alias("n")).where("n >= 0").groupBy(part).agg(F.count(F.lit(1)).alias("n_objects"), F.avg("n").alias("avgdl"))
-    hits = index.join(asked.select("token").distinct(), "token", "left_semi")  # only asked tokens go on
-    df = hits.groupBy(part, "token").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, [part, "token"]).join(size, part)
+    """query, part, key, score: the sum over the terms ``asked(query, token)``, counts and lengths taken within the part; a null part is one of its own.
+
+    Texts are split once, into a table of each object's length and its counts of the words that are asked for. Words are stemmed as
+    distinct words of the whole vocabulary, not one by one.
+    """
+    spark = objects.sparkSession
+    words = objects.select(F.col(part).alias("p"), F.col(key).alias("k"), split(F.col("text")).alias("w")).where("w is not null")
+    path = shared_folder(spark)
+    if stem is None:
+        wanted = asked.select("token").distinct()
+        found = wanted.select(F.col("token").alias("word"), "token")
+    else:
+        vocabulary = objects.select(F.explode(split(F.col("text"))).alias("word")).distinct()
+        wanted = asked.select("token").distinct()
+        found = vocabulary.withColumn("token", stem(F.col("word"))).join(wanted, "token", "left_semi")
+    # words that are asked for, with the object's length; an object without any stays as one row without a word
+    told = words.select("p", "k", F.size("w").alias("dl"), F.explode_outer("w").alias("word")).join(_small(found), "word", "left")
+    counted = told.groupBy("p", "k", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    counted.write.parquet(path)
+    table = spark.read.schema(counted.schema).parquet(path)
+    size = table.groupBy("p", "k").agg(F.max("dl").alias("dl")).groupBy("p").agg(F.count(F.lit(1)).alias("n_objects"), F.avg("dl").alias("avgdl"))
+    hits = table.where("token is not null")
+    df = hits.groupBy("p", "token").agg(F.count(F.lit(1)).alias("df"))
+    df, size = df.toDF("p2", "token2", "df"), size.withColumnRenamed("p", "p3")
+    scored = hits.join(df, F.col("p").eqNullSafe(F.col("p2")) & (F.col("token") == F.col("token2"))).join(size, F.col("p").eqNullSafe(F.col("p3")))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_objects") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = scored.select(part, key, "token", weight.alias("weight"))
+    scored = scored.select(F.col("p").alias(part), F.col("k").alias(key), "token", weight.alias("weight"))
     return asked.join(scored, "token").groupBy(query, part, key).agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
+#: Rows of a table of words that are sent to every task (some 40 bytes each).
+BROADCAST_WORDS = 1_000_000
+
+
+def _small(words: DataFrame) -> DataFrame:
+    """``words`` written down, and broadcast if their count allows it."""
+    path = shared_folder(words.sparkSession)
+    words.write.parquet(path)
+    kept = words.sparkSession.read.schema(words.schema).parquet(path)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_WORDS else kept
+
+
 def top(scores: DataFrame, by: list[str], key: str, k: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc("score"), key)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -55,14 +55,17 @@ def insert_if_absent(old: DataFrame, new: DataFrame, key: list[str], order: list
     """``old`` and the rows of ``new`` whose key is not in it, the first of each."""
     rest = [c for c in new.columns if c not in key and c not in order]
     first = new.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("r")).select(*key, "r.*").select(*old.columns)
-    return old.unionByName(first.join(old.select(*key), key, "left_anti"))
+    stored = old.select(*[F.col(c).alias(f"stored_{i}") for i, c in enumerate(key)])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"stored_{i}")) for i, c in enumerate(key)])
+    return old.unionByName(first.join(stored, same, "left_anti"))  # a null key is a key: it comes in once
 
 
 def duplicates(df: DataFrame, key: str, content: str) -> DataFrame:
     """key, content_hash, duplicate_of (the smallest key of equal contents, null on itself)."""
     hashed = df.select(key, F.sha2(F.col(content).cast("binary"), 256).alias("content_hash"))
     first = hashed.groupBy("content_hash").agg(F.min(key).alias("first"))
-    return hashed.join(first, "content_hash").select(key, "content_hash", F.when(F.col("first") != F.col(key), F.col("first")).alias("duplicate_of"))
+    # a null content is no copy of anything, and its row stays
+    return hashed.join(first.where("content_hash is not null"), "content_hash", "left").select(key, "content_hash", F.when(F.col("first") != F.col(key), F.col("first")).alias("duplicate_of"))
 
 
 def versions(imports: DataFrame, path: list[str], order: list[str], content: str) -> DataFrame:
@@ -73,6 +76,24 @@ def versions(imports: DataFrame, path: list[str], order: list[str], content: str
     return imports.withColumn("_new", changed).withColumn("version", F.sum("_new").over(run)).withColumn("unchanged", F.col("_new") == 0).drop("_new")
 
 
+def reading_order(df: DataFrame, deck: str, order: list[str], told: str, out: str, width: int = 1024) -> DataFrame:
+    """Columns position (from 0, over all rows by an integer ``deck`` and ``order``) and ``out``: ``told`` of the row before, across decks; nulls come first.
+
+    Rows before a deck come from sums over decks, in ranges of ``width`` of them; windows hold one deck or one range. A deck's first row looks at
+    the last row of the deck before, found in the same way.
+    """
+    own = Window.partitionBy(deck).orderBy(*order)
+    last = F.max_by(F.struct(F.col(told).alias("told")), F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order]))
+    sizes = df.groupBy(deck).agg(F.count(F.lit(1)).alias("n"), last.alias("last")).withColumn("b", F.floor(F.col(deck) / width))
+    blocks = sizes.groupBy("b").agg(F.sum("n").alias("bn"), F.max_by("last", F.struct(F.col(deck).isNotNull(), F.col(deck))).alias("tail"))
+    line = Window.orderBy(F.col("b").asc_nulls_first())
+    blocks = blocks.select(F.col("b").alias("of"), F.coalesce(F.sum("bn").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lag("tail").over(line).alias("entry"))
+    inside = Window.partitionBy("b").orderBy(F.col(deck).asc_nulls_first())
+    start = sizes.join(blocks, F.col("b").eqNullSafe(F.col("of"))).select(F.col(deck).alias("_deck"), (F.col("before") + F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_start"), F.coalesce(F.lag("last").over(inside), F.col("entry")).alias("_before"))
+    rows = df.withColumn("_i", F.row_number().over(own)).withColumn("_own", F.lag(F.struct(F.col(told).alias("told"))).over(own)).join(start, F.col(deck).eqNullSafe(F.col("_deck")))
+    return rows.withColumn("position", F.col("_start") + F.col("_i") - 1).withColumn(out, F.coalesce("_own", "_before")["told"]).drop("_i", "_own", "_deck", "_start", "_before")
+
+
 def budget_prefix(df: DataFrame, by: str, order: list[str], size: str, total: int, each: int) -> DataFrame:
     """How much of each row fits a budget, in order; the last one is cut."""
     one = F.least(F.col(size), F.lit(each))
@@ -140,7 +161,25 @@ def numbered(df: DataFrame, by: str, key: str, width: int = 65_536, out: str = "
     return joined.withColumn(out, F.col("_before") + own).drop("_range", "_by", "_of", "_before")
 
 
-def free_slugs(df: DataFrame, slug: str, key: str) -> DataFrame:
-    """Column id: the slug for the first of a name, then slug-2, slug-3 and so on."""
-    out = numbered(df, slug, key, out="_n")
-    return out.withColumn("id", F.when(F.col("_n") == 1, F.col(slug)).otherwise(F.concat_ws("-", F.col(slug), F.col("_n").cast("string")))).drop("_n")
+def free_slugs(df: DataFrame, slug: str, key: str, taken: DataFrame | None = None) -> DataFrame:
+    """Column id: in the order of ``key`` each row's first free one of slug, slug-2, slug-3 and so on; ``taken(id)`` are not free.
+
+    All rows of a slug propose numbers in order; where an id is wanted by rows of several slugs, or taken, the first row keeps it and the other
+    slugs pass over that number. Each round only adds numbers to pass over, so it ends at what one row after the other would give.
+    """
+    passed = df.select(F.col(slug).alias("passed"), F.lit(1).cast("long").alias("n")).limit(0)
+    ranked = numbered(df, slug, key, out="rank")
+    held = taken.select(F.col("id").alias("held")).distinct() if taken is not None else None
+    while True:
+        skip = passed.groupBy("passed").agg(F.sort_array(F.collect_set("n")).alias("skip"))
+        number = F.aggregate(F.coalesce("skip", F.array().cast("array<bigint>")), F.col("rank").cast("long"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
+        made = ranked.join(skip, F.col(slug) == F.col("passed"), "left").withColumn("number", number).drop("passed", "skip")
+        made = made.withColumn("id", F.when(F.col("number") == 1, F.col(slug)).otherwise(F.concat_ws("-", F.col(slug), F.col("number").cast("string"))))
+        first = made.groupBy("id").agg(F.min(key).alias("winner"), F.count(F.lit(1)).alias("wanted"))
+        lost = made.join(first.where("wanted > 1"), "id").where(F.col(key) != F.col("winner")).select(F.col(slug).alias("passed"), F.col("number").alias("n"))
+        if held is not None:
+            lost = lost.unionByName(made.join(held, F.col("id") == F.col("held"), "left_semi").select(F.col(slug).alias("passed"), F.col("number").alias("n")))
+        lost = [tuple(r) for r in lost.distinct().limit(10_000).collect()]  # numbers that clash, some at a time
+        if not lost:
+            return made.drop("rank", "number")
+        passed = passed.unionByName(df.sparkSession.createDataFrame(lost, "passed string, n long"))

@@ -66,7 +66,7 @@ def concept_edges(spark, sf_dir):
 
 @query(r"""WITH h AS (SELECT page_id, lower(coalesce(url, '')) AS p, lower(concat_ws(' ', url, left(html, 3000))) AS hay FROM pages)
 SELECT page_id, CASE WHEN regexp_extract(p, '\.([a-z0-9]+)$', 1) = 'csv' THEN 'dataset' WHEN regexp_matches(hay, 'assignment|homework') THEN 'assignment' WHEN regexp_matches(hay, 'tutorial|exercise|prompt') THEN 'tutorial'
-  WHEN regexp_matches(hay, 'solution|worked|answer') THEN 'solution' WHEN regexp_extract(p, '\.([a-z0-9]+)$', 1) IN ('pdf', 'pptx') OR regexp_matches(hay, 'lecture') OR regexp_matches(p, '(^|/)l\d+(/|$)') THEN 'lecture'
+  WHEN regexp_matches(hay, 'solution|worked|answer') THEN 'worked_result' WHEN regexp_extract(p, '\.([a-z0-9]+)$', 1) IN ('pdf', 'pptx') OR regexp_matches(hay, 'lecture') OR regexp_matches(p, '(^|/)l\d+(/|$)') THEN 'lecture'
   WHEN regexp_matches(hay, 'syllabus|reference') THEN 'reference' ELSE 'unknown' END AS purpose FROM h""")
 def purpose_cascade(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", E.purpose(F.col("url"), F.col("html")).alias("purpose"))
@@ -81,7 +81,8 @@ def layout_role(spark, sf_dir):
 
 
 @query(r"""WITH f AS (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM conversations),
-g AS (SELECT conv_id, turn, role, array_to_string(string_split(CASE WHEN instr(t, '. ') > 0 THEN left(t, instr(t, '. ')) WHEN instr(t, '? ') > 0 THEN left(t, instr(t, '? ')) WHEN instr(t, '! ') > 0 THEN left(t, instr(t, '! ')) ELSE t END, ' ')[1:40], ' ') AS g FROM f)
+u AS (SELECT conv_id, turn, role, string_split(CASE WHEN instr(t, '. ') > 1 THEN left(t, instr(t, '. ')) WHEN instr(t, '? ') > 1 THEN left(t, instr(t, '? ')) WHEN instr(t, '! ') > 1 THEN left(t, instr(t, '! ')) ELSE t END, ' ') AS w FROM f),
+g AS (SELECT conv_id, turn, role, array_to_string(w[1:40], ' ') || CASE WHEN len(w) > 40 THEN ' [...]' ELSE '' END AS g FROM u)
 SELECT conv_id, turn, role, md5(coalesce(string_agg(g, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING), '')) AS gists_md5 FROM g""")
 def running_gists(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators import evidence as E
 from sparkloom.operators import search as S
 from sparkloom.operators import tables as X
+from sparkloom.operators import vectors as V
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -69,9 +71,13 @@ def doc_freq(spark, sf_dir):
     return counts.groupBy("token").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("n_sources"))
 
 
-@query(f"SELECT token, count(*) AS df, count(DISTINCT source) AS n_sources FROM ({_TOKENS}) t WHERE length(token) >= 4 AND NOT regexp_matches(token, '^\\d+$') GROUP BY 1 HAVING count(DISTINCT source) >= 2 AND count(*) BETWEEN 2 AND 500 ORDER BY df DESC, token LIMIT 30")
+_STOP = ", ".join(f"'{w}'" for w in (*E.STOP_WORDS, *E.CONCEPTS))
+
+
+@query(f"SELECT token, count(*) AS df, count(DISTINCT source) AS n_sources FROM ({_TOKENS}) t WHERE length(token) >= 4 AND NOT regexp_matches(token, '^\\d+$') AND token NOT IN ({_STOP}) GROUP BY 1 HAVING count(DISTINCT source) >= 2 AND count(*) BETWEEN 2 AND 500 ORDER BY df DESC, token LIMIT 30")
 def mined_terms(spark, sf_dir):
-    return doc_freq(spark, sf_dir).where("length(token) >= 4 and not token rlike '^\\\\d+$' and n_sources >= 2 and df between 2 and 500").orderBy(F.desc("df"), "token").limit(30)
+    terms = doc_freq(spark, sf_dir).where(E.useful(F.col("token")) & ~F.col("token").isin(*E.CONCEPTS))
+    return terms.where("n_sources >= 2 and df between 2 and 500").orderBy(F.desc("df"), "token").limit(30)
 
 
 @query("SELECT DISTINCT ON (user_id, event_type) user_id, event_type, ts, event_id, value FROM events ORDER BY user_id, event_type, ts DESC, event_id DESC, value DESC")
@@ -85,7 +91,7 @@ def insert_if_absent(spark, sf_dir):
     return X.insert_if_absent(e.where("event_type = 'click'"), e.where("event_type <> 'click'"), ["user_id"], ["ts"])
 
 
-_PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+_PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 _CELLS = " UNION ALL ".join(f"SELECT '{c}' AS name, coalesce({c}::VARCHAR, '') AS value FROM orders" for c in _PROFILED)
 
 
@@ -94,7 +100,7 @@ _CELLS = " UNION ALL ".join(f"SELECT '{c}' AS name, coalesce({c}::VARCHAR, '') A
 t AS (SELECT name, type, sum(n) AS n, count(*) AS d FROM v GROUP BY 1, 2)
 SELECT name, sum(n)::BIGINT AS row_count, coalesce(sum(n) FILTER (type = 'missing'), 0)::BIGINT AS missing, least(sum(d), 10001)::BIGINT AS unique_count, coalesce(arg_max(type, n) FILTER (type <> 'missing'), 'unknown') AS inferred FROM t GROUP BY 1""")
 def profile_columns(spark, sf_dir):
-    return X.profile(table(spark, sf_dir, "orders").select(*_PROFILED))
+    return X.profile(table(spark, sf_dir, "orders"))
 
 
 @query("SELECT l_returnflag, count(*) FILTER (l_quantity >= 10 AND l_discount < 0.05 AND l_linenumber <> 2) AS countifs, round(coalesce(sum(l_extendedprice) FILTER (l_quantity >= 10 AND l_discount < 0.05 AND l_linenumber <> 2), 0), 2) AS sumifs FROM lineitem GROUP BY 1")
@@ -130,17 +136,9 @@ def current_versions(spark, sf_dir):
     return v.groupBy("user_id", "event_type").agg(F.max("version").alias("version"), F.max_by("event_id", "version").alias("event_id"))
 
 
-@query("SELECT conv_id, turn, role, (row_number() OVER (ORDER BY conv_id, turn, role) - 1) AS position, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS previous_role FROM conversations")
+@query("SELECT conv_id, turn, role, (row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST) - 1) AS position, lag(role) OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST) AS previous_role FROM conversations")
 def reading_order(spark, sf_dir):
-    # positions over all rows: rows before a conversation come from sums over conversations, in buckets of them
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    own = Window.partitionBy("conv_id").orderBy("turn", "role")
-    sizes = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.floor(F.col("conv_id") / 1024))
-    blocks = sizes.groupBy("b").agg(F.sum("n").alias("bn"))
-    before = blocks.select("b", F.coalesce(F.sum("bn").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    start = sizes.join(before, "b").withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = c.withColumn("i", F.row_number().over(own)).withColumn("previous_role", F.lag("role").over(own)).join(start.select("conv_id", "start"), "conv_id")
-    return out.select("conv_id", "turn", "role", (F.col("start") + F.col("i") - 1).alias("position"), "previous_role")
+    return X.reading_order(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", ["turn", "role"], "role", "previous_role")
 
 
 @query("""WITH b AS (SELECT conv_id, turn, least(length(text), 300) AS one, coalesce(sum(least(length(text), 300)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used_before FROM conversations)
@@ -170,7 +168,7 @@ def progress_state(spark, sf_dir):
     return c.groupBy("conv_id").agg(n.alias("total"), k.alias("explained"), F.min(F.when(~F.coalesce(done, F.lit(False)), F.col("turn"))).alias("next_turn"), F.when(k >= n, "done").when(k > 0, "partial").otherwise("idle").alias("state"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN len(w) <= 30 THEN t ELSE array_to_string(w[1:30], ' ') || ' [...]' END AS short, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\x{00a0}', ' ', 'g'), '[\x{200b}\x{200c}\x{200d}\x{feff}]', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS normal_md5,
+@query(r"""SELECT doc_id, CASE WHEN len(w) <= 30 THEN t ELSE array_to_string(w[1:30], ' ') || ' [...]' END AS short, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\x{00a0}', ' ', 'g'), '\x{200b}', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS normal_md5,
   md5(regexp_replace(text, 'sk-[A-Za-z0-9]{8,}', '[redacted]', 'g')) AS scrubbed_md5, coalesce(nullif(regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'course') AS slug
 FROM (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') AS w FROM documents) d""")
 def text_functions(spark, sf_dir):
@@ -207,13 +205,16 @@ def index_fingerprint(spark, sf_dir):
     return d.repartition("source").sortWithinPartitions("source", "doc_id", "h").mapInArrow(_fingerprints, "source string, objects long, fingerprint string")
 
 
-@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(left(text, 8000)), '[\p{L}\p{N}_]+')) AS token FROM documents), c AS (SELECT doc_id, md5(token) AS h, 1 + ln(count(*)) AS w FROM t GROUP BY doc_id, token),
-b AS (SELECT doc_id, (('0x' || h[1:8])::BIGINT % 384)::INT AS bucket, sum(CASE WHEN ('0x' || h[9:10])::BIGINT % 2 = 1 THEN -w ELSE w END) AS v FROM c GROUP BY 1, 2)
-SELECT doc_id, count(*) AS buckets, round(sqrt(sum(v * v)), 6) AS norm, arg_max(bucket, (round(abs(v), 6), bucket)) AS top_bucket FROM b GROUP BY 1""")
+_FEATURES = r"""SELECT {key} AS k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS t FROM (SELECT {key}, regexp_extract_all(lower(left(text, 8000)), '[\p{{L}}\p{{N}}_]+') AS w FROM {name}) d"""
+
+
+def hashed_sql(name: str, key: str) -> str:
+    """k, b, v: hashed words and pairs of words of each text."""
+    return f"""(SELECT k, b, sum(v) AS v FROM (SELECT k, (('0x' || md5(t)[1:8])::BIGINT % 384)::INT AS b, CASE WHEN ('0x' || md5(t)[9:10])::BIGINT % 2 = 1 THEN -1 ELSE 1 END * (1 + ln(count(*))) AS v
+  FROM ({_FEATURES.format(name=name, key=key)}) f GROUP BY k, t) x GROUP BY 1, 2)"""
+
+
+@query(f"SELECT k AS doc_id, count(*) AS buckets, round(sqrt(sum(v * v)), 6) AS norm, arg_max(b, (round(abs(v), 6), b)) AS top_bucket FROM {hashed_sql('documents', 'doc_id')} h GROUP BY 1")
 def hash_embed_docs(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.left(F.col("text"), F.lit(8000)))).alias("token"))
-    c = t.groupBy("doc_id", "token").agg((1 + F.log(F.count(F.lit(1)))).alias("w")).withColumn("h", F.md5("token"))
-    number = lambda a, n: F.conv(F.substring("h", a, n), 16, 10).cast("long")
-    c = c.select("doc_id", (number(1, 8) % 384).cast("int").alias("bucket"), F.when(number(9, 2) % 2 == 1, -F.col("w")).otherwise(F.col("w")).alias("w"))
-    b = c.groupBy("doc_id", "bucket").agg(F.sum("w").alias("v"))
-    return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("buckets"), F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("norm"), F.max_by("bucket", F.struct(F.round(F.abs("v"), 6), "bucket")).alias("top_bucket"))
+    b = V.hash_features(table(spark, sf_dir, "documents"), "doc_id")
+    return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("buckets"), F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("norm"), F.max_by("b", F.struct(F.round(F.abs("v"), 6), "b")).alias("top_bucket"))

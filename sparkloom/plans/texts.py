@@ -13,7 +13,7 @@ from sparkloom.operators import search as S
 from sparkloom.operators import tables as X
 from sparkloom.operators import vectors as V
 from sparkloom.plans.evidence import concept_edges
-from sparkloom.plans.queries import ORACLE, QUERIES, bm25_sql, mined_terms, query, table
+from sparkloom.plans.queries import ORACLE, QUERIES, bm25_sql, hashed_sql, mined_terms, query, table
 from sparkloom.sources.files import shared_folder
 from sparkloom.streaming.progress import done, process
 
@@ -168,20 +168,22 @@ def countifs_text(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_if(both).alias("countifs"), F.count_if(met("p_name", "<>*a?*")).alias("others"), F.count_if(met("p_brand", "Brand#11")).alias("plain"))
 
 
-@query("""SELECT c_custkey, CASE n WHEN 1 THEN s ELSE s || '-' || n END AS id FROM (SELECT c_custkey, s, row_number() OVER (PARTITION BY s ORDER BY c_custkey) AS n
-  FROM (SELECT c_custkey, regexp_replace(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM customer) c) t""")
+@query("""WITH c AS (SELECT c_custkey, regexp_replace(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM customer),
+r AS (SELECT c_custkey, s, row_number() OVER (PARTITION BY s ORDER BY c_custkey) AS n FROM c),
+free AS (SELECT s, n, row_number() OVER (PARTITION BY s ORDER BY n) AS place FROM (SELECT s, unnest(range(1, max(n) + 30)) AS n FROM r GROUP BY s) t WHERE n NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey > 1))
+SELECT c_custkey, CASE free.n WHEN 1 THEN r.s ELSE r.s || '-' || free.n END AS id FROM r JOIN free ON r.s = free.s AND r.n = free.place""")
 def free_slugs(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", slug(F.col("c_mktsegment")).alias("s"))
-    return X.free_slugs(c, "s", "c_custkey").select("c_custkey", "id")
+    numbers = table(spark, sf_dir, "nation").where("n_nationkey > 1").select("n_nationkey")
+    taken = c.select("s").distinct().join(F.broadcast(numbers)).select(F.concat_ws("-", "s", F.col("n_nationkey").cast("string")).alias("id"))
+    return X.free_slugs(c, "s", "c_custkey", taken).select("c_custkey", "id")
 
 
-def _hashed(name: str, key: str) -> str:
-    return f"""(SELECT {key} AS k, list(v ORDER BY b) AS v FROM (SELECT {key}, b, sum(v) AS v FROM (SELECT {key}, unnest(range(384)) AS b, 0.0::DOUBLE AS v FROM {name} UNION ALL
-  SELECT {key}, (('0x' || md5(t)[1:8])::BIGINT % 384) AS b, CASE WHEN ('0x' || md5(t)[9:10])::BIGINT % 2 = 1 THEN -1 ELSE 1 END * (1 + ln(count(*))) AS v
-  FROM (SELECT {key}, unnest({_W.replace("text", "left(text, 8000)")}) AS t FROM {name}) w GROUP BY {key}, t) x GROUP BY 1, 2) y GROUP BY 1)"""
+def _vectors(name: str, key: str) -> str:
+    return f"(SELECT k, list(v ORDER BY b) AS v FROM (SELECT k, b, sum(v) AS v FROM (SELECT {key} AS k, unnest(range(384)) AS b, 0.0::DOUBLE AS v FROM {name} UNION ALL SELECT * FROM {hashed_sql(name, key)} h) x GROUP BY 1, 2) y GROUP BY 1)"
 
 
-@query(f"""WITH s AS (SELECT q.k AS query_id, d.k AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM {_hashed("benchmark", "item_id")} q, {_hashed("documents", "doc_id")} d)
+@query(f"""WITH s AS (SELECT q.k AS query_id, d.k AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM {_vectors("benchmark", "item_id")} q, {_vectors("documents", "doc_id")} d)
 SELECT query_id, doc_id, score + 0.0 AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) t WHERE rank <= 5""")
 def hash_embed_similarity(spark, sf_dir):
     items, docs = V.hash_vectors(table(spark, sf_dir, "benchmark"), "item_id"), V.hash_vectors(table(spark, sf_dir, "documents"), "doc_id")

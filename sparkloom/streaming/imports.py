@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,9 @@ def _store(batch: DataFrame, batch_id: int, sink: str, key: list[str], order: li
     first = batch.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("r")).select(*key, "r.*")
     if batch_id:
         stored = stored_rows(batch.sparkSession, sink, first).where(F.col("batch") < batch_id)
-        first = first.join(stored.select(*key), key, "left_anti")
+        before = stored.select(*[F.col(c).alias(f"stored_{i}") for i, c in enumerate(key)])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"stored_{i}")) for i, c in enumerate(key)])
+        first = first.join(before, same, "left_anti")  # a null key is a key: it comes in once
     first.write.mode("overwrite").parquet(f"{sink}/rows/batch={batch_id}")  # a replay of a batch writes the same folder again
 
 
