@@ -176,35 +176,6 @@ def text_functions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate_words(t, 30).alias("short"), F.md5(T.normalise(t).cast("binary")).alias("normal_md5"), F.md5(T.scrub(t).cast("binary")).alias("scrubbed_md5"), T.slug(F.left(t, F.lit(60))).alias("slug"))
 
 
-def _fingerprints(batches):
-    # the digest runs on through the sorted rows of a source: none are gathered
-    import hashlib
-
-    import pyarrow as pa
-
-    def row(source, n, some, digest):
-        return pa.RecordBatch.from_arrays([pa.array([source], pa.string()), pa.array([n], pa.int64()), pa.array([digest.hexdigest() if some else None], pa.string())], ["source", "objects", "fingerprint"])
-
-    now, n, some, digest = None, 0, False, hashlib.sha256()
-    for batch in batches:
-        for source, h in zip(batch.column("source").to_pylist(), batch.column("h").to_pylist(), strict=True):
-            if n and source != now:
-                yield row(now, n, some, digest)
-                n, some, digest = 0, False, hashlib.sha256()
-            now, n = source, n + 1
-            if h is not None:
-                digest.update(h.encode())
-                some = True
-    if n:
-        yield row(now, n, some, digest)
-
-
-@query("""SELECT source, count(*) AS objects, sha256(string_agg(h, '' ORDER BY doc_id)) AS fingerprint FROM (SELECT source, doc_id, sha256(doc_id || ':' || text) AS h FROM documents) t GROUP BY 1""")
-def index_fingerprint(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.concat("doc_id", F.lit(":"), "text").cast("binary"), 256).alias("h"))
-    return d.repartition("source").sortWithinPartitions("source", "doc_id", "h").mapInArrow(_fingerprints, "source string, objects long, fingerprint string")
-
-
 _FEATURES = r"""SELECT {key} AS k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS t FROM (SELECT {key}, regexp_extract_all(lower(left(text, 8000)), '[\p{{L}}\p{{N}}_]+') AS w FROM {name}) d"""
 
 
