@@ -151,5 +151,11 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+# fixed value
+REDACTED = "sk-***REDACTED***"
+
+
 def scrub(text: Column) -> Column:
-    return F.regexp_replace(text, "sk-[A-Za-z0-9]{8,}", "[redacted]")
+    """Texts without what looks like an access key, or stands in an Authorization header."""
+    keys = F.regexp_replace(text, "sk-[A-Za-z0-9]{8,}", REDACTED.replace("$", r"\$"))
+    return F.regexp_replace(keys, r"(?i)(authorization\s*[:=]\s*)(bearer\s+)?\S+", f"$1{REDACTED}")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import first_sentence, tokens
+from sparkloom.functions.text import collapse, first_sentence, tokens, truncate_words
+from sparkloom.operators.tables import numbered
 
 
 # fixed values
@@ -149,3 +150,33 @@ def both_present(pairs: DataFrame, a: str, b: str, known: DataFrame, key: str) -
     for side in (a, b):
         pairs = pairs.join(known.select(F.col(key).alias(side)), side, "left_semi")
     return pairs.select(a, b)
+
+
+def annotations(changes: DataFrame, by: str, term: str, note: str, order: list[str], most: int = 40, term_chars: int = 200, note_chars: int = 600) -> DataFrame:
+    """The latest note of each term, whatever its case; a blank note deletes; the ``most`` newest stay."""
+    c = changes.withColumn(term, F.left(collapse(F.col(term)), F.lit(term_chars))).withColumn(note, F.left(F.trim(note), F.lit(note_chars))).withColumn("_key", F.lower(term))
+    last = c.groupBy(by, "_key").agg(F.max(F.struct(*order, term, note)).alias("r")).select(by, "r.*").where(F.col(note) != "")
+    newest = Window.partitionBy(by).orderBy(*[F.desc(o) for o in order])
+    return last.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most).drop("_n")
+
+
+def running_summary(gists: DataFrame, by: str, key: str, gist: str, recent: int = 15, words: int = 1200) -> DataFrame:
+    """by, summary: the last ``recent`` gists after the older ones, in order of an integer key; ``words`` words of each part and of all.
+
+    Of the older ones no more than ``words`` can have a share, as each has a word at least: so many are gathered, whatever there are.
+    """
+    n = numbered(gists, by, key, out="_n")
+    size = gists.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_all"))
+    kept = n.join(size, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_late", F.col("_n") > F.col("_all") - recent).where(F.col("_late") | (F.col("_n") <= words + 1))
+    part = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("_n", F.col(gist).alias("g"))))), lambda x: x["g"]), "\n")
+    both = kept.groupBy(by).agg(part(~F.col("_late")).alias("older"), part(F.col("_late")).alias("last"))
+    whole = F.concat_ws("\n\n", F.nullif(truncate_words(F.col("older"), words), F.lit("")), "last")
+    return both.select(by, truncate_words(whole, words).alias("summary"))
+
+
+def fidelity(source: DataFrame, read: DataFrame, by: str) -> DataFrame:
+    """by, expected, actual, ok: how many there are in the source and how many came in."""
+    count = lambda d, name: d.groupBy(by).agg(F.count(F.lit(1)).alias(name))
+    out = count(source, "expected").join(count(read, "actual"), by, "full")
+    both = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("expected", "actual")]
+    return out.select(by, *both).withColumn("ok", F.col("expected") == F.col("actual"))

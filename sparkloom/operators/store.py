@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from sparkloom.functions.text import collapse
+from sparkloom.functions.text import collapse, slug
+from sparkloom.operators.tables import free_slugs
 
 
 def publish(df: DataFrame, path: str) -> None:
@@ -170,3 +171,13 @@ def fallback_overview(decks: DataFrame, by: str, title: Column, n_slides: str, o
     # fixed values
     text = F.concat(F.lit("No syllabus or programme document was provided for "), F.col(by).cast("string"), F.lit(", so this description is drawn from the imported material alone. The course holds "), F.col("n").cast("string"), F.lit(" decks and about "), F.col("slides").cast("string"), F.lit(" slides, in this order: "), names, F.lit(". Drop the syllabus in and it can be described properly."))
     return g.select(by, text.alias("overview"))
+
+
+def courses_of(groups: DataFrame, courses: DataFrame, title: str) -> DataFrame:
+    """``groups`` with course and created: the known course of that title, whatever its case, else a new one with a free slug."""
+    known = courses.groupBy(F.lower(F.trim("title")).alias("_t")).agg(F.min("id").alias("_id"))
+    met = groups.join(known, F.lower(F.trim(title)) == F.col("_t"), "left")
+    fresh = met.where("_id is null").groupBy(F.lower(F.trim(title)).alias("_new")).agg(F.min(title).alias("_title")).withColumn("_slug", slug(F.col("_title")))
+    fresh = free_slugs(fresh.withColumn("_key", F.xxhash64("_new")), "_slug", "_key", courses.select("id")).select("_new", F.col("id").alias("_made"))
+    out = met.join(fresh, F.lower(F.trim(title)) == F.col("_new"), "left")
+    return out.withColumn("course", F.coalesce("_id", "_made")).withColumn("created", F.col("_id").isNull()).drop("_t", "_id", "_new", "_made")

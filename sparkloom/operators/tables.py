@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.files import shared_folder
+
 
 def value_type(text: Column) -> Column:
     """missing, integer, number, date_or_datetime or text, by pattern."""
@@ -162,24 +164,42 @@ def numbered(df: DataFrame, by: str, key: str, width: int = 65_536, out: str = "
 
 
 def free_slugs(df: DataFrame, slug: str, key: str, taken: DataFrame | None = None) -> DataFrame:
-    """Column id: in the order of ``key`` each row's first free one of slug, slug-2, slug-3 and so on; ``taken(id)`` are not free.
+    """Column id: in the order of ``key`` (unique) each row's first free one of slug, slug-2, slug-3 and so on; ``taken(id)`` are not free.
 
-    All rows of a slug propose numbers in order; where an id is wanted by rows of several slugs, or taken, the first row keeps it and the other
-    slugs pass over that number. Each round only adds numbers to pass over, so it ends at what one row after the other would give.
+    A slug hands its numbers out in rising order, so its rows only have to pass over some. An id can be wanted by two slugs at most: by b for its number N,
+    and by the slug b-N for its first row. Whichever row is earlier has it, and the other slug passes over that number. Which row of b wants N hangs on
+    the numbers below N alone, so a few rounds settle all.
     """
-    passed = df.select(F.col(slug).alias("passed"), F.lit(1).cast("long").alias("n")).limit(0)
-    ranked = numbered(df, slug, key, out="rank")
-    held = taken.select(F.col("id").alias("held")).distinct() if taken is not None else None
-    while True:
-        skip = passed.groupBy("passed").agg(F.sort_array(F.collect_set("n")).alias("skip"))
-        number = F.aggregate(F.coalesce("skip", F.array().cast("array<bigint>")), F.col("rank").cast("long"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
-        made = ranked.join(skip, F.col(slug) == F.col("passed"), "left").withColumn("number", number).drop("passed", "skip")
-        made = made.withColumn("id", F.when(F.col("number") == 1, F.col(slug)).otherwise(F.concat_ws("-", F.col(slug), F.col("number").cast("string"))))
-        first = made.groupBy("id").agg(F.min(key).alias("winner"), F.count(F.lit(1)).alias("wanted"))
-        lost = made.join(first.where("wanted > 1"), "id").where(F.col(key) != F.col("winner")).select(F.col(slug).alias("passed"), F.col("number").alias("n"))
-        if held is not None:
-            lost = lost.unionByName(made.join(held, F.col("id") == F.col("held"), "left_semi").select(F.col(slug).alias("passed"), F.col("number").alias("n")))
-        lost = [tuple(r) for r in lost.distinct().limit(10_000).collect()]  # numbers that clash, some at a time
-        if not lost:
-            return made.drop("rank", "number")
-        passed = passed.unionByName(df.sparkSession.createDataFrame(lost, "passed string, n long"))
+    path = shared_folder(df.sparkSession)
+    numbered(df, slug, key, out="rank").write.parquet(path)
+    ranked = df.sparkSession.read.parquet(path)
+    first = ranked.where("rank = 1").select(F.col(slug).alias("c"), F.col(key).alias("m"))
+    suffixed = r"^(.+)-([2-9]|[1-9][0-9]{1,8})$"
+    split = lambda c: [F.regexp_extract(c, suffixed, 1).alias("b"), F.regexp_extract(c, suffixed, 2).try_cast("long").alias("n")]
+    pairs = first.select("c", "m", *split("c")).join(first.select(F.col("c").alias("b")), "b", "left_semi")
+    always = df.select(F.col(slug).alias("b"), F.lit(1).cast("long").alias("n")).limit(0)
+    if taken is not None:
+        held = taken.select("id").distinct()
+        always = held.select(F.col("id").alias("b"), F.lit(1).cast("long").alias("n")).unionByName(held.select(*split("id"))).join(first.select(F.col("c").alias("b")), "b", "left_semi")
+    skip = _written(always)
+    pairs = _written(pairs.join(always, ["b", "n"], "left_anti"))
+    while not pairs.isEmpty():
+        below = pairs.join(skip.select(F.col("b").alias("of"), F.col("n").alias("x")), (F.col("b") == F.col("of")) & (F.col("x") < F.col("n")), "left").groupBy("b", "n", "c", "m").agg((F.col("n") - F.count("x")).alias("rank"))
+        wanted = below.join(ranked.select(F.col(slug).alias("b"), "rank", F.col(key).alias("k")), ["b", "rank"])
+        lost = wanted.select(F.when(F.col("m") < F.col("k"), F.struct("b", "n")).otherwise(F.struct(F.col("c").alias("b"), F.lit(1).cast("long").alias("n"))).alias("s")).select("s.*")
+        now = _written(always.unionByName(lost).distinct())
+        settled = now.count() == skip.distinct().count() == now.join(skip, ["b", "n"], "left_semi").count()
+        skip = now
+        if settled:
+            break
+    passed = skip.groupBy("b").agg(F.sort_array(F.collect_set("n")).alias("skip"))
+    number = F.aggregate(F.coalesce("skip", F.array().cast("array<bigint>")), F.col("rank").cast("long"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
+    made = ranked.join(passed, F.col(slug) == F.col("b"), "left").withColumn("number", number)
+    name = F.when(F.col("number") == 1, F.col(slug)).otherwise(F.concat_ws("-", F.col(slug), F.col("number").cast("string")))
+    return made.withColumn("id", name).drop("rank", "b", "skip", "number")
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

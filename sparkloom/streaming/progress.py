@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.streaming.imports import stored_rows
@@ -45,3 +45,17 @@ def failed(rows: DataFrame, key: list[str]) -> DataFrame:
 def unfinished(items: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """Items without a result."""
     return items.join(done(rows).select(*key), key, "left_anti")
+
+
+def until_pause(rows: DataFrame, by: str, order: list[str], failed: Column, most: int = 3) -> DataFrame:
+    """``rows`` that are worked on before a run pauses, with cursor (from 1) and state: it pauses at the last of ``most`` failures in a row."""
+    w = Window.partitionBy(by).orderBy(*order)
+    numbered = rows.withColumn("cursor", F.row_number().over(w)).withColumn("_bad", F.coalesce(failed, F.lit(False)))
+    row = [F.lag("_bad", i).over(w) for i in range(1, most)]
+    stop = F.col("_bad")
+    for c in row:
+        stop = stop & F.coalesce(c, F.lit(False))
+    marked = numbered.withColumn("_stop", F.when(stop, F.col("cursor")))
+    first = F.min("_stop").over(Window.partitionBy(by))
+    kept = marked.withColumn("_first", first).where(F.col("_first").isNull() | (F.col("cursor") <= F.col("_first")))
+    return kept.withColumn("state", F.when(F.col("_first").isNull(), "idle").otherwise("paused")).drop("_bad", "_stop", "_first")
