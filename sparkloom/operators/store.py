@@ -86,13 +86,14 @@ def delete_paths(rows: DataFrame, chosen: DataFrame, path: list[str], content: s
 
 
 def digests(objects: DataFrame, part: str, key: str, hashed: Column, width: int = 1024) -> DataFrame:
-    """part, objects, fingerprint: digests of ranges of ``width`` integer keys, then of ranges of these, then of all: no row holds more than ``width`` of the first two."""
+    """part, objects, fingerprint: digests of ranges of ``width`` integer keys, then of ranges of these, then of all: no row holds more than ``width`` of the first two. Null digests are passed over."""
     level = objects.select(part, F.col(key).cast("long").alias("at"), hashed.alias("h"), F.lit(1).cast("long").alias("n"))
     for step in (width, width, None):
         own = F.array_sort(F.collect_list(F.struct("at", "h")))
         up = F.expr(f"at div {step}") if step else F.lit(0).cast("long")
         level = level.groupBy(part, up.alias("up")).agg(own.alias("all"), F.sum("n").alias("n"))
-        level = level.select(part, F.col("up").alias("at"), F.sha2(F.array_join(F.transform("all", lambda x: x["h"]), "").cast("binary"), 256).alias("h"), "n")
+        known = F.filter(F.transform("all", lambda x: x["h"]), lambda h: h.isNotNull())
+        level = level.select(part, F.col("up").alias("at"), F.when(F.size(known) > 0, F.sha2(F.array_join(known, "").cast("binary"), 256)).alias("h"), "n")
     return level.select(part, F.col("n").alias("objects"), F.col("h").alias("fingerprint"))
 
 

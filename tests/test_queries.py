@@ -6,7 +6,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-import sparkloom.plans.texts  # noqa: F401  registers its queries, as do the modules that it imports
+import sparkloom.plans.cells  # noqa: F401  each registers its queries, as do the modules that it imports
+import sparkloom.plans.context  # noqa: F401
+import sparkloom.plans.store  # noqa: F401
+import sparkloom.plans.texts  # noqa: F401
 from sparkloom.functions import text as T
 from sparkloom.operators.tables import value_type
 from sparkloom.plans.queries import ORACLE, QUERIES
@@ -34,12 +37,11 @@ def test_query(spark, name):
     assert key(df.select(*names).collect()) == key(found.fetchall())
 
 
-def test_fingerprint_gathers_nothing(spark, tmp_path):
-    rows = [(i % 50, f"text {i}" if i % 7 else None, ["a", "b", None][i % 3]) for i in range(400) if i % 50 != 3]
-    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+def test_fingerprint_over_levels(spark, tmp_path):
+    # ids over more than 1,024 squared, so that all three levels have ranges; null texts and a null source
+    rows = [(i * 7919, f"text {i}" if i % 7 else None, ["a", "b", None][i % 3]) for i in range(400)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     df = QUERIES["index_fingerprint"](spark, str(tmp_path))
-    assert "collect_list" not in df._jdf.queryExecution().toString()
     found = duckdb.connect().execute(ORACLE["index_fingerprint"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
     assert sorted(map(str, map(tuple, df.select("source", "objects", "fingerprint").collect()))) == sorted(map(str, found.fetchall()))
 
@@ -49,7 +51,7 @@ def test_text(spark):
     df = spark.createDataFrame(rows, "i int, t string").select("i", T.truncate_words(F.col("t"), 2).alias("short"), T.first_sentence(F.col("t")).alias("first"), T.slug(F.col("t")).alias("slug"), T.normalise(F.col("t")).alias("normal"), T.scrub(F.col("t")).alias("clean"), T.tokens(F.col("t")).alias("w"))
     got = {r.i: r for r in df.collect()}
     assert got[1].short == "a b [...]" and got[2].slug == "course" and got[3].short is None
-    assert got[4].first == "Why? No." and got[5].normal == "x\n\ny z" and got[6].clean == "key [redacted] end"
+    assert got[4].first == "Why? No." and got[5].normal == "x\n\ny z" and got[6].clean == "key sk-***REDACTED*** end"
 
 
 def test_value_type(spark):
