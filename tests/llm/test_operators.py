@@ -19,7 +19,7 @@ from sparkloom.llm.mixing import Mixer, size_of, targets
 from sparkloom.llm.near_dedup import NearDedup, keep_one
 from sparkloom.llm.packing import Packer, _filling, complete_bins, fewest
 from sparkloom.llm.quality import TERMS, Quality, Words, _terms, keep_good
-from sparkloom.llm.token_counts import PreTokens, SegmentTree, byte_bpe, count_tokens
+from sparkloom.llm.token_counts import PreTokens, SegmentTree, build_trees, byte_bpe, update_trees, with_edits
 from sparkloom.llm.url_filter import judge
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -504,6 +504,33 @@ def test_bin_completion():
         assert sum((Counter({n: t * x.count(n) for n in set(x)}) for t, x in plan), Counter()) == counts
 
 
+def test_bin_completion_is_exhaustive():
+    def fewest_of_all(items):
+        best = [len(items)]
+
+        def go(i, room):
+            if len(room) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(room)
+                return
+            for r in {*room}:
+                if r >= items[i]:
+                    at = room.index(r)
+                    go(i + 1, [*room[:at], r - items[i], *room[at + 1 :]])
+            go(i + 1, [*room, 100 - items[i]])
+
+        go(0, [])
+        return best[0]
+
+    rng = random.Random(1)
+    for _ in range(2000):
+        low, high = rng.choice([(1, 100), (5, 60), (20, 50), (10, 70)])
+        items = sorted((rng.randrange(low, high + 1) for _ in range(rng.randrange(3, 11))), reverse=True)
+        assert sum(t for t, _ in complete_bins(Counter(items), 100)) == fewest_of_all(items), items
+    assert sum(t for t, _ in complete_bins(Counter([59, 57, 44, 35, 27, 26, 20, 13, 9, 8]), 100)) == 3
+
+
 def test_fillings_of_many_pieces():
     rng = random.Random(10)
     for _ in range(200):
@@ -586,22 +613,108 @@ def test_token_counts(spark):
             text = text[:i] + new + text[min(max(b, i), len(text)) :]
             tree.edit(a, b, new)
             assert tree.text == text and tree.tokens == full(text), (a, b, new)
-    df = docs(spark, ODD).withColumn("edits", F.expr("array(struct(0L as start, 1L as end, 'a b' as text), null)"))
-    assert sorted((r.tokens_before, r.tokens_after) for r in count_tokens(df).collect())[0] == (0, full("a b"))
+    # the table of trees: taken out, edited, kept again and edited once more
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(0, 400))), "a") for i in range(30)]
+    trees = build_trees(docs(spark, rows + ODD), leaf=4)
+    edits, text = [], {i: t for i, t, _ in rows}
+    for i in text:
+        for seq in range(rng.randrange(3)):
+            a = rng.randrange(len(text[i]) + 2)
+            edits.append((i, seq, a, a + rng.randrange(9), rng.choice([*bits, None])))
+    table = spark.createDataFrame(edits, "doc_id long, seq int, start long, end long, text string")
+    state = trees
+    for _ in range(2):
+        for i, _, a, b, new in edits:
+            text[i] = text[i][:a] + (new or "") + text[i][max(a, b) :]
+        got = update_trees(with_edits(state, table), leaf=4, keep=True).collect()
+        assert {r.doc_id: (r.tokens_after, r.text) for r in got if r.doc_id in text} == {i: (full(t), t) for i, t in text.items()}
+        state = spark.createDataFrame([(r.doc_id, r.text, r.tokens_after, r.pre_tokens, r.leaves) for r in got], trees.schema)
+    odd = update_trees(trees.where("doc_id >= 900 or doc_id is null").withColumn("edits", F.expr("array(struct(0L as start, 1L as end, 'a b' as text), null)"))).collect()
+    assert len(odd) == len(ODD) and sorted((r.tokens_before, r.tokens_after) for r in odd)[0] == (0, full("a b"))
+    assert build_trees(docs(spark, [])).count() == 0
+    # an edit at the end of a long text costs a few leaves, not the text
+    tree = SegmentTree("word and word. " * 5000, words)
+    before = tree.encoded
+    tree.edit(74_000, 74_003, "x")
+    assert tree.encoded - before < 200 and tree.tokens == full(tree.text)
+
+
+def naive_lines(rows):
+    seen, out = [], []
+    for i, t, s in rows:
+        kept, n = [], 0
+        for u in (t or "").split("\n"):
+            if not re.search(WORD, u):
+                kept.append((u, False))
+                continue
+            n += 1
+            if not (u in seen or len(u) >= 16 and any(len(v) >= 16 and edit_distance_1(u, v) for v in seen)):
+                kept.append((u, True))
+            seen.append(u)
+        if t is None or not n or any(k for _, k in kept):
+            out.append((i, t if t is None else "\n".join(u for u, _ in kept), s))
+    return out
+
 
+def naive_near(rows, n=5):
+    sets, root = [shingles(t, n) for _, t, _ in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [r for i, r in enumerate(rows) if not sets[i] or find(i) == i]
+
+
+def test_pipeline(spark, corpus, tmp_path):
+    """Each stage against a plain version of it; rows come in the order of doc_id, and the first of each group stays."""
+    from tokenizers import Tokenizer
 
-def test_pipeline_keeps_columns(spark, corpus, tmp_path):
     import corpus_pipeline
 
-    df = corpus[0].select("doc_id", "text", "lang", "source", "n_chars")
+    rng = random.Random(30)
+    rows = {i: (i, t, s) for i, t, s in corpus[1] if i is not None and i < 500}
+    bad = {1000 + k: (1000 + k, " ".join(rng.choice(["BUY!!", "|", "$$$now", "x%%%"]) for _ in range(40)), "b") for k in range(60)}
+    rows = [*rows.values(), *bad.values()]
+    df = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    d, counts = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    known = [(i, int(i < 1000), 0) for i, _, _ in rows if i % 3]
+    spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    score = {r.doc_id: r.score for r in Quality().score(d, labels).collect()}
+    want = sorted((r for r in rows if score[r[0]] >= 0.7), key=lambda r: r[0])
+    assert not {i for i, _, _ in want} & bad.keys() and len(want) > 200
+    held = []
+    for (name, stage), plain in zip(corpus_pipeline.STAGES[:-1], (lambda r: r, naive_lines, naive_near, None), strict=True):
         d = stage(spark, d, str(tmp_path)).cache()
         assert d.columns == df.columns, name
-        counts.append(d.count())
-    assert counts[0] >= counts[1] >= counts[2] > 50
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.count() >= counts[3] > 0
-    assert hashlib.sha256(str(sorted(map(str, out.select("doc_id", "length").collect()))).encode()).hexdigest()
+        got = [tuple(r) for r in d.select("doc_id", "text", "source").collect()]
+        if plain:
+            want = plain(want)
+            assert Counter(got) == Counter(want), name
+            held = got
+    words = lambda t: re.findall(WORD, t or "")
+    size, taken = Counter(), Counter()
+    for _, t, s in held:
+        size[s] += len(words(t))
+    for _, t, s in got:
+        taken[s] += len(words(t))
+    names = sorted((s for s in size if s), key=str) + [None] * (None in size)
+    goal = water([size[s] for s in names], [i % 3 + 1 for i in range(len(names))])
+    assert all(abs(taken[s] - t) <= 1 for s, t in zip(names, goal, strict=True))
+    source = {i: words(t) for i, t, _ in held}
+    assert all(Counter(words(t)) <= Counter(source[i]) for i, t, _ in got)
+    encode = Tokenizer.from_file(Packer().tokenizer).encode
+    lengths = Counter((i, len(encode(t or "", add_special_tokens=False).ids) + 1) for i, t, _ in got)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.length) for r in out) == lengths  # all are shorter than a sequence
+    fill = Counter()
+    for r in out:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 4096 and len(fill) == -(-sum(fill.values()) // 4096)
