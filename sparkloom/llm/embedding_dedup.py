@@ -28,6 +28,25 @@ from sparkloom.llm.shingles import mix
 BROADCAST_BUCKETS = 500_000
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """A vector's bytes, single precision if that loses nothing; the first byte tells the size of a number."""
+    low = v.astype(np.float32)
+    return b"\x04" + low.tobytes() if (low == v).all() else b"\x08" + v.tobytes()
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    """Vectors of one length, in double precision."""
+    if len({(r[0], len(r)) for r in rows}) == 1:
+        kind = np.float32 if rows[0][0] == 4 else np.float64
+        raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+        return np.ascontiguousarray(raw[:, 1:]).view(kind).astype(np.float64)
+    return np.stack([np.frombuffer(r, np.float32 if r[0] == 4 else np.float64, offset=1).astype(np.float64) for r in rows])
+
+
+def _size(row: bytes) -> int:
+    return (len(row) - 1) // row[0]
+
+
 def _valid(batches):
     """Digest and bytes of each usable vector; nulls for the others."""
     import xxhash
@@ -39,7 +58,7 @@ def _valid(batches):
             if v and label.is_valid and all(x is not None for x in v):
                 a = np.array(v, np.float64) + 0.0  # no negative zero
                 if np.isfinite(a).all() and np.isfinite(n := np.linalg.norm(a)) and n > 0:
-                    out.append((*np.frombuffer(xxhash.xxh3_128_digest(a.tobytes()), np.int64).tolist(), a.tobytes()))
+                    out.append((*np.frombuffer(xxhash.xxh3_128_digest(a.tobytes()), np.int64).tolist(), _packed(a)))
                     continue
             out.append((None, None, None))
         yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("label"), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], ["d", "label", "h", "h2", "v"])
@@ -84,9 +103,9 @@ def _buckets(tables: int, k: int, probes: int):
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 raw = batch.column("v").to_pylist()
-                for dim in sorted({len(x) for x in raw}):
-                    rows = np.array([i for i, x in enumerate(raw) if len(x) == dim])
-                    v = np.frombuffer(b"".join(raw[i] for i in rows), np.float64).reshape(len(rows), -1)
+                for dim in sorted({_size(x) for x in raw}):
+                    rows = np.array([i for i, x in enumerate(raw) if _size(x) == dim])
+                    v = _unpacked([raw[i] for i in rows])
                     codes = _codes(v, tables, k, probes)
                     label = batch.column("label").to_numpy()[rows].astype(np.uint64)
                     own = mix(mix(label + np.uint64(dim)) + np.uint64(1))
@@ -126,7 +145,7 @@ def _linked(least: float, width: int):
                 if len(rows) < 2:
                     continue
                 s = t.slice(rows[0], len(rows))
-                v = np.frombuffer(b"".join(s.column("v").to_pylist()), np.float64).reshape(len(rows), -1)
+                v = _unpacked(s.column("v").to_pylist())
                 v = v / np.linalg.norm(v, axis=1, keepdims=True)
                 side, n, table = s.column("side").to_numpy(), s.column("n").to_numpy(), s.column("table")[0].as_py()
                 code = s.column("code")[0].as_py()

@@ -27,6 +27,8 @@ from sparkloom.llm.shingles import WordHashes, mix, shingle_set, signature
 COORDINATES = 64
 #: Large nodes are broadcast by their 8-byte names up to this many (16 MB), else joined by a shuffle.
 BROADCAST_PATHS = 1_000_000
+#: Rows of equal shingles from which on their class is broadcast, under the same bound.
+HOT_CLASS = 200
 #: So are main components of nodes, by 32 bytes each.
 BROADCAST_MAINS = 500_000
 NO_ID = np.iinfo(np.int64).max
@@ -338,8 +340,7 @@ class NearDedup:
     def classify(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id (smallest doc_id reachable), kept: one row for each row of ``docs``."""
         rows, comps = self.links(docs)
-        named = _named(rows, comps).select("h1", "h2", F.col("c.d").alias("c"))
-        out = rows.select("d", "n_shingles", "h1", "h2").where("h1 is not null").join(named, ["h1", "h2"]).select("d", "n_shingles", "c")
+        out = _joined(rows, _named(rows, comps)).select("d", "n_shingles", F.col("c.d").alias("c"))
         out = out.unionByName(rows.where("h1 is null").select("d", "n_shingles", F.col("d").alias("c")))
         real = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
         return out.select(real("d").alias("doc_id"), "n_shingles", real("c").alias("component_id"), F.coalesce(F.col("d") == F.col("c"), F.lit(False)).alias("kept"))
@@ -350,16 +351,28 @@ def _edges(links: DataFrame) -> DataFrame:
 
 
 def _named(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """h1, h2, c: the component of each class, its own node if it is linked with nothing."""
-    classes = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("d").alias("d"))
-    named = classes.select("h1", "h2", F.struct("d", F.col("h1").alias("h")).alias("node")).join(comps, "node", "left")
-    return named.select("h1", "h2", F.coalesce("component", "node").alias("c"))
+    """h1, h2, n (rows), c: the component of each class, its own node if it is linked with nothing."""
+    classes = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("n"))
+    named = classes.select("h1", "h2", "n", F.struct("d", F.col("h1").alias("h")).alias("node")).join(comps, "node", "left")
+    return named.select("h1", "h2", "n", F.coalesce("component", "node").alias("c"))
+
+
+def _joined(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows that have shingles, with c of their class. Classes of many copies are broadcast, so that no task gets all rows of one; the others are joined by a shuffle."""
+    named = materialize(named)
+    hot = named.where(F.col("n") >= HOT_CLASS)
+    most = hot.count()
+    rows, plain = rows.where("h1 is not null"), named.select("h1", "h2", "c")
+    if not 0 < most <= BROADCAST_PATHS:
+        return rows.join(plain, ["h1", "h2"])
+    few = F.broadcast(hot.select("h1", "h2", "c"))
+    return rows.join(few, ["h1", "h2"]).unionByName(rows.join(few.select("h1", "h2"), ["h1", "h2"], "left_anti").join(plain, ["h1", "h2"]))
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with one row of each group of near copies, the smallest doc_id's (of equal rows, one); texts without words stay."""
     rows, comps = NearDedup(**parameters).links(docs, keys=True)
-    first = rows.join(_named(rows, comps), ["h1", "h2"]).groupBy("c").agg(F.min(F.struct("d", "k1", "k2")).alias("k")).select("k.*")
+    first = _joined(rows, _named(rows, comps)).groupBy("c").agg(F.min(F.struct("d", "k1", "k2")).alias("k")).select("k.*")
     kept = first.unionByName(rows.where("h1 is null").select("d", "k1", "k2").distinct()).toDF("_kept", "_kept1", "_kept2")
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), d, *row_keys())

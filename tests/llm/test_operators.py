@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.chat import Template, format_conversations, read_turns
 from sparkloom.llm.common import components, spread_rank
-from sparkloom.llm.embedding_dedup import EmbeddingDedup
+from sparkloom.llm.embedding_dedup import EmbeddingDedup, _codes
 from sparkloom.llm.line_dedup import LineDedup, drop_lines
 from sparkloom.llm.media import A_LAW, IMA_ADPCM, MU_LAW, STEPS, a_law_table, adpcm, features, mu_law_table, read_wav, resampled, store_texts, to_pcm, wav
 from sparkloom.llm.mixing import Mixer, size_of, targets
@@ -319,6 +319,38 @@ def test_near_dedup(spark, corpus, n):
     assert NearDedup().classify(df.limit(0)).count() == 0
 
 
+def test_recall_on_all_levels(spark):
+    """Pairs at 0.80 to 0.90, each alone, where every node branches to the last level."""
+    rng, rows, links = random.Random(40), [], 0
+    for k in range(400):
+        a = [f"v{k}x{i}" for i in range(rng.randrange(60, 120))]
+        b = [*a]
+        for p in rng.sample(range(len(a)), rng.randrange(1, 4)):
+            b[p] += "y"
+        rows += [(2 * k, " ".join(a), "s"), (2 * k + 1, " ".join(b), "s")]
+        x, y = shingles(rows[-2][1], 5), shingles(rows[-1][1], 5)
+        links += 100 * len(x & y) >= 80 * len(x | y)
+    assert links > 200
+    found = [r for r in NearDedup(small=1, more=(2, 2)).classify(docs(spark, rows)).collect() if not r.kept]
+    assert len(found) >= 0.985 * links
+
+
+@pytest.mark.parametrize("axes", [1, 2])
+def test_recall_of_axes(axes):
+    """Of pairs at a cosine of 0.93 to 0.95 those that share a bucket of some table."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(0.93, 0.95, (400, 1))
+    y = c * x + np.sqrt(1 - c * c) * y
+    a, b = (_codes(v, 10 * 2 ** (axes - 1), axes, 2) for v in (x, y))
+    met = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3))
+    assert met.mean() > 0.99
+
+
 def test_stages_tell_rows_apart(spark):
     rng = random.Random(13)
     x, y, z = (prose(rng, 60) for _ in range(3))
