@@ -59,22 +59,26 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
 
 
 def listed(urls: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """``urls`` with a column ``hit``: whether ``key`` is in ``wanted(key)``."""
+    """``urls`` with a column ``hit`` (in place of any of that name): whether ``key`` is in ``wanted(key)``."""
     wanted = materialize(wanted.where("key is not null").distinct())
     n = wanted.count()
     blocks = max(1, n // 16)  # 16 bits a key
-    table = bloom(wanted, blocks).withColumnRenamed("block", "_block")
+    table = bloom(wanted, blocks).withColumnRenamed("block", "held")
     if blocks <= BROADCAST_BLOCKS:
         table = F.broadcast(table)
-    row = urls.withColumn("_at", F.pmod(F.xxhash64(F.col(key)), F.lit(blocks))).join(table, F.col("_at") == F.col("_block"), "left")
-    mask = lambda w: F.expr(f"aggregate({_bits(key)}, 0L, (a, b) -> a | if(b div 64 = {w}, shiftleft(1L, b % 64), 0L))")
-    maybe = F.col("_block").isNotNull() & F.col(key).isNotNull()
+    rows = urls.select(F.struct(*[c for c in urls.columns if c != "hit"]).alias("row"), F.col(key).alias("key"))
+    # rows without a key look for no block; they are spread out, as they may be many
+    at = F.when(F.col("key").isNull(), -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1009))).otherwise(F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    met = rows.withColumn("at", at).join(table, F.col("at") == F.col("held"), "left")
+    mask = lambda w: F.expr(f"aggregate({_bits('key')}, 0L, (a, b) -> a | if(b div 64 = {w}, shiftleft(1L, b % 64), 0L))")
+    maybe = F.col("held").isNotNull() & F.col("key").isNotNull()
     for w in range(WORDS):
         maybe = maybe & (F.col(f"w{w}").bitwiseAND(mask(w)) == mask(w))
-    row = materialize(row.withColumn("_maybe", F.coalesce(maybe, F.lit(False))).drop("_at", "_block", *[f"w{w}" for w in range(WORDS)]))
-    true = row.where("_maybe").select(F.col(key).alias("key")).distinct().join(wanted, "key", "left_semi").withColumn("hit", F.lit(True))
-    hits = row.where("_maybe").join(true, F.col(key) == F.col("key"), "left").drop("key", "_maybe").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return hits.unionByName(row.where(~F.col("_maybe")).drop("_maybe").withColumn("hit", F.lit(False)))
+    met = materialize(met.select("row", "key", F.coalesce(maybe, F.lit(False)).alias("maybe")))
+    true = materialize(met.where("maybe").select("key").distinct().join(wanted, "key", "left_semi").withColumn("hit", F.lit(True)))
+    true = F.broadcast(true) if true.count() <= BROADCAST_BLOCKS else true
+    hits = met.where("maybe").join(true, "key", "left").select("row.*", F.coalesce("hit", F.lit(False)).alias("hit"))
+    return hits.unionByName(met.where("not maybe").select("row.*", F.lit(False).alias("hit")))
 
 
 def judge(pages: DataFrame, wanted: DataFrame, rules=RULES) -> DataFrame:

@@ -20,7 +20,7 @@ from sparkloom.llm.near_dedup import NearDedup, keep_one
 from sparkloom.llm.packing import Packer, _filling, complete_bins, fewest
 from sparkloom.llm.quality import TERMS, Quality, Words, _terms, keep_good
 from sparkloom.llm.token_counts import PreTokens, SegmentTree, build_trees, byte_bpe, update_trees, with_edits
-from sparkloom.llm.url_filter import judge
+from sparkloom.llm.url_filter import judge, listed
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Names that operators might use inside.
@@ -197,6 +197,9 @@ def test_urls(spark):
     assert [got[i][3] for i in (11, 12, 13, 15)] == ["block", "block", "allow", "block"] and got[14][2] is None
     assert judge(pages.limit(0), wanted).count() == 0
     assert {r.verdict for r in judge(pages.where("page_id in (9, 13)"), wanted.limit(0)).collect()} == {"allow"}
+    own = listed(pages.withColumns({c: F.lit(c) for c in ("row", "at", "held", "maybe")}), "url", pages.where("page_id in (1, 15)").select(F.col("url").alias("key")))
+    assert own.columns == [*pages.columns[:2], "key", "row", "at", "held", "maybe", "hit"]
+    assert {(r.page_id, r.key) for r in own.where("hit").collect()} == {(1, "k"), (12, "k"), (15, "k")} - {(12, "k")}
 
 
 def test_audio(spark):
