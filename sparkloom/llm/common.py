@@ -50,6 +50,23 @@ def slices(batch, column: str, rows: int = 500, size: int = 8 << 20):
         at = until
 
 
+def released(run):
+    """``run`` over the batches of a task; what it held then goes back to the system, as Python workers live on beside the next stages."""
+
+    def task(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return task
+
+
 def row_keys() -> list[Column]:
     """k1, k2: digests of ``text``; with the doc_id they tell rows apart that share it, or have none."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import components, materialize, row_keys, slices
+from sparkloom.llm.common import components, materialize, released, row_keys, slices
 from sparkloom.llm.shingles import WordHashes, mix, shingle_set, signature
 
 COORDINATES = 64
@@ -266,21 +266,21 @@ class NearDedup:
     def links(self, docs: DataFrame, keys: bool = False) -> tuple[DataFrame, DataFrame]:
         """(features of all rows, with ``keys`` their digests too, component of every linked class); classes are structs of smallest doc_id and digest."""
         texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col("text").cast("string").alias("text"))
-        rows = materialize(texts.select("*", *(row_keys() if keys else [])).mapInArrow(_features(self.words), _FEATURES + ", k1 long, k2 long" * keys))
+        rows = materialize(texts.select("*", *(row_keys() if keys else [])).mapInArrow(released(_features(self.words)), _FEATURES + ", k1 long, k2 long" * keys))
         classes = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("d").alias("d"), F.first("sig").alias("sig")).select("d", F.col("h1").alias("h"), "sig")
-        paths = materialize(classes.mapInArrow(_root_paths(self.trees, self.depth), _PATHS))
+        paths = materialize(classes.mapInArrow(released(_root_paths(self.trees, self.depth)), _PATHS))
         found, dense = [], None
         for levels in (*self.more, 0):
             big = paths.groupBy("path").count().where(F.col("count") > self.small).select("path")
             big = materialize(big)
             big = F.broadcast(big) if big.count() <= BROADCAST_PATHS else big
             leaves = paths.join(big, "path", "left_anti")
-            found.append(materialize(leaves.repartition("path").sortWithinPartitions("path", "d", "h").mapInArrow(_compare(self.cut), "path long, d long, h long, yd long, yh long, same long")))
+            found.append(materialize(leaves.repartition("path").sortWithinPartitions("path", "d", "h").mapInArrow(released(_compare(self.cut)), "path long, d long, h long, yd long, yh long, same long")))
             paths = paths.join(big, "path", "left_semi")
             if big.isEmpty():
                 break
             if levels:
-                paths = materialize(paths.mapInArrow(_more_paths(levels), _PATHS))
+                paths = materialize(paths.mapInArrow(released(_more_paths(levels)), _PATHS))
             else:
                 dense = materialize(paths.select("path", "d", "h"))
         leaf = found[0]
@@ -323,19 +323,19 @@ class NearDedup:
         others = n.withColumn("j", spot("q")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).withColumn("lesser", F.lit(False))
         cells = own.unionByName(others).select(F.xxhash64("main", "i", "j").alias("block"), F.col("node.d").alias("d"), F.col("node.h").alias("h"), F.col("label.d").alias("ld"), F.col("label.h").alias("lh"), "lesser")
         cells = cells.join(sets, ["d", "h"])
-        return cells.repartition("block").sortWithinPartitions("block").mapInArrow(_cross(self.percent), _LINKS)
+        return cells.repartition("block").sortWithinPartitions("block").mapInArrow(released(_cross(self.percent)), _LINKS)
 
     def _sets(self, members: DataFrame, texts: DataFrame) -> DataFrame:
         """The full shingle sets, made again, of the classes that are like another one."""
         wanted = members.select("d").distinct()
-        sets = texts.join(wanted, "d", "left_semi").mapInArrow(_sets(self.words), "d long, h long, words binary").where("h is not null")
+        sets = texts.join(wanted, "d", "left_semi").mapInArrow(released(_sets(self.words)), "d long, h long, words binary").where("h is not null")
         return materialize(sets.groupBy("d", "h").agg(F.first("words").alias("words")))
 
     def _confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs whose full shingle sets are alike enough."""
         both = pairs.join(sets.select(F.col("d").alias("xd"), F.col("h").alias("xh"), F.col("words").alias("xs")), ["xd", "xh"])
         both = both.join(sets.select(F.col("d").alias("yd"), F.col("h").alias("yh"), F.col("words").alias("ys")), ["yd", "yh"])
-        return both.select("xd", "xh", "yd", "yh", "xs", "ys").mapInArrow(_confirm(self.percent), _LINKS)
+        return both.select("xd", "xh", "yd", "yh", "xs", "ys").mapInArrow(released(_confirm(self.percent)), _LINKS)
 
     def classify(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id (smallest doc_id reachable), kept: one row for each row of ``docs``."""

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, row_keys, slices
+from sparkloom.llm.common import materialize, released, row_keys, slices
 
 TERMS = 2048
 HALF = TERMS // 2
@@ -99,7 +99,7 @@ def _leading(square: np.ndarray, rank: int, rounds: int = 40) -> np.ndarray:
 class Quality:
     """Parameters: labelled documents sampled at most, rank of the latent space, neighbours, threshold."""
 
-    def __init__(self, sample: int = 6000, rank: int = 48, k: int = 15, threshold: float = 0.7, block: int = 500):
+    def __init__(self, sample: int = 6000, rank: int = 48, k: int = 15, threshold: float = 0.7, block: int = 200):
         self.sample, self.rank, self.k, self.threshold, self.block = sample, rank, k, threshold, block
 
     def _fitted(self, features: DataFrame, labels: DataFrame):
@@ -133,10 +133,10 @@ class Quality:
         """(doc_id, the long columns ``keys``, score; whether there were labels to fit on)."""
         given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(keys or []), F.col("text").cast("string").alias("text"))
         names = ", ".join(f"{c} long" for c in given.columns[:-1])
-        features = materialize(given.mapInArrow(_features, f"{names}, n_terms int, terms array<int>, weights array<float>"))
+        features = materialize(given.mapInArrow(released(_features), f"{names}, n_terms int, terms array<int>, weights array<float>"))
         fitted = self._fitted(features, labels)
         model = docs.sparkSession.sparkContext.broadcast(fitted)
-        return features.mapInArrow(_voted(model, self.k, self.block), f"{names}, score double"), len(fitted[2]) > 0
+        return features.mapInArrow(released(_voted(model, self.k, self.block)), f"{names}, score double"), len(fitted[2]) > 0
 
     def score(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
         """doc_id, held_out, score, predicted: one row for each row of ``docs``."""
