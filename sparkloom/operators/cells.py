@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.files import shared_folder
+
 
 def column_number(letters: Column) -> Column:
     """A = 1, Z = 26, AA = 27; null for no letters."""
@@ -31,22 +33,76 @@ def reference(text: Column, sheet: Column) -> Column:
     return F.when(known, F.struct(F.when(named, own).otherwise(sheet).alias("sheet"), col.alias("min_col"), row.alias("min_row"), last_col.alias("max_col"), last_row.alias("max_row")))
 
 
-def resolved(refs: DataFrame, cells: DataFrame, key: str, most: int = 250_000, sample: int = 8) -> DataFrame:
+def table_reference(refs: DataFrame, tables: DataFrame, text: str = "text") -> DataFrame:
+    """``refs`` with ref, as ``reference`` gives it, for texts such as Sales[Amount]: the data rows of a table's column; null for other texts and unknown tables or columns.
+
+    ``tables(name, sheet, min_col, min_row, max_row, headers, totals)``: the first row holds the headers, with ``totals`` the last one holds no data.
+    Of tables that share a name the first by sheet and place counts.
+    """
+    pattern = r"^([^\[]+)\[([^\]]+)\]$"
+    first = tables.groupBy(F.col("name").alias("_t")).agg(F.min_by(F.struct("sheet", "min_col", "min_row", "max_row", "headers", "totals"), F.struct("sheet", "min_row", "min_col")).alias("_at"))
+    named = refs.withColumn("_name", F.regexp_extract(F.trim(text), pattern, 1)).withColumn("_column", F.regexp_extract(F.trim(text), pattern, 2))
+    met = named.join(first, F.col("_name") == F.col("_t"), "left")
+    place = F.array_position("_at.headers", F.col("_column"))
+    col = F.col("_at.min_col").cast("long") + place - 1
+    last = F.col("_at.max_row").cast("long") - F.coalesce(F.col("_at.totals"), F.lit(False)).cast("long")
+    found = F.struct(F.col("_at.sheet").alias("sheet"), col.alias("min_col"), (F.col("_at.min_row").cast("long") + 1).alias("min_row"), col.alias("max_col"), last.alias("max_row"))
+    return met.withColumn("ref", F.when((F.col("_name") != "") & (place > 0), found)).drop("_name", "_column", "_t", "_at")
+
+
+#: Blocks of rows that are sent to every task (some 2 KB each at most).
+BROADCAST_BLOCKS = 20_000
+
+
+def _blocks(cells: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(sheet, col, block, before, places: how many cells a column holds before a block of ``rows``, and where in it they lie; the cells with their number in their column)."""
+    spark, given = cells.sparkSession, cells.where("value is not null").select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
+    held = given.groupBy("sheet", "col", F.expr(f"row div {rows}").alias("block")).agg(F.sort_array(F.collect_list("row")).alias("places"))  # ``rows`` numbers at most
+    path = shared_folder(spark)
+    held.write.parquet(path)
+    held = spark.read.schema(held.schema).parquet(path)
+    # blocks without cells too, so that any row has its block
+    spans = held.groupBy("sheet", "col").agg(F.max("block").alias("m")).select("sheet", "col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("block"))
+    every = spans.join(held, ["sheet", "col", "block"], "left")
+    w = Window.partitionBy("sheet", "col").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of a column
+    n = F.coalesce(F.size("places"), F.lit(0))
+    counts = every.select("sheet", "col", "block", F.when(F.col("places").isNotNull(), n).otherwise(0).cast("long").alias("n"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    blocks = counts.join(held, ["sheet", "col", "block"], "left").select("sheet", "col", "block", "before", "n", F.coalesce("places", F.array().cast("array<bigint>")).alias("places"))
+    inside = F.row_number().over(Window.partitionBy("sheet", "col", "block").orderBy("row"))
+    numbered = given.withColumn("block", F.expr(f"row div {rows}")).withColumn("i", inside).join(counts.select("sheet", "col", "block", "before"), ["sheet", "col", "block"])
+    return blocks, numbered.select("sheet", "col", (F.col("before") + F.col("i")).alias("number"), "row", "value")
+
+
+def resolved(refs: DataFrame, cells: DataFrame, key: str, most: int | None = 250_000, sample: int = 8, rows: int = 1024) -> DataFrame:
     """key, error, cell_count, nonblank_count, sample (the first values that are not null, row by row), first (its first cell): evidence for ``refs(key, ref)``.
 
-    ``cells(sheet, row, col, value)``. Open ends reach to the sheet's last row or column. A reference meets the cells of its columns only.
+    ``cells(sheet, row, col, value)``, each cell once. Open ends reach to the sheet's last row or column. A reference to more than ``most`` cells is an error (None: never).
+    Ranges are met by blocks of ``rows``: a column holds as many cells in a range as stand before its end less those before its beginning,
+    each told by one block; the sample's cells are looked up by their number in the column. So a reference costs a few rows for each column that
+    holds anything, however many cells lie in it.
     """
     ends = cells.groupBy("sheet").agg(F.max("row").alias("rows"), F.max("col").alias("cols"))
     r = refs.select(key, "ref.*").join(ends.withColumnRenamed("sheet", "_s"), F.col("sheet") == F.col("_s"), "left")
     r = r.select(key, "sheet", F.col("_s").isNull().alias("unknown"), F.coalesce("min_row", F.lit(1)).alias("r1"), F.coalesce("max_row", "rows").alias("r2"), F.coalesce("min_col", F.lit(1)).alias("c1"), F.coalesce("max_col", "cols").alias("c2"))
     size = (F.col("r2") - F.col("r1") + 1) * (F.col("c2") - F.col("c1") + 1)
-    error = F.when(F.col("sheet").isNull(), "unsupported reference").when(F.col("unknown"), "unknown sheet").when(size > most, "too many cells")
+    error = F.when(F.col("sheet").isNull(), "unsupported reference").when(F.col("unknown"), "unknown sheet")
+    error = error if most is None else error.when(size > most, "too many cells")
     r = r.withColumn("error", error).withColumn("cell_count", F.when(error.isNull(), size))
-    wide = r.where("error is null").withColumn("col", F.explode(F.sequence("c1", "c2")))
-    met = wide.join(cells.where("value is not null"), ["sheet", "col"]).where("row between r1 and r2")
-    placed = met.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("row", "col")))
-    held = placed.groupBy(key).agg(F.count(F.lit(1)).alias("nonblank_count"), F.array_sort(F.collect_list(F.when(F.col("_n") <= sample, F.struct("_n", "value")))).alias("s"))
-    held = held.select(key, "nonblank_count", F.transform("s", lambda x: x["value"]).alias("sample"))
+    blocks, numbered = _blocks(cells, rows)
+    columns = blocks.groupBy(F.col("sheet").alias("_s"), F.col("col")).agg(F.max("block").alias("last"))
+    # columns that hold something: a sheet's, of which a reference takes those between its ends
+    of_sheet = columns.groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("col", "last"))).alias("held"))
+    wide = r.where("error is null").join(of_sheet, F.col("sheet") == F.col("_s")).select(key, "sheet", "r1", "r2", F.explode(F.filter("held", lambda x: x["col"].between(F.col("c1"), F.col("c2")))).alias("h"))
+    wide = wide.where("r1 <= r2").select(key, "sheet", F.col("h.col").alias("col"), "r1", "r2", F.explode(F.array(F.struct(F.lit(True).alias("start"), (F.col("r1") - 1).alias("row")), F.struct(F.lit(False).alias("start"), F.col("r2").alias("row")))).alias("p"), F.col("h.last").alias("last"))
+    points = wide.select(key, "sheet", "col", "r1", "p.*", F.least(F.expr(f"p.row div {rows}"), "last").alias("block"))
+    told = F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks
+    points = points.join(told, ["sheet", "col", "block"]).withColumn("upto", F.col("before") + F.size(F.filter("places", lambda x: x <= F.col("row"))))
+    counted = points.groupBy(key, "sheet", "col").agg(F.max(F.when(F.col("start"), F.col("upto"))).alias("a"), F.max(F.when(~F.col("start"), F.col("upto"))).alias("b")).where("b > a")
+    wanted = counted.select(key, "sheet", "col", F.explode(F.expr(f"sequence(a + 1, least(a + {sample}, b))")).alias("number"))
+    seen = wanted.join(numbered, ["sheet", "col", "number"]).groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("row", "col", "value"))), 1, sample).alias("s"))  # ``sample`` a column
+    total = counted.groupBy(key).agg(F.sum(F.col("b") - F.col("a")).alias("nonblank_count"))
+    held = total.join(seen, key).select(key, "nonblank_count", F.transform("s", lambda x: x["value"]).alias("sample"))
     out = r.join(held, key, "left")
     none = F.array().cast("array<string>")
     return out.select(key, "error", "cell_count", F.when(F.col("error").isNull(), F.coalesce("nonblank_count", F.lit(0))).alias("nonblank_count"), F.coalesce("sample", none).alias("sample"), F.when(F.col("error").isNull(), F.struct("sheet", F.col("r1").alias("row"), F.col("c1").alias("col"))).alias("first"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from sparkloom.functions.text import collapse, slug
+from sparkloom.operators.ranks import running
 from sparkloom.operators.tables import free_slugs
 
 
@@ -40,10 +41,7 @@ def upsert_last(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFra
     rows = old.withColumn("_late", F.lit(0)).unionByName(new.withColumn("_late", F.lit(1)))
     rest = [c for c in old.columns if c != key]
     last = rows.groupBy(key).agg(F.max(F.struct("_late", order, *[c for c in rest if c != order])).alias("r")).select(key, "r.*")
-    before = last.groupBy("_late").agg(F.count(F.lit(1)).alias("_n")).where("_late = 0").select("_n")
-    at = F.row_number().over(Window.partitionBy("_late").orderBy(order, key)) - 1
-    counted = last.withColumn("place", at).join(F.broadcast(before), F.lit(True), "left")  # one row
-    return counted.withColumn("place", F.col("place") + F.when(F.col("_late") == 1, F.coalesce("_n", F.lit(0))).otherwise(0)).drop("_late", "_n")
+    return running(last, ["_late", order, key], out="place").drop("_late")
 
 
 def import_states(log: DataFrame, path: list[str], order: list[str], content: str, done: Column) -> DataFrame:
@@ -66,8 +64,9 @@ def import_states(log: DataFrame, path: list[str], order: list[str], content: st
     same = F.col("version") == F.col("_v")
     for i, c in enumerate(path):
         same &= F.col(c).eqNullSafe(F.col(f"_p{i}"))
-    first = out.groupBy(F.col("_hash").alias("_h")).agg(F.min(F.struct(*order, "_path")).alias("_f")).select("_h", F.col("_f")["_path"].alias("_first"))
-    out = out.withColumn("status", status).join(heads, same, "left").join(first, F.col("_hash") == F.col("_h"))
+    own = F.when(F.col(content).isNull(), F.lit("null")).otherwise(F.col("_hash"))
+    first = out.groupBy(own.alias("_h")).agg(F.min(F.struct(*order, "_path")).alias("_f")).select("_h", F.col("_f")["_path"].alias("_first"))
+    out = out.withColumn("status", status).join(heads, same, "left").join(first, own == F.col("_h"))
     out = out.withColumn("content_id", F.col("_id")).withColumn("duplicate_of", F.when(F.col("_first") != F.col("_path"), F.col("_first")))
     return out.drop("_new", "_done", "_hash", "_path", "_id", "_v", "_h", "_first", *[f"_p{i}" for i in range(len(path))])
 

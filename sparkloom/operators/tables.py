@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranks import medians
 from sparkloom.sources.files import shared_folder
 
 
@@ -44,7 +45,9 @@ def countifs_sumifs(df: DataFrame, by: str, total: str, rules: list[tuple[str, s
 
 def sheet_aggregates(df: DataFrame, by: str, value: str) -> DataFrame:
     v = F.col(value)
-    return df.groupBy(by).agg(F.round(F.sum(v), 2).alias("sum"), F.round(F.avg(v), 6).alias("average"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.median(v), 6).alias("median"), F.count(v).alias("count"), F.round(F.stddev_samp(v), 6).alias("stdev"))
+    out = df.groupBy(by).agg(F.round(F.sum(v), 2).alias("sum"), F.round(F.avg(v), 6).alias("average"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count"), F.round(F.stddev_samp(v), 6).alias("stdev"))
+    middle = medians(df, by, value).select(F.col(by).alias("_by"), F.round("median", 6).alias("median"))
+    return out.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

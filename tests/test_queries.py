@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import sparkloom.plans.cells  # noqa: F401  each registers its queries, as do the modules that it imports
 import sparkloom.plans.context  # noqa: F401
+import sparkloom.plans.kept  # noqa: F401
 import sparkloom.plans.store  # noqa: F401
 import sparkloom.plans.texts  # noqa: F401
 from sparkloom.functions import text as T
