@@ -10,6 +10,7 @@ from sparkloom.operators.kept_index import KeptIndex
 from sparkloom.plans import store as P
 from sparkloom.plans.queries import ORACLE, query, table
 from sparkloom.sources.files import shared_folder
+from sparkloom.streaming.courses import run_courses
 from sparkloom.streaming.versions import ImportStore
 
 
@@ -65,3 +66,23 @@ def stored_contents(spark, sf_dir):
     store = _imported(spark, sf_dir)
     store.forget(store.versions.read().where("user_id % 7 = 0"), "deleted")
     return store.contents.read().select("hash", "versions")
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn * 4 + CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS "at", CASE WHEN length(text) % 3 = 0 THEN '' ELSE role || ' ' || length(text) END AS result FROM conversations),
+b AS (SELECT *, coalesce(result, '') = '' AS bad, row_number() OVER (PARTITION BY conv_id ORDER BY "at") AS i FROM c),
+s AS (SELECT *, bad AND lag(bad, 1, false) OVER w AND lag(bad, 2, false) OVER w AS stop FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY "at")),
+p AS (SELECT *, min(CASE WHEN stop THEN i END) OVER (PARTITION BY conv_id) AS first FROM s),
+k AS (SELECT *, first IS NOT NULL AND i > first AS waits, string_agg(CASE WHEN NOT bad THEN result END, '|') OVER (PARTITION BY conv_id ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gists FROM p)
+SELECT conv_id::VARCHAR AS course, "at", CASE WHEN waits THEN 'waiting' WHEN bad THEN 'failed' ELSE 'done' END AS status, CASE WHEN first IS NOT NULL AND i >= first THEN 'paused' ELSE 'idle' END AS state, CASE WHEN NOT waits THEN coalesce(gists, '') END AS gists FROM k""")
+def course_runs(spark, sf_dir):
+    """Three runs of a stream over conversations, each going on from what the one before left; at most eight turns, so that all gists are kept."""
+    c, n = table(spark, sf_dir, "conversations"), F.length("text")
+    at = (F.col("turn") * 4 + F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)).alias("at")
+    items = c.select(F.col("conv_id").cast("string").alias("course"), at, F.when(n % 3 == 0, "").otherwise(F.concat("role", F.lit(" "), n.cast("string"))).alias("text"), "turn")
+    folder = shared_folder(spark)
+    parts = (F.col("turn") < 2, F.col("turn").between(2, 3), F.col("turn") > 3)
+    for i, some in enumerate(parts):
+        items.where(some).drop("turn").write.parquet(f"{folder}/in/part={i}")
+        source = spark.readStream.schema(items.drop("turn").schema).parquet(f"{folder}/in/*")
+        out = run_courses(source, f"{folder}/run")
+    return out.select("course", "at", "status", "state", F.array_join("gists", "|").alias("gists"))
