@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import search as S
 from sparkloom.operators import store as K
 from sparkloom.operators.kept_index import KeptIndex
+from sparkloom.operators.substrings import substring_links
 from sparkloom.plans import store as P
 from sparkloom.plans.queries import ORACLE, query, table
 from sparkloom.sources.files import shared_folder
@@ -86,3 +87,13 @@ def course_runs(spark, sf_dir):
         source = spark.readStream.schema(items.drop("turn").schema).parquet(f"{folder}/in/*")
         out = run_courses(source, f"{folder}/run")
     return out.select("course", "at", "status", "state", F.array_join("gists", "|").alias("gists"))
+
+
+@query(r"""WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '://(?:(?:www|blog|m)\.)?([^./?#]+)', 1) AS name, lower(html) AS t FROM pages), n AS (SELECT name, count(*) AS pages FROM u WHERE length(name) >= 4 GROUP BY 1)
+SELECT u.page_id, n.name, n.pages FROM u JOIN n ON u.name <> n.name AND contains(u.t, lower(n.name))""")
+def substring_references(spark, sf_dir):
+    """Pages that name another page's host anywhere in their text, inside words too."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"), F.regexp_extract(F.coalesce("url", F.lit("")), r"://(?:(?:www|blog|m)\.)?([^./?#]+)", 1).alias("own"))
+    names = pages.where("length(own) >= 4").groupBy(F.col("own").alias("name")).agg(F.count(F.lit(1)).alias("pages"))
+    links = substring_links(pages, names, "page_id", "name")
+    return links.join(pages.select("page_id", "own"), "page_id").where("own <> name").join(names, "name").select("page_id", "name", "pages")
