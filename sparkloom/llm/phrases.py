@@ -2,7 +2,7 @@
 
 A text's words, with a mark between pieces, are cut into overlapping chunks wherever the last ``longest - 1`` words trigger a
 cut by their hash: equal passages are cut alike wherever they stand. The distinct chunks of a language form the
-dictionary, with how often each was parsed. Phrases are counted inside distinct chunks, weighted, each in the chunk
+dictionary, with how often each was parsed; it is kept with numbers for words. Phrases are counted inside distinct chunks, weighted, each in the chunk
 in which it starts before the overlap, so that overlaps count once. Lengths are counted one after the other: a phrase can only
 be frequent if all its words and both its shorter parts are, which a bit map of fixed size tells. The map may let too much
 through, never too little, so counts are exact at any size. All else is joins on (lang, phrase).
@@ -14,8 +14,6 @@ doc_id and extra columns are ignored.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,22 +28,13 @@ from sparkloom.llm.shingles import mix
 ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Stands for the end of a piece in a chunk; no word can hold it.
 MARK = b"."
-_TO_MARK = bytes.maketrans(ENDS, b"\n" * len(ENDS))
-#: Words that a worker numbers before it starts anew, and phrase places that it counts together; neither changes a result.
-TABLE_WORDS, PLACES = 1_000_000, 4_000_000
-
-
-class _Words(dict):
-    """Numbers of words in the order they come; 0 is the mark."""
-
-    def __init__(self):
-        super().__init__({MARK: 0})
-        self.names = [MARK]
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.names)
-        self.names.append(word)
-        return n
+_TO_LINES = bytes.maketrans(ENDS, b"\n" * len(ENDS))
+#: Phrase places and words that a task counts together, chunks in a block; none changes a result.
+PLACES, TABLE_WORDS, BLOCK = 4_000_000, 1_000_000, 50_000
+_BLOCKS = "lang string, names array<binary>, hashes binary, number binary, size binary, parsed binary"
+#: An odd number and its inverse modulo 2 ** 64, for hashes of stretches that don't depend on where they stand.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _hashes(names: list[bytes]) -> np.ndarray:
@@ -56,81 +45,101 @@ def _joined_hash(parts: list[np.ndarray]) -> np.ndarray:
     """Hash of a phrase from those of its words."""
     acc = np.full(len(parts[0]), len(parts), np.uint64)
     for h in parts:
-        acc = mix((acc + np.uint64(0x9E3779B97F4A7C15)) ^ h)
+        acc = mix((acc + np.uint64(_BASE)) ^ h)
     return acc
 
 
-def _binary(rows: list[bytes]) -> pa.Array:
-    return pa.array(rows, pa.binary())
+class _Powers:
+    """Powers of a number modulo 2 ** 64, as many as were asked for at most."""
+
+    def __init__(self, base: int):
+        self.base, self.held = np.uint64(base), np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if n > len(self.held):
+            more = np.full(max(n, 2 * len(self.held)), self.base)
+            more[0] = 1
+            self.held = np.multiply.accumulate(more)
+        return self.held[:n]
 
 
 def _parse(overlap: int, every: int):
     """lang, chunk: a text's words and marks, cut where ``overlap`` of them trigger it, which belong to both chunks."""
 
     def run(batches):
-        words, hashed = _Words(), np.zeros(0, np.uint64)
+        powers, inverse = _Powers(_BASE), _Powers(_INVERSE)
         for whole in batches:
             for batch in slices(whole, "text", 2000):
                 langs, chunks = [], []
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    flat: list[bytes] = []
-                    for piece in text.lower().translate(_TO_MARK).split(b"\n") if text else ():  # bytes: only A-Z change
-                        if found := piece.split():
-                            flat += found
-                            flat.append(MARK)
-                    if not flat:
+                    # bytes: only A-Z change, and words end at blanks and tabs
+                    words = text.lower().translate(_TO_LINES).replace(b"\n", b" . ").split() if text else ()
+                    if not words:
                         continue
-                    flat += [MARK] * (overlap - 1)  # with the last piece's, as many as overlap: every place starts before an overlap
-                    number = np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))
-                    if len(words.names) > len(hashed):
-                        hashed = np.concatenate([hashed, _hashes(words.names[len(hashed) :])])
-                    h = hashed[number]
-                    window = _joined_hash([h[j : len(h) - overlap + 1 + j] for j in range(overlap)])
-                    cuts = np.flatnonzero(window % np.uint64(every) == 0).tolist()
-                    last = len(flat) - overlap
-                    starts = [0, *(c for c in cuts if 0 < c < last)]
-                    chunks += [b" ".join(flat[a : b + overlap]) for a, b in zip(starts, [*starts[1:], last])]
-                    langs += [lang] * len(starts)
-                    if len(words) > TABLE_WORDS:
-                        words, hashed = _Words(), np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), _binary(chunks)], ["lang", "chunk"])
+                    words += [MARK] * overlap  # every place of a word starts before an overlap
+                    flat = b" ".join(words)
+                    raw = np.frombuffer(flat, np.uint8)
+                    start = np.r_[0, np.flatnonzero(raw == 32) + 1, len(raw) + 1]
+                    # the sum over a stretch, taken back to where it starts, is its hash
+                    total = np.r_[np.uint64(0), np.cumsum(raw * powers.upto(len(raw)), dtype=np.uint64)]
+                    first, end = start[:-overlap], start[overlap:] - 1
+                    window = mix((total[end] - total[first]) * inverse.upto(len(raw))[first])
+                    last = len(words) - overlap
+                    cuts = np.flatnonzero(window[1:last] % np.uint64(every) == 0) + 1
+                    lo = np.r_[0, cuts]
+                    hi = np.r_[cuts, last] + overlap
+                    chunks += [flat[a:b] for a, b in zip(start[lo].tolist(), (start[hi] - 1).tolist())]
+                    langs += [lang] * len(lo)
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chunks, pa.binary())], ["lang", "chunk"])
 
     return run
 
 
+def _numbered(batches):
+    """Blocks of chunks of a language: their distinct words with hashes, and numbers in place of words; 0 is the mark."""
+    for whole in batches:
+        for batch in slices(whole, "chunk", BLOCK, 16 << 20):
+            for lang in pc.unique(batch.column("lang")).to_pylist():
+                some = batch.filter(pc.equal(batch.column("lang"), lang))
+                split = pc.split_pattern(some.column("chunk"), b" ")
+                coded = pa.concat_arrays([pa.array([MARK], pa.binary()), split.flatten()]).dictionary_encode()
+                names, size = coded.dictionary.to_pylist(), pc.list_value_length(split).to_numpy().astype(np.int32)
+                h = _hashes(names) ^ np.uint64(xxhash.xxh3_64_intdigest(lang))
+                row = [lang, names, h.tobytes(), coded.indices.to_numpy()[1:].astype(np.int32).tobytes(), size.tobytes(), some.column("parsed").to_numpy().astype(np.int64).tobytes()]
+                kinds = (pa.string(), pa.list_(pa.binary()), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["lang", "names", "hashes", "number", "size", "parsed"])
+
+
 def _counted(n: int, overlap: int, bits: int, frequent, shorter):
     """lang, phrase, f: phrases of ``n`` words in chunks, weighted by how often each chunk was parsed; those that the bit maps rule out are left out."""
 
     def run(batches):
         allowed, parts = (b and np.frombuffer(b.value, np.uint8) for b in (frequent, shorter))
         state: dict[str, _Held] = {}
-        for whole in batches:
-            for batch in slices(whole, "chunk", 20_000):
-                langs = batch.column("lang").to_numpy(zero_copy_only=False)
-                for lang in dict.fromkeys(langs.tolist()):
-                    rows = pa.array(np.flatnonzero(langs == lang))
-                    here = state.setdefault(lang, _Held(lang))
-                    tokens = [c.split(b" ") for c in batch.column("chunk").take(rows).to_pylist()]
-                    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-                    number = np.fromiter(map(here.words.__getitem__, chain.from_iterable(tokens)), np.int64, int(size.sum()))
-                    weight = np.repeat(batch.column("parsed").take(rows).to_numpy(), size)
-                    here.look_up(allowed, bits)
-                    # places before the overlap; what follows them, up to n words, is in the same chunk
-                    ends = np.cumsum(size)
-                    own = np.ones(len(number), bool)
-                    for j in range(overlap):
-                        own[ends - 1 - j] = False
-                    at, ok = np.flatnonzero(own), here.good[number]
-                    for j in range(n):
-                        at = at[ok[at + j]]
-                    if parts is not None:
-                        h = here.hashed[number]
-                        for j in range(2):
-                            at = at[_hit(parts, _joined_hash([h[at + j + k] for k in range(n - 1)]), bits)]
-                    here.held.append((np.stack([number[at + j] for j in range(n)]), weight[at]))
-                    here.places += len(at)
-                    if here.places > PLACES or len(here.words) > TABLE_WORDS:
-                        yield from _summed(state.pop(lang))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda c, kind: np.frombuffer(batch.column(c)[row].as_py(), kind)  # noqa: B023, E731
+                lang = batch.column("lang")[row].as_py()
+                here, h, number, size = state.setdefault(lang, _Held(lang)), get("hashes", np.uint64), get("number", np.int32), get("size", np.int32)
+                good = np.ones(len(h), bool) if allowed is None else _hit(allowed, h, bits)
+                good[0] = False
+                # places before the overlap; what follows them, up to n words, is in the same chunk
+                own, ends = good[number], np.cumsum(size)
+                for j in range(overlap):
+                    own[ends - 1 - j] = False
+                at, ok = np.flatnonzero(own), good[number]
+                for j in range(1, n):
+                    at = at[ok[at + j]]
+                if parts is not None:
+                    # a shorter phrase that starts at a place, and whether it may be frequent
+                    begins = np.unique(np.concatenate([at, at + 1]))
+                    hit = np.zeros(len(number), bool)
+                    hit[begins] = _hit(parts, _joined_hash([h[number[begins + k]] for k in range(n - 1)]), bits)
+                    at = at[hit[at] & hit[at + 1]]
+                if len(at):
+                    here.add(batch.column("names")[row].values, [number[at + j] for j in range(n)], np.repeat(get("parsed", np.int64), size)[at])
+                if here.places > PLACES or len(here.words) > TABLE_WORDS:
+                    yield from _summed(state.pop(lang))
         for here in state.values():
             yield from _summed(here)
 
@@ -138,35 +147,40 @@ def _counted(n: int, overlap: int, bits: int, frequent, shorter):
 
 
 class _Held:
-    """What a task holds of a language: its words with their hashes, and phrases not summed yet."""
+    """What a task holds of a language: words in their order of coming, and phrases by word numbers, not summed yet."""
 
     def __init__(self, lang: str):
-        self.lang, self.words, self.held, self.places = lang, _Words(), [], 0
-        self.seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
-        self.hashed, self.good = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.lang, self.words, self.held, self.places = lang, {}, [], 0
+
+    def add(self, names: pa.Array, phrases: list[np.ndarray], weight: np.ndarray) -> None:
+        used = np.unique(np.concatenate(phrases))
+        own = np.zeros(len(names), np.int64)
+        number = self.words.setdefault
+        own[used] = [number(w, len(self.words)) for w in names.take(pa.array(used)).to_pylist()]
+        self.held.append((np.stack([own[p] for p in phrases]), weight))
+        self.places += len(weight)
+
 
-    def look_up(self, allowed: np.ndarray | None, bits: int) -> None:
-        new = self.words.names[len(self.hashed) :]
-        if new:
-            h = _hashes(new) ^ self.seed
-            self.hashed = np.concatenate([self.hashed, h])
-            self.good = np.concatenate([self.good, np.ones(len(h), bool) if allowed is None else _hit(allowed, h, bits)])
-            self.good[0] = False
+def _sums(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct key, the sum of its weights)."""
+    order = np.argsort(key)
+    ordered = key[order]
+    start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    return order[start], np.add.reduceat(weight[order], start)
 
 
 def _summed(here: _Held):
-    """Distinct phrases with their sums; word numbers fold into one by one, so that no two phrases are mistaken for each other."""
-    number, weight = np.concatenate([x for x, _ in here.held], axis=1), np.concatenate([w for _, w in here.held])
-    if not len(weight):
+    """Distinct phrases with their sums; word numbers fold in one by one, so that no two phrases are mistaken for each other."""
+    if not here.held:
         return
+    number, weight = np.concatenate([x for x, _ in here.held], axis=1), np.concatenate([w for _, w in here.held])
     key = number[0]
     for j in range(1, len(number)):
-        key = np.unique(key, return_inverse=True)[1] << np.int64(32) | number[j]
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
-    total = np.zeros(len(first), np.int64)
-    np.add.at(total, which, weight)
-    names = _binary(here.words.names)
-
+        if j > 1:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key << np.int64(32) | number[j]
+    first, total = _sums(key, weight)
+    names = pa.array(list(here.words), pa.binary())
     for at in range(0, len(first), 100_000):
         some = first[at : at + 100_000]
         phrase = names.take(pa.array(number[0][some]))
@@ -213,7 +227,11 @@ class Phrases:
         """lang, chunk, parsed: the distinct chunks of each language and how often each was parsed."""
         given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
         parsed = given.mapInArrow(released(_parse(self.longest - 1, self.every)), "lang string, chunk binary")
-        return materialize(parsed.groupBy("lang", "chunk").agg(F.count(F.lit(1)).alias("parsed")), "zstd")
+        return parsed.groupBy("lang", "chunk").agg(F.count(F.lit(1)).alias("parsed"))
+
+    def numbered(self, docs: DataFrame) -> DataFrame:
+        """The dictionary in blocks, with numbers for words: it is read once for each length of phrase."""
+        return materialize(self.dictionary(docs).mapInArrow(released(_numbered), _BLOCKS), "zstd")
 
     def _map(self, spark, phrases: DataFrame):
         """The bit map of ``phrases`` on all workers: 2 ** bits bits, however many there are."""
@@ -233,7 +251,7 @@ class Phrases:
 
     def counts(self, docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """(lang, n: all word occurrences; for each length, lang, phrase, f of the frequent phrases)."""
-        spark, chunks = docs.sparkSession, self.dictionary(docs)
+        spark, chunks = docs.sparkSession, self.numbered(docs)
         words = materialize(self._count(chunks, 1))
         total = materialize(words.groupBy("lang").agg(F.sum("f").alias("n")))
         enough = F.col("f") >= self.least

@@ -197,12 +197,13 @@ def test_phrases_brute_force(spark, talk, every, bits, longest):
 def test_phrases_summed_early(spark, talk, monkeypatch):
     import sparkloom.llm.phrases as phrases
 
-    # tasks run in this process's children, which see the changed values
-    chunks = Phrases().dictionary(spark.createDataFrame(talk, "doc_id long, text string, lang string"))
+    # many blocks, and the sums of a few of them at a time
+    monkeypatch.setattr(phrases, "BLOCK", 20)
+    chunks = Phrases().numbered(spark.createDataFrame(talk, "doc_id long, text string, lang string"))
     rows = phrases._counted(2, 3, 20, None, None)
     import pyarrow as pa
 
-    batches = pa.Table.from_pandas(chunks.toPandas(), preserve_index=False).to_batches(max_chunksize=50)
+    batches = chunks.toArrow().to_batches(max_chunksize=1)
     total = lambda: Counter({(r["lang"], r["phrase"]): 0 for r in ()}) + sum((Counter({(r["lang"], r["phrase"]): r["f"]}) for b in rows(iter(batches)) for r in b.to_pylist()), Counter())
     whole = total()
     monkeypatch.setattr(phrases, "PLACES", 100)
