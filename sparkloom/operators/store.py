@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -9,26 +11,43 @@ from pyspark.sql.utils import AnalysisException
 from sparkloom.functions.text import collapse, slug
 from sparkloom.operators.ranks import running
 from sparkloom.operators.tables import free_slugs
+from sparkloom.sources.keyed import remove
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path``: a new version is written beside the old one and counts once its number is told."""
-    spark = df.sparkSession
-    version = (_newest(spark, path) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
-    spark.range(1).select(F.lit(version).alias("told")).coalesce(1).write.mode("append").parquet(f"{path}/told")
+    """Replace the table at ``path``: a new version is written beside the old one and counts once it is told. Versions before the last two are deleted.
+
+    A version has a name of its own, so two writers don't touch each other's files; of two that tell the same number the greater name counts.
+    """
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    told = _told(spark, path)
+    df.write.parquet(f"{path}/versions/{name}")
+    spark.createDataFrame([((told[0].number if told else 0) + 1, name)], _TOLD).coalesce(1).write.mode("append").parquet(f"{path}/told")
+    kept = {r.name for r in _told(spark, path)[:2]}
+    for old in told[1:]:
+        if old.name not in kept:
+            remove(spark, f"{path}/versions/{old.name}")
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
     """The newest version that has been told; one that is being written isn't seen."""
-    return spark.read.parquet(f"{path}/version={_newest(spark, path)}")
+    return spark.read.parquet(f"{path}/versions/{_told(spark, path)[0].name}")
+
 
+_TOLD = "number long, name string"
 
-def _newest(spark: SparkSession, path: str) -> int | None:
+
+def _told(spark: SparkSession, path: str) -> list:
+    """Versions, the newest first: a short row for each."""
     try:
-        return spark.read.schema("told int").parquet(f"{path}/told").agg(F.max("told")).first()[0]
+        return spark.read.schema(_TOLD).parquet(f"{path}/told").orderBy(F.desc("number"), F.desc("name")).collect()
     except AnalysisException:  # nothing there yet
-        return None
+        return []
+
+
+def drop_part(spark: SparkSession, path: str, by: str, value: str) -> None:
+    """Delete the part ``by=value`` of the table at ``path``; no other file is touched. ``value`` as its folder spells it."""
+    remove(spark, f"{path}/{by}={value}")
 
 
 def replace_parts(df: DataFrame, path: str, by: str) -> None:

@@ -74,9 +74,10 @@ def duplicates(df: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def versions(imports: DataFrame, path: list[str], order: list[str], content: str) -> DataFrame:
-    """Version number and predecessor along each path: a row whose content equals the one before it keeps the version."""
+    """Version number along each path: a row whose content equals the one before it, or is null like that one, keeps the version."""
     w = Window.partitionBy(*path).orderBy(*order)
-    changed = F.coalesce((F.col(content) != F.lag(content).over(w)).cast("int"), F.lit(1))
+    same = F.lag(F.lit(True)).over(w) & F.col(content).eqNullSafe(F.lag(content).over(w))
+    changed = (~F.coalesce(same, F.lit(False))).cast("int")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     return imports.withColumn("_new", changed).withColumn("version", F.sum("_new").over(run)).withColumn("unchanged", F.col("_new") == 0).drop("_new")
 

@@ -80,7 +80,8 @@ def replaced_parts(spark, sf_dir):
     path, c = shared_folder(spark), table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     K.replace_parts(c, path, "role")
     K.replace_parts(c.where("role = 'user' and turn = 0").withColumn("turn", F.col("turn") + 100), path, "role")
-    rows = spark.read.schema("conv_id long, turn long, role string").parquet(path).where("role <> 'system'")
+    K.drop_part(spark, path, "role", "system")
+    rows = spark.read.schema("conv_id long, turn long, role string").parquet(path)
     return rows.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum("turn").alias("turns"))
 
 

@@ -11,12 +11,26 @@ from pyspark.sql import functions as F
 _CELL = "struct<cell_type:string, source:{s}, outputs:array<struct<output_type:string, text:{s}, ename:string, evalue:string, data:map<string,string>>>>"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only for a local master that names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local["):
+#: The temporary folder of each local application that names none.
+_OWN: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one, the same for a whole application, only for a local master that names none."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+    own = spark.sparkContext.applicationId
+    if own not in _OWN:
+        _OWN[own] = tempfile.mkdtemp(prefix="spark-")
+    return _OWN[own]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 def delimiter(spark: SparkSession, path: str, head: int = 8192) -> str:

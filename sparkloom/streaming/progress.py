@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 from sparkloom.streaming.imports import stored_rows
 
 
+def _without(df: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key isn't in ``other``; null is a key like any other."""
+    there = other.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(key)])
+    return df.join(there, same, "left_anti")
+
+
 def _work(batch: DataFrame, batch_id: int, sink: str, key: list[str], generate: Callable[[DataFrame], DataFrame], like: DataFrame) -> None:
     fresh = batch.dropDuplicates(key)
     if batch_id:
         before = stored_rows(batch.sparkSession, sink, like).where(F.col("batch") < batch_id)
-        fresh = fresh.join(done(before).select(*key), key, "left_anti")
+        fresh = _without(fresh, done(before), key)
     # a replay writes the same folder again, so a crash after the write and before the checkpoint changes nothing
     generate(fresh).select(*like.columns).write.mode("overwrite").parquet(f"{sink}/rows/batch={batch_id}")
 
@@ -39,12 +46,12 @@ def done(rows: DataFrame) -> DataFrame:
 
 def failed(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys that have been tried and have no result yet."""
-    return rows.select(*key).distinct().join(done(rows).select(*key), key, "left_anti")
+    return _without(rows.select(*key).distinct(), done(rows), key)
 
 
 def unfinished(items: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """Items without a result."""
-    return items.join(done(rows).select(*key), key, "left_anti")
+    return _without(items, done(rows), key)
 
 
 def until_pause(rows: DataFrame, by: str, order: list[str], failed: Column, most: int = 3) -> DataFrame:
