@@ -6,7 +6,7 @@ over tasks, large ones as blocks of block pairs. In a block the cosines of all p
 precision; a pair counts in the first table and bucket in which the two meet, so that links add up over tables. Links are summed and
 a spanning forest of the block's links is passed on, never the pairs.
 
-Nulls and edges: vectors that are null, empty, zero, or hold a null or non-finite component, and rows with a null
+Labels may be of any type, as their text tells them apart. Nulls and edges: vectors that are null, empty, zero, or hold a null or non-finite component, and rows with a null
 label, link with nothing; vectors of different length are never compared; rows with equal vec_id are separate rows, and
 a null vec_id counts as larger than all others (component_id null if it is the smallest one); extra columns are ignored.
 """
@@ -64,9 +64,9 @@ def _valid(batches):
         yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("label"), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], ["d", "label", "h", "h2", "v"])
 
 
-def _turned(v: np.ndarray, seed: int) -> np.ndarray:
-    """Three rounds of random signs and a fast Hadamard transform, over vectors padded to a power of two."""
-    size = 1 << max(1, (v.shape[1] - 1).bit_length())
+def _turned(v: np.ndarray, seed: int, least: int = 2) -> np.ndarray:
+    """Three rounds of random signs and a fast Hadamard transform, over vectors padded to a power of two and to ``least`` axes."""
+    size = 1 << (max(least, v.shape[1], 2) - 1).bit_length()
     x = np.zeros((len(v), size))
     x[:, : v.shape[1]] = v
     for r in range(3):
@@ -86,7 +86,7 @@ def _codes(v: np.ndarray, tables: int, k: int, probes: int) -> np.ndarray:
     for t in range(tables):
         axes = []
         for j in range(k):
-            x = _turned(v, t * k + j)
+            x = _turned(v, t * k + j, 1 + probes)
             top = np.argsort(-np.abs(x), axis=1, kind="stable")[:, : 1 + probes]
             axes.append(2 * top + (np.take_along_axis(x, top, 1) < 0))
         base = 2 * x.shape[1]
@@ -181,7 +181,7 @@ class EmbeddingDedup:
 
     def classify(self, vectors: DataFrame) -> DataFrame:
         """vec_id, n_links, component_id, kept: one row for each row of ``vectors``."""
-        given = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+        given = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("d"), F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string"))).alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
         rows = materialize(given.mapInArrow(_valid, "d long, label long, h long, h2 long, v binary"))
         classes = rows.where("h is not null").groupBy("label", "h", "h2").agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
         # a class's name: smallest vec_id and a digest of label and vector

@@ -56,16 +56,19 @@ def wav(samples: bytes, codec: int = MU_LAW, rate: int = 8000, align: int = 1) -
 
 
 def read_wav(data: bytes) -> tuple[int, int, int, bytes] | None:
-    """(codec, rate, bytes of a block, samples), None if it isn't a mono WAV file of a known codec."""
+    """(codec, rate, bytes of a block, samples), None if it isn't a mono WAV file of a known codec with a rate; samples that a cut file lacks are missing."""
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         return None
     at, form = 12, None
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if name == b"fmt " and size >= 16:
+        if name == b"fmt ":
+            if size < 16 or at + 24 > len(data):  # broken
+                return None
             form = struct.unpack_from("<HHIIHH", data, at + 8)
-        if name == b"data" and form and form[0] in (A_LAW, MU_LAW, IMA_ADPCM) and form[1] == 1:
-            return form[0], form[2], form[4], data[at + 8 : at + 8 + size]
+        if name == b"data" and form:
+            known = form[0] in (A_LAW, MU_LAW) or form[0] == IMA_ADPCM and form[4] > 4
+            return (form[0], form[2], form[4], data[at + 8 : at + 8 + size]) if known and form[1] == 1 and form[2] else None
         at += 8 + size + size % 2
     return None
 
@@ -74,7 +77,7 @@ def adpcm(blocks: np.ndarray) -> np.ndarray:
     """PCM of IMA ADPCM blocks (rows of bytes: sample, step index, 0, then codes, low half first), all blocks at a time."""
     value = blocks[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
     index = np.minimum(blocks[:, 2].astype(np.int32), 88)
-    codes = np.ascontiguousarray(np.stack([blocks[:, 4:] & 15, blocks[:, 4:] >> 4], axis=2).reshape(len(blocks), -1).T)
+    codes = np.ascontiguousarray(np.stack([blocks[:, 4:] & 15, blocks[:, 4:] >> 4], axis=2).reshape(len(blocks), 2 * (blocks.shape[1] - 4)).T)
     out = np.empty((codes.shape[0] + 1, len(blocks)), np.int16)
     out[0] = value
     for t, code in enumerate(codes):
@@ -113,7 +116,7 @@ def expand(values: list[bytes | None], to: int) -> list[np.ndarray | None]:
     for i, p in enumerate(parts):
         if p is not None and p[0] != IMA_ADPCM:
             out[i] = _TABLES[p[0]][np.frombuffer(p[3], np.uint8)]
-        elif p is not None and p[2] > 4:
+        elif p is not None:
             by_size.setdefault(p[2], []).append(i)
     for align, rows in by_size.items():
         # a last block is filled up; what it has too many is cut again

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import components, materialize, released, row_keys, slices
+from sparkloom.llm.common import WORD, components, materialize, released, row_keys, slices
 from sparkloom.llm.shingles import WordHashes, mix, shingle_set, signature
 
 COORDINATES = 64
@@ -370,16 +370,18 @@ def _joined(rows: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one row of each group of near copies, the smallest doc_id's (of equal rows, one); texts without words stay."""
+    """``docs`` with one row of each group of near copies, the smallest doc_id's (of equal rows, one); all rows whose text has no words stay."""
+    some = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    bare, docs = docs.where(~some), docs.where(some)
     rows, comps = NearDedup(**parameters).links(docs, keys=True)
     first = _joined(rows, _named(rows, comps)).groupBy("c").agg(F.min(F.struct("d", "k1", "k2")).alias("k")).select("k.*")
-    kept = first.unionByName(rows.where("h1 is null").select("d", "k1", "k2").distinct()).toDF("_kept", "_kept1", "_kept2")
+    kept = first.toDF("_kept", "_kept1", "_kept2")
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), d, *row_keys())
     keyed = keyed.join(kept, (F.col("d") == F.col("_kept")) & (F.col("k1") == F.col("_kept1")) & (F.col("k2") == F.col("_kept2")), "left_semi")
     # of rows that repeat one stays, with its own extra columns: the least by a hash of them
     hashed = F.xxhash64(*[F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
-    return keyed.groupBy("d", "k1", "k2").agg(F.min_by("row", hashed).alias("row")).select("row.*")
+    return bare.unionByName(keyed.groupBy("d", "k1", "k2").agg(F.min_by("row", hashed).alias("row")).select("row.*"))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
