@@ -159,3 +159,23 @@ def scrub(text: Column) -> Column:
     """Texts without what looks like an access key, or stands in an Authorization header."""
     keys = F.regexp_replace(text, "sk-[A-Za-z0-9]{8,}", REDACTED.replace("$", r"\$"))
     return F.regexp_replace(keys, r"(?i)(authorization\s*[:=]\s*)(bearer\s+)?\S+", f"$1{REDACTED}")
+
+
+# fixed values: marks of a release at the end of a name, and words that stay small inside a title
+RELEASES = ("v", "ver", "version", "rev", "revision", "final", "draft", "copy", "edit", "updated", "latest", "new", "fixed", "done", "export")
+SMALL = ("a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "into", "nor", "of", "on", "or", "the", "to", "vs", "with")
+
+
+def deck_label(title: Column) -> Column:
+    """A file's name as a title: without its ending and the release marks at its end, words in title case unless they have a case of their own or are small; null for null."""
+    plain = F.regexp_replace(F.regexp_replace(title, r"^\s+|\s+$", ""), r"\.[A-Za-z][A-Za-z0-9]{0,4}$", "")
+    words = F.array_join(F.filter(F.split(plain, r"[\s_-]+"), lambda w: w != ""), " ")
+    # never the first word: a name doesn't become empty
+    kept = F.regexp_replace(words, rf"(?i)(?: (?:{'|'.join(RELEASES)})[0-9]*)+$", "")
+
+    def shown(word: Column, i: Column) -> Column:
+        own = ~word.rlike("[A-Za-z]") | (word.rlike("[a-z]") & word.rlike("[A-Z]"))
+        titled = F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))))
+        return F.when(own, word).when((i > 0) & F.lower(word).isin(*SMALL), F.lower(word)).otherwise(titled)
+
+    return F.array_join(F.transform(F.split(kept, " "), shown), " ")

@@ -200,3 +200,41 @@ def courses_of(groups: DataFrame, courses: DataFrame, title: str) -> DataFrame:
     fresh = free_slugs(fresh.withColumn("_key", F.xxhash64("_new")), "_slug", "_key", courses.select("id")).select("_new", F.col("id").alias("_made"))
     out = met.join(fresh, F.lower(F.trim(title)) == F.col("_new"), "left")
     return out.withColumn("course", F.coalesce("_id", "_made")).withColumn("created", F.col("_id").isNull()).drop("_t", "_id", "_new", "_made")
+
+
+def folder_tree(files: DataFrame, by: str, path: str) -> DataFrame:
+    """``files`` with group and reason, from the folders that the files of a selection ``by`` lie in; both null where folders don't tell.
+
+    A selection counts if all its files lie under one root folder. Files straight in the root, no folders below it, or folders that are all
+    units of a course (week 3, lec 2) make the root the group, unless its name says that it holds courses; else each folder below is a group.
+    """
+    parts = F.split(F.col(path), "/")
+    rows = files.withColumn("_p", parts)
+    child = F.when(F.size("_p") >= 3, F.col("_p")[1])
+    # fixed values: folders that stand for a unit, and roots that hold courses
+    unit = F.lower(F.trim(child)).rlike(r"^(?:l|lec|lecture|week|wk|module|unit|chapter)\s*\d+$")
+    generic = F.lower(F.trim("_root")).isin("courses", "course", "course materials", "course_materials")
+    g = rows.groupBy(F.col(by).alias("_by")).agg(
+        F.min(F.size("_p")).alias("_least"), F.min(F.col("_p")[0]).alias("_root"), F.max(F.col("_p")[0]).alias("_last"), F.min(child).alias("_c1"), F.max(child).alias("_c2"), F.coalesce(F.bool_and(unit), F.lit(True)).alias("_units")
+    )
+    one_root = (F.col("_least") >= 2) & (F.col("_root") == F.col("_last"))
+    whole = (F.col("_least") == 2) | F.col("_c1").isNull() | (~generic & F.col("_units"))
+    several = generic | (F.col("_c1") != F.col("_c2"))
+    g = g.withColumn("_kind", F.when(one_root & whole, "root").when(one_root & several, "folder")).select("_by", "_root", "_kind")
+    out = rows.join(g, F.col(by).eqNullSafe(F.col("_by")))
+    group = F.when(F.col("_kind") == "root", F.col("_root")).when(F.col("_kind") == "folder", F.col("_p")[1])
+    said = F.when(F.col("_kind") == "root", "files were selected from the folder ").when(F.col("_kind") == "folder", "files were selected from the course folder ")
+    return out.withColumn("group", group).withColumn("reason", F.concat(said, F.lit('"'), F.col("group"), F.lit('"'))).drop("_p", "_by", "_root", "_kind")
+
+
+def relative_members(files: DataFrame, by: str, path: str, title: str) -> DataFrame:
+    """``files`` with relative: the path below the folder that bears the group's ``title``, if all files of a group ``by`` lie in one, else below the folders that all of them share."""
+    rows = files.withColumn("_p", F.split(F.col(path), "/")).withColumn("_dirs", F.slice("_p", F.lit(1), F.size("_p") - 1))
+    at = F.array_position(F.transform("_dirs", lambda x: F.lower(x)), F.lower(F.trim(title)))
+    rows = rows.withColumn("_at", at)
+    # what the least and the greatest list of folders share, all share
+    g = rows.groupBy(F.col(by).alias("_by")).agg(F.min("_at").alias("_titled"), F.min("_dirs").alias("_a"), F.max("_dirs").alias("_b"))
+    shared = F.expr("aggregate(sequence(1, greatest(size(_a), 1)), 0, (s, i) -> if(s = i - 1 and i <= size(_a) and i <= size(_b) and _a[i - 1] = _b[i - 1], i, s))")
+    out = rows.join(g.withColumn("_shared", shared), F.col(by).eqNullSafe(F.col("_by")))
+    cut = F.when(F.col("_titled") > 0, F.col("_at")).otherwise(F.col("_shared")).cast("int")
+    return out.withColumn("relative", F.array_join(F.slice("_p", cut + 1, F.size("_p")), "/")).drop("_p", "_dirs", "_at", "_by", "_titled", "_a", "_b", "_shared")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text as T
 from sparkloom.operators import search as S
 from sparkloom.operators import store as K
 from sparkloom.operators.kept_index import KeptIndex
+from sparkloom.operators.profiles import whole_profile
 from sparkloom.operators.substrings import substring_links
 from sparkloom.plans import store as P
-from sparkloom.plans.queries import ORACLE, query, table
+from sparkloom.plans.queries import _PROFILED, ORACLE, query, table
 from sparkloom.sources.files import shared_folder
 from sparkloom.streaming.courses import run_courses
 from sparkloom.streaming.versions import ImportStore
@@ -97,3 +99,45 @@ def substring_references(spark, sf_dir):
     names = pages.where("length(own) >= 4").groupBy(F.col("own").alias("name")).agg(F.count(F.lit(1)).alias("pages"))
     links = substring_links(pages, names, "page_id", "name")
     return links.join(pages.select("page_id", "own"), "page_id").where("own <> name").join(names, "name").select("page_id", "name", "pages")
+
+
+_PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS name, o_orderkey AS i, coalesce({c}::VARCHAR, '') AS v FROM orders" for c in _PROFILED)
+
+
+@query(rf"""WITH c AS (SELECT *, CASE WHEN trim(v) = '' THEN 'missing' WHEN regexp_matches(v, '^[+-]?\d+$') THEN 'integer' WHEN regexp_matches(v, '^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$') THEN 'number' WHEN regexp_matches(v, '^\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}') THEN 'date_or_datetime' ELSE 'text' END AS type FROM ({_PROFILE}) t),
+s AS (SELECT name, string_agg(v, '|' ORDER BY i) AS samples FROM (SELECT name, v, min(i) AS i FROM c WHERE type <> 'missing' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY name ORDER BY min(i)) <= 5) t GROUP BY 1)
+SELECT name, count(*) AS row_count, count(*) FILTER (type = 'integer') AS integers, count(*) FILTER (type = 'number') AS numbers, count(*) FILTER (type = 'date_or_datetime') AS dates, count(*) FILTER (type = 'text') AS texts, count(*) FILTER (type = 'missing') AS missing, least(count(DISTINCT v), 10001) AS unique_count, coalesce(mode(CASE WHEN type <> 'missing' THEN type END), 'unknown') AS inferred, any_value(samples) AS samples
+FROM c LEFT JOIN s USING (name) GROUP BY 1""")
+def whole_profiles(spark, sf_dir):
+    p = whole_profile(table(spark, sf_dir, "orders"), "o_orderkey")
+    t = lambda k, name: F.col(f"type_counts.{k}").alias(name)
+    return p.select("name", "row_count", t("integer", "integers"), t("number", "numbers"), t("date_or_datetime", "dates"), t("text", "texts"), F.col("missing_count").alias("missing"), "unique_count", "inferred", F.array_join("samples", "|").alias("samples"))
+
+
+_TREE = """WITH f AS (SELECT p_partkey, p_brand, CASE right(p_brand, 1) WHEN '1' THEN 'Courses' WHEN '2' THEN p_brand || CASE WHEN p_size = 50 THEN 'x' ELSE '' END ELSE p_brand END || '/' ||
+  CASE right(p_brand, 1) WHEN '3' THEN CASE WHEN p_size % 2 = 0 THEN 'Week ' || p_size || '/' ELSE 'Lec' || p_size || '/' END WHEN '4' THEN CASE WHEN p_size = 7 THEN '' ELSE p_type || '/' END ELSE p_type || '/' END || p_name || '.pdf' AS path FROM part),
+s AS (SELECT *, string_split(path, '/') AS p FROM f), c AS (SELECT *, CASE WHEN len(p) >= 3 THEN p[2] END AS child FROM s),
+g AS (SELECT p_brand, min(len(p)) AS least, min(p[1]) AS root, max(p[1]) AS last, count(DISTINCT child) AS children, bool_and(regexp_full_match(lower(trim(child)), '(l|lec|lecture|week|wk|module|unit|chapter)\\s*\\d+')) AS units, min(p[1]) = 'Courses' AS generic FROM c GROUP BY 1),
+k AS (SELECT *, CASE WHEN least < 2 OR root <> last THEN NULL WHEN least = 2 OR children = 0 OR (NOT generic AND units) THEN 'root' WHEN generic OR children > 1 THEN 'folder' END AS kind FROM g) """
+
+
+@query(_TREE + """SELECT p_partkey, CASE kind WHEN 'root' THEN root WHEN 'folder' THEN child END AS "group", CASE kind WHEN 'root' THEN 'files were selected from the folder "' || root || '"' WHEN 'folder' THEN 'files were selected from the course folder "' || child || '"' END AS reason FROM c JOIN k USING (p_brand)""")
+def folder_tree_groups(spark, sf_dir):
+    """Files of a brand as one selection: a folder of courses, several roots, units, files straight in the root, or folders."""
+    brand, size = F.col("p_brand"), F.col("p_size")
+    end, kind = F.right("p_brand", F.lit(1)), F.concat("p_type", F.lit("/"))
+    root = F.when(end == "1", "Courses").when(end == "2", F.concat(brand, F.when(size == 50, "x").otherwise(""))).otherwise(brand)
+    unit = F.concat(F.when(size % 2 == 0, "Week ").otherwise("Lec"), size.cast("string"), F.lit("/"))
+    below = F.when(end == "3", unit).when((end == "4") & (size == 7), "").otherwise(kind)
+    files = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat(root, F.lit("/"), below, "p_name", F.lit(".pdf")).alias("path"))
+    return K.folder_tree(files, "p_brand", "path").select("p_partkey", "group", "reason")
+
+
+@query(r"""WITH n AS (SELECT p_partkey, replace(p_name, ' ', '_') || CASE p_partkey % 5 WHEN 0 THEN '_FINAL' WHEN 1 THEN '-v2 draft' WHEN 2 THEN ' of THE ' || upper(p_type) WHEN 3 THEN '__ 3 final2.copy' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN '.pptx' ELSE '.pdf ' END AS t FROM part),
+w AS (SELECT p_partkey, string_split(regexp_replace(array_to_string(list_filter(regexp_split_to_array(regexp_replace(trim(t), '\.[A-Za-z][A-Za-z0-9]{0,4}$', ''), '[\s_-]+'), lambda x: x <> ''), ' '), '( (v|ver|version|rev|revision|final|draft|copy|edit|updated|latest|new|fixed|done|export)[0-9]*)+$', '', 'i'), ' ') AS w FROM n)
+SELECT p_partkey, array_to_string(list_transform(w, lambda x, i: CASE WHEN NOT regexp_matches(x, '[A-Za-z]') OR (regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]')) THEN x WHEN i > 1 AND lower(x) IN ('a','an','and','as','at','but','by','for','from','in','into','nor','of','on','or','the','to','vs','with') THEN lower(x) ELSE upper(x[1]) || lower(x[2:]) END), ' ') AS label FROM w""")
+def deck_labels(spark, sf_dir):
+    i = F.col("p_partkey")
+    end = F.when(i % 5 == 0, "_FINAL").when(i % 5 == 1, "-v2 draft").when(i % 5 == 2, F.concat(F.lit(" of THE "), F.upper("p_type"))).when(i % 5 == 3, "__ 3 final2.copy").otherwise("")
+    title = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), end, F.when(i % 2 == 0, ".pptx").otherwise(".pdf "))
+    return table(spark, sf_dir, "part").select("p_partkey", T.deck_label(title).alias("label"))
