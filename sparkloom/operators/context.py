@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import collapse, tokens, truncate_words
+from sparkloom.operators.evidence import capped, phrase_links, useful
+from sparkloom.sources.files import shared_folder
 
 #: Parts of a place in a file, with the words before each and what is added to its number.
 # fixed values
@@ -181,3 +183,34 @@ def related_hits(results: DataFrame, links: DataFrame, roots: DataFrame, query:
     base = kept.groupBy(query).agg(F.max("rank").alias("_base"))
     tail = more.join(base, query).select(query, key, F.col("to").alias(part), (F.col("_base") + F.col("_n")).alias("rank"), F.lit("artifact relationship").alias("matched_by"))
     return kept.select(query, key, part, "rank", F.lit("terms").alias("matched_by")).unionByName(tail)
+
+
+def concept_graph(objects: DataFrame, part: str, key: str, catalog: DataFrame, links: DataFrame, before: DataFrame, wanted: str = "", n: int = 18, mined: int = 30, caps: tuple[int, int] = (6, 2)) -> tuple[DataFrame, DataFrame]:
+    """(nodes: node, node_type; edges as ``graph_edges`` gives them) of ``objects(part, key, text)``.
+
+    Concepts are those of ``catalog(label, alias)`` that objects name, and the ``mined`` most frequent useful words that two files share and 2 to 500 objects hold; the
+    first ``n`` by ``ranked_concepts`` are shown. Evidence is the first objects of a concept and file: ``caps`` of catalog concepts and of words. It is written
+    once, and nodes and edges come from that. ``links(part, to, key, target)`` and ``before(required, advanced)`` are the caller's.
+    """
+    spark = objects.sparkSession
+    given = objects.where(F.col("text").isNotNull())
+    named = phrase_links(given, catalog.select("alias", F.col("alias").alias("text")).distinct(), key, "alias").join(catalog, "alias").select(key, F.col("label").alias("token")).distinct()
+    curated = capped(named.join(given.select(key, part), key), part, key, caps[0]).withColumn("kind", F.lit("curated_alias"))
+    words = given.select(part, key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).where(useful(F.col("token")))
+    counts = words.groupBy("token", part).agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("parts"))
+    labels = catalog.select(F.col("label").alias("token")).distinct()
+    terms = counts.where("parts >= 2 and df between 2 and 500").join(labels, "token", "left_anti").orderBy(F.desc("df"), "token").limit(mined)
+    found = curated.unionByName(capped(words.join(F.broadcast(terms.select("token")), "token"), part, key, caps[1]).withColumn("kind", F.lit("course_term")))
+    path = shared_folder(spark)
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    aliases = catalog.groupBy(F.col("label").alias("token")).agg(F.sort_array(F.collect_set("alias")).alias("aliases"))  # a concept's names
+    size = found.groupBy("token", "kind").agg(F.count_distinct(part).alias("artifact_count"), F.count(F.lit(1)).alias("evidence_count")).join(aliases, "token", "left")
+    size = size.select(F.col("token").alias("label"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "kind", "artifact_count", "evidence_count")
+    best = ranked_concepts(size, wanted, n)
+    evidence = found.select(F.col("token").alias("label"), F.col(part).alias("artifact"), F.col(key).cast("string").alias("object"), "place")
+    told = links.select(F.col(part).alias("artifact"), "to", F.col(key).cast("string").alias("object"), F.col("target").cast("string").alias("target"))
+    edges = graph_edges(best, evidence, told, before)
+    files = edges.where("relation <> 'prerequisite_candidate'").select(F.explode(F.array("source", "target")).alias("node")).where(F.col("node").startswith("artifact-")).distinct()
+    nodes = best.select(F.col("label").alias("node"), F.lit("concept").alias("node_type")).unionByName(files.withColumn("node_type", F.lit("artifact")))
+    return nodes, edges

@@ -62,6 +62,11 @@ def phrase_links(objects: DataFrame, phrases: DataFrame, key: str, name: str, n:
 def capped_evidence(objects: DataFrame, terms: DataFrame, part: str, key: str, cap: int = 2) -> DataFrame:
     """token, part, key, place: of each term and part the first ``cap`` objects that hold it."""
     held = objects.select(part, key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(terms.select("token"), "token")
+    return capped(held, part, key, cap)
+
+
+def capped(held: DataFrame, part: str, key: str, cap: int = 2) -> DataFrame:
+    """token, part, key, place: the first ``cap`` of ``held(token, part, key)`` for each token and part."""
     # salted: the first few of each salt, then of these, so no window holds a frequent term's whole group
     few = held.withColumn("s", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("i", F.row_number().over(Window.partitionBy("token", part, "s").orderBy(key))).where(F.col("i") <= cap)
     return few.withColumn("place", F.row_number().over(Window.partitionBy("token", part).orderBy(key))).where(F.col("place") <= cap).select("token", part, key, "place")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators import context as C
+from sparkloom.operators import evidence as E
 from sparkloom.operators import search as S
 from sparkloom.operators import store as K
 from sparkloom.operators.kept_index import KeptIndex
@@ -141,3 +143,38 @@ def deck_labels(spark, sf_dir):
     end = F.when(i % 5 == 0, "_FINAL").when(i % 5 == 1, "-v2 draft").when(i % 5 == 2, F.concat(F.lit(" of THE "), F.upper("p_type"))).when(i % 5 == 3, "__ 3 final2.copy").otherwise("")
     title = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), end, F.when(i % 2 == 0, ".pptx").otherwise(".pdf "))
     return table(spark, sf_dir, "part").select("p_partkey", T.deck_label(title).alias("label"))
+
+
+#: A caller's catalog: labels and their other names.
+_CATALOG = (("english prose", "the"), ("english prose", "of the"), ("german prose", "nicht"), ("german prose", "und der"), ("spanish prose", "para"), ("french prose", "elle"), ("advertising", "class ad"), ("no such thing", "zzzz zzzz"))
+_PAGE_STOP = ", ".join(f"'{w}'" for w in E.STOP_WORDS)
+_GRAPH = rf"""WITH p AS (SELECT page_id, html, regexp_extract(coalesce(url, ''), '://(?:(?:www|blog|m)\.)?([^./?#]+)', 1) AS own, regexp_extract_all(lower(html), '[\p{{L}}\p{{N}}_]+') AS w FROM pages WHERE html IS NOT NULL),
+c(label, alias) AS (VALUES {", ".join(map(str, _CATALOG))}), named AS (SELECT DISTINCT label AS token, own, page_id FROM p JOIN c ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || alias || ' ')),
+words AS (SELECT DISTINCT own, page_id, unnest(w) AS token FROM p), terms AS (SELECT token FROM words WHERE length(token) >= 4 AND NOT regexp_matches(token, '^\d+$') AND token NOT IN ({_PAGE_STOP}) AND token NOT IN (SELECT label FROM c) GROUP BY 1 HAVING count(DISTINCT own) >= 2 AND count(*) BETWEEN 2 AND 500 ORDER BY count(*) DESC, token LIMIT 30),
+e AS (SELECT token, own, page_id, 'curated_alias' AS kind, row_number() OVER (PARTITION BY token, own ORDER BY page_id) AS place FROM named QUALIFY place <= 6
+  UNION ALL SELECT token, own, page_id, 'course_term', row_number() OVER (PARTITION BY token, own ORDER BY page_id) AS place FROM words JOIN terms USING (token) QUALIFY place <= 2),
+best AS (SELECT token, kind FROM e GROUP BY 1, 2 ORDER BY kind <> 'curated_alias', count(DISTINCT own) DESC, count(*) DESC, token LIMIT 18),
+n AS (SELECT own AS name, min(page_id) AS target FROM p WHERE length(own) >= 4 GROUP BY 1), l AS (SELECT own, name, min(page_id) AS page_id, any_value(target) AS target FROM p JOIN n ON own <> name AND contains(lower(html), lower(name)) GROUP BY 1, 2),
+edges AS (SELECT token AS source, 'artifact-' || own AS target, 'appears_in' AS relation, array_to_string(list(page_id::VARCHAR ORDER BY place)[1:6], ' ') AS object_ids FROM e JOIN best USING (token, kind) GROUP BY 1, 2
+  UNION ALL SELECT 'artifact-' || own, 'artifact-' || name, 'explicit_reference', page_id || ' ' || target FROM l
+  UNION ALL SELECT a, b, 'prerequisite_candidate', '' FROM (VALUES ('english prose', 'german prose'), ('german prose', 'no such thing')) x(a, b) WHERE a IN (SELECT token FROM best) AND b IN (SELECT token FROM best)) """
+
+
+def _page_graph(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"), F.regexp_extract(F.coalesce("url", F.lit("")), r"://(?:(?:www|blog|m)\.)?([^./?#]+)", 1).alias("own")).where("text is not null")
+    roots = pages.where("length(own) >= 4").groupBy(F.col("own").alias("to")).agg(F.min("page_id").alias("target"))
+    links = substring_links(pages, roots, "page_id", "to").join(pages.select("page_id", "own"), "page_id").where("own <> to").groupBy("own", "to").agg(F.min("page_id").alias("page_id")).join(roots, "to")
+    catalog = spark.createDataFrame(_CATALOG, "label string, alias string")
+    before = spark.createDataFrame([("english prose", "german prose"), ("german prose", "no such thing")], "required string, advanced string")
+    return C.concept_graph(pages, "own", "page_id", catalog, links, before)
+
+
+@query(_GRAPH + "SELECT * FROM edges")
+def page_graph_edges(spark, sf_dir):
+    """Curated and mined concepts in the hosts whose pages hold them, hosts whose pages name other hosts, and what comes before what."""
+    return _page_graph(spark, sf_dir)[1].select("source", "target", "relation", F.array_join("object_ids", " ").alias("object_ids"))
+
+
+@query(_GRAPH + "SELECT token AS node, 'concept' AS node_type FROM best UNION SELECT unnest([source, target]), 'artifact' FROM edges WHERE relation = 'explicit_reference' UNION SELECT target, 'artifact' FROM edges WHERE relation = 'appears_in'")
+def page_graph_nodes(spark, sf_dir):
+    return _page_graph(spark, sf_dir)[0]
