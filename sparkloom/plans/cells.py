@@ -94,11 +94,11 @@ def inferred_units(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", C.unit(form, formula, label, k % 31 == 0).alias("unit"))
 
 
-@query("""WITH c AS (SELECT l_orderkey, CASE WHEN l_linenumber = 7 THEN 'none' ELSE chr(64 + l_linenumber::INT) || (l_suppkey % 3 + 1) END AS ref, l_quantity::INT AS q FROM lineitem WHERE l_orderkey % 4 = 0)
+@query("""WITH c AS (SELECT l_orderkey, CASE WHEN l_linenumber = 7 THEN 'none' ELSE chr(64 + l_linenumber::INT) || (l_suppkey % 3 + 1) END AS ref, l_quantity::INT AS q FROM lineitem)
 SELECT l_orderkey, CASE WHEN ref <> 'none' THEN ref[2:]::BIGINT END AS row, string_agg(CASE WHEN ref = 'none' THEN '' ELSE (ascii(ref) - 64)::VARCHAR END || '=' || q, ' ' ORDER BY ref, q) AS cells FROM c GROUP BY 1, 2""")
 def cell_grid(spark, sf_dir):
     ref = F.when(F.col("l_linenumber") == 7, "none").otherwise(F.concat(F.char(F.col("l_linenumber") + 64), (F.col("l_suppkey") % 3 + 1).cast("string")))
-    c = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", ref.alias("ref"), F.col("l_quantity").cast("int").alias("q"))
+    c = table(spark, sf_dir, "lineitem").select("l_orderkey", ref.alias("ref"), F.col("l_quantity").cast("int").alias("q"))
     shown = F.transform("cells", lambda x: F.concat(F.coalesce(x["column"].cast("string"), F.lit("")), F.lit("="), x["value"].cast("string")))
     return C.grid(c, "l_orderkey", "ref", "q").select("l_orderkey", "row", F.array_join(shown, " ").alias("cells"))
 
@@ -182,7 +182,7 @@ def paused_runs(spark, sf_dir):
     return kept.groupBy("user_id").agg(F.count_if(~F.col("bad")).alias("done"), F.count_if("bad").alias("failed"), F.max("cursor").alias("cursor"), F.max("state").alias("state"))
 
 
-@query(r"""WITH t AS (SELECT conv_id || ':' || turn || ':' || role AS chunk_id, regexp_extract_all(lower(left(role || chr(10) || trim(regexp_replace(text, '\s+', ' ', 'g')), 8000)), '[\p{L}\p{N}_]+') AS w FROM conversations WHERE trim(text) <> '' AND turn < 5),
+@query(r"""WITH t AS (SELECT conv_id || ':' || turn || ':' || role AS chunk_id, regexp_extract_all(lower(left(role || chr(10) || trim(regexp_replace(text, '\s+', ' ', 'g')), 8000)), '[\p{L}\p{N}_]+') AS w FROM conversations WHERE trim(text) <> ''),
 f AS (SELECT chunk_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS t FROM t),
 h AS (SELECT chunk_id, (('0x' || md5(t)[1:8])::BIGINT % 384)::INT AS b, CASE WHEN ('0x' || md5(t)[9:10])::BIGINT % 2 = 1 THEN -1 ELSE 1 END * (1 + ln(count(*))) AS v FROM f GROUP BY chunk_id, t), b AS (SELECT chunk_id, b, sum(v) AS v FROM h GROUP BY 1, 2)
 SELECT chunk_id, count(*) AS places, round(sqrt(sum(v * v)), 6) AS norm FROM b GROUP BY 1""")
@@ -192,7 +192,7 @@ def indexed_on_write(spark, sf_dir):
 
     def embedded(batch):
         chunk = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role").alias("chunk_id")
-        text = batch.where("trim(text) <> '' and turn < 5").select(chunk, X.index_text(F.col("role"), F.col("text"), F.lit(""), 100_000).alias("text"))
+        text = batch.where("trim(text) <> ''").select(chunk, X.index_text(F.col("role"), F.col("text"), F.lit(""), 100_000).alias("text"))
         places = V.hash_features(text.dropDuplicates(["chunk_id"]), "chunk_id")
         return places.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("places"), F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("norm"))
 

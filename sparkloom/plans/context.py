@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators.ranks import running
 from sparkloom.operators import context as C
 from sparkloom.operators import evidence as E
 from sparkloom.operators import search as S
@@ -106,10 +107,14 @@ found AS (SELECT query_id, place, chunk_id, relation, CASE WHEN len(w) <= 200 TH
 def _found(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("course"), "embedding")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = Window.partitionBy("course").orderBy("vec_id")
-    chunks = e.join(d, "vec_id", "left").select("course", F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 25).alias("deck"), F.row_number().over(own).alias("position"), F.coalesce("text", F.lit("")).alias("text"))
-    before = Window.partitionBy("course").orderBy("chunk_id")
-    asked = chunks.withColumn("previous", F.when(F.length(F.lag("text").over(before)) > 0, F.lag("chunk_id").over(before))).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "course", "position", "previous")
+    # places are found on narrow rows, over ranges of all courses; texts are joined after
+    placed = running(e.select("course", F.col("vec_id").alias("chunk_id")), ["course", "chunk_id"], out="at")
+    starts = placed.groupBy(F.col("course").alias("_c")).agg(F.min("at").alias("start"))
+    placed = placed.join(starts, F.col("course").eqNullSafe(F.col("_c"))).withColumn("position", F.col("at") - F.col("start") + 1).drop("_c", "start")
+    chunks = placed.join(d.withColumnRenamed("vec_id", "chunk_id"), "chunk_id", "left").select("course", "chunk_id", F.floor(F.col("chunk_id") / 25).alias("deck"), "at", "position", F.coalesce("text", F.lit("")).alias("text"))
+    before = chunks.where(F.length("text") > 0).select((F.col("at") + 1).alias("at"), F.col("chunk_id").alias("previous"))
+    asked = chunks.where("chunk_id % 50 = 0").join(before, "at", "left").select(F.col("chunk_id").alias("query_id"), "course", "position", F.when(F.col("position") > 1, F.col("previous")).alias("previous"))
+    chunks = chunks.drop("at")
     hits = V.cosine_topk(e.where("vec_id % 50 = 0"), e, 12, exclude_self=True, part="course").withColumnRenamed("vec_id", "chunk_id")
     decks = chunks.where("deck % 7 <> 3").select("course", "deck").distinct()
     summaries = chunks.where("position = 1").select("course", F.col("text").alias("summary"))
@@ -220,10 +225,10 @@ def search_related(spark, sf_dir):
 
 
 @query(r"""WITH t AS (SELECT doc_id, text, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][\p{L}\p{N}_-]{3,}'), lambda x: lower(x))) AS w, list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS s FROM documents)
-SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(w, lambda x: {'n': -length(x), 'w': x}))[1:8], lambda x: x.w), ' ') AS terms, md5(coalesce(l[1], '')) AS line_md5, array_to_string(s[1:6], ' ') AS words, coalesce(nullif(left(regexp_replace(regexp_replace(left(text, 60), '[^\p{L}\p{N}_ -]', '', 'g'), '^\s+|\s+$', '', 'g'), 28), ''), 'term') AS label FROM t""")
+SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(w, lambda x: {'n': -length(x), 'w': x}))[1:8], lambda x: x.w), ' ') AS terms, md5(coalesce(l[1], '')) AS line_md5, array_to_string(s[1:6], ' ') AS words, coalesce(nullif(left(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_ -]', '', 'g'), '^\s+|\s+$', '', 'g'), 28), ''), 'term') AS label FROM t""")
 def generator_parts(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.long_terms(t), " ").alias("terms"), F.md5(T.first_line(t).cast("binary")).alias("line_md5"), T.first_words(t).alias("words"), T.diagram_label(F.left(t, F.lit(60))).alias("label"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.long_terms(t), " ").alias("terms"), F.md5(T.first_line(t).cast("binary")).alias("line_md5"), T.first_words(t).alias("words"), T.diagram_label(t).alias("label"))
 
 
 @query(r"""WITH p AS (SELECT page_id, coalesce(url, '') AS u FROM pages), s AS (SELECT page_id, u, list_filter(list_transform(string_split(replace(u, '\', '/'), '/'), lambda x: trim(x)), lambda x: x NOT IN ('', '.', '..')) AS parts, regexp_extract(u, '([^/]*)$', 1) AS base FROM p),

@@ -176,11 +176,11 @@ def progress_state(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, CASE WHEN len(w) <= 30 THEN t ELSE array_to_string(w[1:30], ' ') || ' [...]' END AS short, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\x{00a0}', ' ', 'g'), '\x{200b}', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS normal_md5,
-  md5(regexp_replace(regexp_replace('Authorization : Bearer x' || text, 'sk-[A-Za-z0-9]{8,}', 'sk-***REDACTED***', 'g'), '(authorization\s*[:=]\s*)(bearer\s+)?\S+', '\1sk-***REDACTED***', 'gi')) AS scrubbed_md5, coalesce(nullif(regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'course') AS slug
+  md5(regexp_replace(regexp_replace('Authorization : Bearer x' || text, 'sk-[A-Za-z0-9]{8,}', 'sk-***REDACTED***', 'g'), '(authorization\s*[:=]\s*)(bearer\s+)?\S+', '\1sk-***REDACTED***', 'gi')) AS scrubbed_md5, md5(coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'course')) AS slug_md5
 FROM (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') AS w FROM documents) d""")
 def text_functions(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", T.truncate_words(t, 30).alias("short"), F.md5(T.normalise(t).cast("binary")).alias("normal_md5"), F.md5(T.scrub(F.concat(F.lit("Authorization : Bearer x"), t)).cast("binary")).alias("scrubbed_md5"), T.slug(F.left(t, F.lit(60))).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.truncate_words(t, 30).alias("short"), F.md5(T.normalise(t).cast("binary")).alias("normal_md5"), F.md5(T.scrub(F.concat(F.lit("Authorization : Bearer x"), t)).cast("binary")).alias("scrubbed_md5"), F.md5(T.slug(t).cast("binary")).alias("slug_md5"))
 
 
 _FEATURES = r"""SELECT {key} AS k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS t FROM (SELECT {key}, regexp_extract_all(lower(left(text, 8000)), '[\p{{L}}\p{{N}}_]+') AS w FROM {name}) d"""

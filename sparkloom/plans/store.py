@@ -65,12 +65,12 @@ def upsert_to_end(spark, sf_dir):
     return K.upsert_last(old, e.where("event_type = 'purchase'").select("user_id", "event_id"), "user_id", "event_id").select("user_id", "event_id", "place")
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE event_id % 3 = 0 GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1")
 def published_table(spark, sf_dir):
     # two versions, one after the other: readers see the whole second one
     path, e = shared_folder(spark), table(spark, sf_dir, "events")
     K.publish(e.where("event_id % 2 = 0"), path)
-    K.publish(e.where("event_id % 3 = 0"), path)
+    K.publish(e, path)
     return K.published(spark, path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
@@ -121,7 +121,7 @@ def index_refresh(spark, sf_dir):
     return K.refreshed(*_indexes(spark, sf_dir), "source", 2)
 
 
-_FOLDERS = """WITH o AS (SELECT o_orderkey, trim(o_orderpriority) AS folder, [o_custkey, o_custkey + 1] AS ids, CASE WHEN o_orderkey % 3 = 0 THEN 'because  of ' || o_orderstatus ELSE '' END AS reason FROM orders WHERE o_orderkey % 10 = 0),
+_FOLDERS = """WITH o AS (SELECT o_orderkey, trim(o_orderpriority) AS folder, [o_custkey, o_custkey + 1] AS ids, CASE WHEN o_orderkey % 3 = 0 THEN 'because  of ' || o_orderstatus ELSE '' END AS reason FROM orders),
 l AS (SELECT folder, o_orderkey, unnest(ids) AS c_custkey, generate_subscripts(ids, 1) AS pos FROM o), k AS (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0),
 a AS (SELECT c_custkey, arg_min(folder, (o_orderkey, pos)) AS folder FROM l WHERE c_custkey IN (SELECT c_custkey FROM k) GROUP BY 1),
 r AS (SELECT folder, arg_max(trim(regexp_replace(reason, ' +', ' ', 'g')), o_orderkey) AS reason FROM o WHERE reason <> '' AND folder IN (SELECT folder FROM a) GROUP BY 1),
@@ -129,7 +129,7 @@ f AS (SELECT c.c_custkey, coalesce(a.folder, '') AS folder, coalesce(reason, '')
 
 
 def _filed(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     reason = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("because  of "), "o_orderstatus")).otherwise("")
     folders = o.select("o_orderkey", T.folder_name(F.col("o_orderpriority")).alias("folder"), F.array("o_custkey", F.col("o_custkey") + 1).alias("ids"), reason.alias("reason"))
     c = table(spark, sf_dir, "customer").select("c_custkey")
@@ -249,9 +249,9 @@ def worst_findings(spark, sf_dir):
     return best.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # twelve rows
 
 
-@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE event_type = 'view'")
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events")
 def newest_first(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_type = 'view'").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))).alias("place"))
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))).alias("place"))
 
 
 @query("WITH f AS (SELECT user_id, props, min(event_id) AS first FROM events GROUP BY 1, 2) SELECT user_id, props, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS place FROM f) t WHERE place <= 12")
