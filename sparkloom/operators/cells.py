@@ -145,6 +145,31 @@ def structure_inventory(rules: DataFrame, filters: DataFrame, sheets: DataFrame)
     return a.unionByName(b).unionByName(c.withColumnRenamed("state", "detail"))
 
 
+def labels_near(formulas: DataFrame, refs: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+    """key, labels: the texts that tell what the formula in a cell counts, on one line, for each of ``formulas(key, sheet, row, col)``.
+
+    They are the cell above (in the first row, the cell itself), the three to the left, and for each of ``refs(key, place, ref)`` in their places the cell above its first one
+    and the first three cells, row by row. ``cells(sheet, row, col, value, is_text)``: only texts count. Each place asks for its cell, so no range is gone through.
+    """
+    spot = lambda n, sheet, row, col: F.struct(n.alias("n"), sheet.alias("sheet"), row.cast("long").alias("row"), col.cast("long").alias("col"))
+    sheet, row, col = F.col("sheet"), F.col("row"), F.col("col")
+    first = F.array(F.lit(-1).cast("long"), F.lit(0).cast("long"))
+    near = [spot(F.concat(first, F.array(F.lit(0).cast("long"))), sheet, F.greatest(F.lit(1), row - 1), col)]
+    near += [F.when(col - k >= 1, spot(F.concat(first, F.array(F.lit(4 - k).cast("long"))), sheet, row, col - k)) for k in (3, 2, 1)]
+    own = formulas.select(key, F.explode(F.array_compact(F.array(*near))).alias("s"))
+    ends = cells.groupBy(F.col("sheet").alias("_s")).agg(F.max("row").alias("rows"), F.max("col").alias("cols"))
+    r = refs.select(key, F.col("place").cast("long").alias("place"), "ref.*").join(ends, F.col("sheet") == F.col("_s"))
+    r = r.select(key, "place", "sheet", F.coalesce("min_row", F.lit(1)).alias("r1"), F.coalesce("max_row", "rows").alias("r2"), F.coalesce("min_col", F.lit(1)).alias("c1"), F.coalesce("max_col", "cols").alias("c2")).where("c1 <= c2")
+    at = lambda i: F.array(F.col("place"), F.lit(i).cast("long"), F.lit(0).cast("long"))
+    width = F.col("c2") - F.col("c1") + 1
+    told = [F.when(F.col("r1") > 1, spot(at(0), F.col("sheet"), F.col("r1") - 1, F.col("c1")))]
+    told += [F.when(F.col("r1") + F.floor(F.lit(i) / width) <= F.col("r2"), spot(at(i + 1), F.col("sheet"), F.col("r1") + F.floor(F.lit(i) / width), F.col("c1") + F.lit(i) % width)) for i in range(3)]
+    asked = own.unionByName(r.select(key, F.explode(F.array_compact(F.array(*told))).alias("s"))).select(key, "s.*")
+    met = asked.join(cells.where("is_text and value is not null").select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value"), ["sheet", "row", "col"])
+    held = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("l"))  # four for the cell, and four for each reference
+    return formulas.select(key).join(held, key, "left").select(key, F.coalesce(F.array_join(F.transform("l", lambda x: x["value"]), " "), F.lit("")).alias("labels"))
+
+
 def unit(number_format: Column, formula: Column, labels: Column, is_date: Column) -> Column:
     """What a formula's result counts, from its format, the formula and the labels near it; the first rule that fits."""
     form, hay = F.coalesce(number_format, F.lit("")), F.lower(F.concat_ws(" ", formula, labels))

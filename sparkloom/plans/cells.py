@@ -220,3 +220,21 @@ def bulk_import(spark, sf_dir):
     groups = c.groupBy(F.concat(F.lit(" "), F.upper("c_mktsegment")).alias("title")).agg(F.count(F.lit(1)).alias("files")).unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), F.lit(1).cast("long").alias("files")))
     courses = c.where("c_nationkey < 12 and c_mktsegment < 'H'").select(F.lower("c_mktsegment").alias("title"), F.concat(F.lit("old-"), F.lower("c_mktsegment")).alias("id")).distinct()
     return K.courses_of(groups, courses, "title").select("title", "course", "created")
+
+
+@query("""WITH c AS (SELECT CASE c_nationkey % 2 WHEN 0 THEN 'Data' ELSE 'Other' END AS sheet, c_custkey AS k, c_custkey AS row, c_name, c_mktsegment FROM customer),
+cells AS (SELECT sheet, row, 1 AS col, c_name AS v FROM c UNION ALL SELECT sheet, row, 4, c_mktsegment || ' price' FROM c WHERE k % 3 = 0),
+asked AS (SELECT k, -1 AS p, 0 AS i, sheet, greatest(1, row - 1) AS row, 5 AS col FROM c UNION ALL SELECT k, -1, col, sheet, row, col FROM c, (SELECT unnest([2, 3, 4]) AS col) UNION ALL SELECT k, 0, 0, sheet, row - 2, 1 + 3 * (k % 2) FROM c WHERE row - 1 > 1
+  UNION ALL SELECT k, 0, 1 + i, sheet, greatest(row - 1, 1) + i // (4 - 3 * (k % 2)), 1 + 3 * (k % 2) + i % (4 - 3 * (k % 2)) FROM c, (SELECT unnest([0, 1, 2]) AS i) WHERE greatest(row - 1, 1) + i // (4 - 3 * (k % 2)) <= row),
+held AS (SELECT k, string_agg(v, ' ' ORDER BY p, i) AS labels FROM asked JOIN cells USING (sheet, row, col) GROUP BY 1)
+SELECT k, coalesce(labels, '') AS labels, CASE WHEN contains(coalesce(labels, ''), 'price') THEN 'currency or monetary amount' ELSE 'not identified' END AS unit FROM c LEFT JOIN held USING (k)""")
+def nearby_units(spark, sf_dir):
+    """What formulas count, by the labels around them and around what they refer to."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k.alias("k"), F.when(F.col("c_nationkey") % 2 == 0, "Data").otherwise("Other").alias("sheet"), k.alias("row"), "c_name", "c_mktsegment")
+    cell = lambda col, v: c.select("sheet", "row", F.lit(col).alias("col"), v.alias("value"), F.lit(True).alias("is_text"), "k")
+    cells = cell(1, F.col("c_name")).unionByName(cell(4, F.concat("c_mktsegment", F.lit(" price"))).where("k % 3 = 0")).drop("k")
+    left = 1 + 3 * (F.col("k") % 2)
+    refs = c.select("k", F.lit(0).alias("place"), F.struct("sheet", left.alias("min_col"), F.greatest(F.col("row") - 1, F.lit(1)).alias("min_row"), F.lit(4).cast("long").alias("max_col"), F.col("row").alias("max_row")).alias("ref"))
+    found = C.labels_near(c.select("k", "sheet", "row", F.lit(5).alias("col")), refs, cells, "k")
+    return found.withColumn("unit", C.unit(F.lit("General"), F.lit("=A1+B1"), F.col("labels"), F.lit(False)))
