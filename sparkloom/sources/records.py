@@ -92,3 +92,33 @@ def lookup(df: DataFrame, **key) -> DataFrame:
     if found.isEmpty():
         raise KeyError(f"no such row: {key}")
     return found
+
+
+def read_courses(spark: SparkSession, root: str) -> DataFrame:
+    """id, title, created_at: the course of each folder under ``root`` that isn't hidden and has a course.json, the folder's name for a lacking id; by age and id. Broken files give no row."""
+    raw = spark.read.option("recursiveFileLookup", False).text(f"{root}/*/course.json", wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/course\.json$", 1).alias("folder"))
+    found = decoded(raw.where(~F.col("folder").startswith(".")), "value", {"id": "string", "title": "string", "created_at": "double"})
+    return found.select(F.when(F.col("id") == "", F.col("folder")).otherwise(F.col("id")).alias("id"), "title", "created_at").orderBy("created_at", "id")
+
+
+#: Fields of a stored artifact; the first three are needed.
+ARTIFACT = {
+    "id": "string", "content_hash": "string", "kind": "string", "filename": "string", "source_path": "string", "purpose": "string", "order": "long",
+    "duplicate_of": "string", "supersedes": "string", "version": "long", "extraction_status": "string", "object_count": "long",
+}
+
+
+def read_artifacts(spark: SparkSession, root: str, include_superseded: bool = False) -> DataFrame:
+    """course (its folder) and the fields of ``ARTIFACT``: the records of each course's artifacts.json, without those that another one supersedes, by course, order, path and version.
+
+    Records that lack a needed field, and files that hold no list, give no rows; a lacking purpose is unknown, a lacking version 1, a lacking status done.
+    """
+    raw = spark.read.text(f"{root}/*/artifacts.json", wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/artifacts\.json$", 1).alias("course"))
+    each = raw.select("course", F.explode(F.from_json("value", "array<string>")).alias("value"))
+    rows = decoded(each, "value", ARTIFACT, ("id", "content_hash", "kind"))
+    plain = lambda c, none: F.when(F.col(c) == F.lit("" if isinstance(none, str) else 0), F.lit(none)).otherwise(F.col(c))
+    rows = rows.withColumn("purpose", plain("purpose", "unknown")).withColumn("version", plain("version", 1)).withColumn("extraction_status", plain("extraction_status", "done"))
+    if not include_superseded:
+        gone = rows.where("supersedes <> ''").select(F.col("course").alias("_course"), F.col("supersedes").alias("_id")).distinct()
+        rows = rows.join(gone, (F.col("course") == F.col("_course")) & (F.col("id") == F.col("_id")), "left_anti")
+    return rows.orderBy("course", "order", "source_path", "version")
