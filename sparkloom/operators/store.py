@@ -238,3 +238,22 @@ def relative_members(files: DataFrame, by: str, path: str, title: str) -> DataFr
     out = rows.join(g.withColumn("_shared", shared), F.col(by).eqNullSafe(F.col("_by")))
     cut = F.when(F.col("_titled") > 0, F.col("_at")).otherwise(F.col("_shared")).cast("int")
     return out.withColumn("relative", F.array_join(F.slice("_p", cut + 1, F.size("_p")), "/")).drop("_p", "_dirs", "_at", "_by", "_titled", "_a", "_b", "_shared")
+
+
+def free_hues(ids: DataFrame, key: str, hue: Column, hues: int) -> DataFrame:
+    """key, hue: the ids of a set, in their order, each at its own ``hue`` (from 0) or the next one that is free; once all ``hues`` are taken, at its own.
+
+    Each id takes a free hue while there is one, so only the first ``hues`` ids of the order can be moved: these are placed one after the other, the others keep their own.
+    """
+    given = ids.select(key).distinct().withColumn("hue", hue.cast("int"))
+    first = given.orderBy(key).limit(hues)
+    listed = first.agg(F.array_sort(F.collect_list(F.struct(key, "hue"))).alias("l"))  # ``hues`` rows
+    none = F.array().cast("array<int>")
+
+    def placed(taken: Column, one: Column) -> Column:
+        tried = F.transform(F.sequence(F.lit(0), F.lit(hues - 1)), lambda s: (one["hue"] + s) % hues)
+        return F.concat(taken, F.array(F.get(F.filter(tried, lambda p: ~F.array_contains(taken, p)), F.lit(0))))
+
+    picks = listed.select(F.explode(F.arrays_zip(F.col("l"), F.aggregate("l", none, placed).alias("p"))).alias("x")).select(F.col(f"x.l.{key}").alias("_k"), F.col("x.p").alias("_p"))
+    out = given.join(F.broadcast(picks), F.col(key).eqNullSafe(F.col("_k")), "left")
+    return out.select(key, F.coalesce("_p", "hue").alias("hue"))

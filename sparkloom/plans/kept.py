@@ -178,3 +178,11 @@ def page_graph_edges(spark, sf_dir):
 @query(_GRAPH + "SELECT token AS node, 'concept' AS node_type FROM best UNION SELECT unnest([source, target]), 'artifact' FROM edges WHERE relation = 'explicit_reference' UNION SELECT target, 'artifact' FROM edges WHERE relation = 'appears_in'")
 def page_graph_nodes(spark, sf_dir):
     return _page_graph(spark, sf_dir)[0]
+
+
+@query(r"""WITH RECURSIVE o AS (SELECT c_name, row_number() OVER (ORDER BY c_name) AS i, (list_reduce(list_prepend(2166136261, list_transform(list_filter(string_split(c_name, ''), lambda c: c <> ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 6)::INT AS own FROM customer),
+r AS (SELECT i, own AS pick, [own] AS taken FROM o WHERE i = 1 UNION ALL SELECT o.i, list_filter(list_transform(range(0, 6), lambda s: ((o.own + s) % 6)::INT), lambda p: NOT list_contains(r.taken, p))[1],
+  list_append(r.taken, list_filter(list_transform(range(0, 6), lambda s: ((o.own + s) % 6)::INT), lambda p: NOT list_contains(r.taken, p))[1]) FROM r JOIN o ON o.i = r.i + 1 WHERE o.i <= 6)
+SELECT o.c_name, coalesce(r.pick, o.own) AS hue FROM o LEFT JOIN r USING (i)""")
+def free_hues(spark, sf_dir):
+    return K.free_hues(table(spark, sf_dir, "customer"), "c_name", T.fnv1a(F.col("c_name")) % 6, 6)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import deck_label
 from sparkloom.operators.profiles import whole_profile
-from sparkloom.operators.store import folder_tree, relative_members
+from sparkloom.operators.store import folder_tree, free_hues, relative_members
 
 TITLES = {
     "Lec01_Data_and_Vibe_Coding_FINAL.pptx": "Lec01 Data and Vibe Coding", "lecture 3 - regression.pptx": "Lecture 3 Regression", "Lecture___4.pptx": "Lecture 4",
@@ -70,3 +70,17 @@ def test_whole_profile(spark, cap):
         assert r.inferred == (max(dict.fromkeys(real), key=real.count) if real else "unknown")
     none = {r.name: r for r in whole_profile(df.limit(0), "i").collect()}
     assert none["a"].row_count == 0 and none["a"].inferred == "unknown" and none["a"].unique_count == 0 and list(none["a"].samples) == []
+
+
+def test_free_hues(spark):
+    for seed in range(6):
+        rng = random.Random(seed)
+        own = {f"c{rng.randrange(1000)}": rng.randrange(3 if seed % 2 else 6) for _ in range(rng.choice([0, 3, 6, 40]))}
+        taken, want = set(), {}
+        for k in sorted(own):
+            free = [(own[k] + s) % 6 for s in range(6) if (own[k] + s) % 6 not in taken]
+            want[k] = free[0] if free else own[k]
+            taken.add(want[k])
+        df = spark.createDataFrame([(k, h) for k, h in own.items()] * 2, "id string, h int")
+        hue = F.element_at(F.create_map(*[x for k, h in own.items() for x in (F.lit(k), F.lit(h))]), F.col("id")) if own else F.lit(0)
+        assert {r.id: r.hue for r in free_hues(df, "id", hue, 6).collect()} == want
