@@ -31,7 +31,11 @@ MARK = b"."
 _TO_LINES = bytes.maketrans(ENDS, b"\n" * len(ENDS))
 #: Phrase places and words that a task counts together, chunks in a block; none changes a result.
 PLACES, TABLE_WORDS, BLOCK = 4_000_000, 1_000_000, 50_000
-_BLOCKS = "lang string, names array<binary>, hashes binary, number binary, size binary, parsed binary"
+_BLOCKS = "lang string, names array<binary>, hashes binary, number binary, size binary, parsed binary, places long"
+#: Distinct texts and their counts, many in a row: those of one task, language and bucket.
+_DEALT = "bucket int, lang string, texts binary, sizes binary, counts binary"
+#: Bytes of texts and places of phrases that make a bucket.
+BUCKET_BYTES, BUCKET_PLACES = 16 << 20, 2_000_000
 #: An odd number and its inverse modulo 2 ** 64, for hashes of stretches that don't depend on where they stand.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -49,6 +53,44 @@ def _joined_hash(parts: list[np.ndarray]) -> np.ndarray:
     return acc
 
 
+def _slices_of(raw: bytes, width: int, cuts: np.ndarray) -> pa.Array:
+    """``raw`` cut into binary values, at ``cuts`` of items of ``width`` bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+
+
+def _dealt(lang: str, texts: pa.Array, count: np.ndarray, h: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket that some of the distinct ``texts`` fall in, by their hashes."""
+    bucket = (h % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    texts, bucket = texts.take(pa.array(order)), bucket[order]
+    size = pc.binary_length(texts).to_numpy().astype(np.int32)
+    cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+    ends = np.r_[0, np.cumsum(size, dtype=np.int64)][cuts]
+    cols = [pa.array(bucket[cuts[:-1]]), pa.array([lang] * (len(cuts) - 1), pa.string()), _slices_of(b"".join(texts.to_pylist()), 1, ends), _slices_of(size.tobytes(), 4, cuts), _slices_of(count[order].astype(np.int64).tobytes(), 8, cuts)]
+    return pa.RecordBatch.from_arrays(cols, ["bucket", "lang", "texts", "sizes", "counts"])
+
+
+def _merged(batches):
+    """(language, distinct texts, their sums) of each bucket; the rows of a bucket come one after the other."""
+
+    def summed(held):
+        size = np.frombuffer(b"".join(r[1] for r in held), np.int32)
+        texts = _slices_of(b"".join(r[0] for r in held), 1, np.r_[0, np.cumsum(size, dtype=np.int64)])
+        t = pa.table({"t": texts, "n": np.frombuffer(b"".join(r[2] for r in held), np.int64)}).group_by("t").aggregate([("n", "sum")])
+        return t.column("t").combine_chunks(), t.column("n_sum").to_numpy()
+
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "texts", "sizes", "counts"))):
+            if row[:2] != key and held:
+                yield key[1], *summed(held)
+                held = []
+            key = row[:2]
+            held.append(row[2:])
+    if held:
+        yield key[1], *summed(held)
+
+
 class _Powers:
     """Powers of a number modulo 2 ** 64, as many as were asked for at most."""
 
@@ -63,14 +105,19 @@ class _Powers:
         return self.held[:n]
 
 
-def _parse(overlap: int, every: int):
-    """lang, chunk: a text's words and marks, cut where ``overlap`` of them trigger it, which belong to both chunks."""
+def _parse(overlap: int, every: int, buckets: int):
+    """Chunks of texts, dealt out: words and marks, cut where ``overlap`` of them trigger it, which belong to both chunks."""
+
+    def counted(lang: str, chunks: list[bytes]):
+        t = pa.table({"c": pa.array(chunks, pa.binary())}).group_by("c").aggregate([([], "count_all")])
+        distinct = t.column("c").combine_chunks()
+        return _dealt(lang, distinct, t.column("count_all").to_numpy(), _hashes(distinct.to_pylist()), buckets)
 
     def run(batches):
         powers, inverse = _Powers(_BASE), _Powers(_INVERSE)
+        held: dict[str, list[bytes]] = {}
         for whole in batches:
             for batch in slices(whole, "text", 2000):
-                langs, chunks = [], []
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     # bytes: only A-Z change, and words end at blanks and tabs
                     words = text.lower().translate(_TO_LINES).replace(b"\n", b" . ").split() if text else ()
@@ -88,30 +135,44 @@ def _parse(overlap: int, every: int):
                     cuts = np.flatnonzero(window[1:last] % np.uint64(every) == 0) + 1
                     lo = np.r_[0, cuts]
                     hi = np.r_[cuts, last] + overlap
+                    chunks = held.setdefault(lang, [])
                     chunks += [flat[a:b] for a, b in zip(start[lo].tolist(), (start[hi] - 1).tolist())]
-                    langs += [lang] * len(lo)
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chunks, pa.binary())], ["lang", "chunk"])
+                    if len(chunks) >= 2 * BLOCK:
+                        yield counted(lang, held.pop(lang))
+        for lang, chunks in held.items():
+            yield counted(lang, chunks)
 
     return run
 
 
 def _numbered(batches):
     """Blocks of chunks of a language: their distinct words with hashes, and numbers in place of words; 0 is the mark."""
-    for whole in batches:
-        for batch in slices(whole, "chunk", BLOCK, 16 << 20):
-            for lang in pc.unique(batch.column("lang")).to_pylist():
-                some = batch.filter(pc.equal(batch.column("lang"), lang))
-                split = pc.split_pattern(some.column("chunk"), b" ")
-                coded = pa.concat_arrays([pa.array([MARK], pa.binary()), split.flatten()]).dictionary_encode()
-                names, size = coded.dictionary.to_pylist(), pc.list_value_length(split).to_numpy().astype(np.int32)
-                h = _hashes(names) ^ np.uint64(xxhash.xxh3_64_intdigest(lang))
-                row = [lang, names, h.tobytes(), coded.indices.to_numpy()[1:].astype(np.int32).tobytes(), size.tobytes(), some.column("parsed").to_numpy().astype(np.int64).tobytes()]
-                kinds = (pa.string(), pa.list_(pa.binary()), *[pa.binary()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["lang", "names", "hashes", "number", "size", "parsed"])
-
-
-def _counted(n: int, overlap: int, bits: int, frequent, shorter):
-    """lang, phrase, f: phrases of ``n`` words in chunks, weighted by how often each chunk was parsed; those that the bit maps rule out are left out."""
+    for lang, chunks, parsed in _merged(batches):
+        seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
+        for at in range(0, len(chunks), BLOCK):
+            split = pc.split_pattern(chunks.slice(at, BLOCK), b" ")
+            coded = pa.concat_arrays([pa.array([MARK], pa.binary()), split.flatten()]).dictionary_encode()
+            names, size = coded.dictionary.to_pylist(), pc.list_value_length(split).to_numpy().astype(np.int32)
+            number = coded.indices.to_numpy()[1:].astype(np.int32)
+            row = [lang, names, (_hashes(names) ^ seed).tobytes(), number.tobytes(), size.tobytes(), parsed[at : at + BLOCK].astype(np.int64).tobytes(), len(number)]
+            kinds = (pa.string(), pa.list_(pa.binary()), *[pa.binary()] * 4, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["lang", "names", "hashes", "number", "size", "parsed", "places"])
+
+
+def _enough(least: int):
+    """lang, phrase, f of the phrases with ``least`` or more; a row without a phrase has the sum of all."""
+
+    def run(batches):
+        for lang, phrases, f in _merged(batches):
+            some = f >= least
+            names = pa.concat_arrays([phrases.filter(pa.array(some)), pa.nulls(1, pa.binary())])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), names, pa.array(np.r_[f[some], f.sum()])], ["lang", "phrase", "f"])
+
+    return run
+
+
+def _counted(n: int, overlap: int, bits: int, buckets: int, frequent, shorter):
+    """Dealt out: phrases of ``n`` words in chunks, weighted by how often each chunk was parsed; those that the bit maps rule out are left out."""
 
     def run(batches):
         allowed, parts = (b and np.frombuffer(b.value, np.uint8) for b in (frequent, shorter))
@@ -120,7 +181,7 @@ def _counted(n: int, overlap: int, bits: int, frequent, shorter):
             for row in range(batch.num_rows):
                 get = lambda c, kind: np.frombuffer(batch.column(c)[row].as_py(), kind)  # noqa: B023, E731
                 lang = batch.column("lang")[row].as_py()
-                here, h, number, size = state.setdefault(lang, _Held(lang)), get("hashes", np.uint64), get("number", np.int32), get("size", np.int32)
+                here, h, number, size = state.setdefault(lang, _Held(lang, buckets)), get("hashes", np.uint64), get("number", np.int32), get("size", np.int32)
                 good = np.ones(len(h), bool) if allowed is None else _hit(allowed, h, bits)
                 good[0] = False
                 # places before the overlap; what follows them, up to n words, is in the same chunk
@@ -149,8 +210,8 @@ def _counted(n: int, overlap: int, bits: int, frequent, shorter):
 class _Held:
     """What a task holds of a language: words in their order of coming, and phrases by word numbers, not summed yet."""
 
-    def __init__(self, lang: str):
-        self.lang, self.words, self.held, self.places = lang, {}, [], 0
+    def __init__(self, lang: str, buckets: int):
+        self.lang, self.buckets, self.words, self.held, self.places = lang, buckets, {}, [], 0
 
     def add(self, names: pa.Array, phrases: list[np.ndarray], weight: np.ndarray) -> None:
         used = np.unique(np.concatenate(phrases))
@@ -180,13 +241,15 @@ def _summed(here: _Held):
             key = np.unique(key, return_inverse=True)[1]
         key = key << np.int64(32) | number[j]
     first, total = _sums(key, weight)
-    names = pa.array(list(here.words), pa.binary())
-    for at in range(0, len(first), 100_000):
-        some = first[at : at + 100_000]
-        phrase = names.take(pa.array(number[0][some]))
-        for j in range(1, len(number)):
-            phrase = pc.binary_join_element_wise(phrase, names.take(pa.array(number[j][some])), b" ")
-        yield pa.RecordBatch.from_arrays([pa.array([here.lang] * len(some), pa.string()), phrase, pa.array(total[at : at + 100_000])], ["lang", "phrase", "f"])
+    names = list(here.words)
+    h, names = _hashes(names), pa.array(names, pa.binary())
+    # some at a time, dealt out by hash: the parts of a bucket come from many tasks anyway
+    for at in range(0, len(first), 1_000_000):
+        some = [pa.array(number[j][first[at : at + 1_000_000]]) for j in range(len(number))]
+        phrase = names.take(some[0])
+        for x in some[1:]:
+            phrase = pc.binary_join_element_wise(phrase, names.take(x), b" ")
+        yield _dealt(here.lang, phrase, total[at : at + 1_000_000], _joined_hash([h[x.to_numpy()] for x in some]), here.buckets)
 
 
 def _hit(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
@@ -223,15 +286,18 @@ class Phrases:
             raise ValueError("a phrase has two words at least")
         self.longest, self.least, self.covered, self.every, self.bits = longest, least, covered, every, bits
 
-    def dictionary(self, docs: DataFrame) -> DataFrame:
-        """lang, chunk, parsed: the distinct chunks of each language and how often each was parsed."""
+    def numbered(self, docs: DataFrame) -> DataFrame:
+        """The dictionary of each language: distinct chunks and how often each was parsed, in blocks with numbers for words; it is read once for each length of phrase."""
         given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
-        parsed = given.mapInArrow(released(_parse(self.longest - 1, self.every)), "lang string, chunk binary")
-        return parsed.groupBy("lang", "chunk").agg(F.count(F.lit(1)).alias("parsed"))
+        size = given.agg(F.sum(F.length("text"))).first()[0] or 0
+        buckets = max(1, -(-size // BUCKET_BYTES))
+        parsed = given.mapInArrow(released(_parse(self.longest - 1, self.every, buckets)), _DEALT)
+        return materialize(self._met(parsed, buckets).mapInArrow(released(_numbered), _BLOCKS), "zstd")
 
-    def numbered(self, docs: DataFrame) -> DataFrame:
-        """The dictionary in blocks, with numbers for words: it is read once for each length of phrase."""
-        return materialize(self.dictionary(docs).mapInArrow(released(_numbered), _BLOCKS), "zstd")
+    @staticmethod
+    def _met(dealt: DataFrame, buckets: int) -> DataFrame:
+        """The rows of a bucket in one task. They are summed in each task before, so a frequent text is no heavier than others."""
+        return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang")
 
     def _map(self, spark, phrases: DataFrame):
         """The bit map of ``phrases`` on all workers: 2 ** bits bits, however many there are."""
@@ -245,21 +311,22 @@ class Phrases:
             out[at : at + len(part)] = part[: len(out) - at]
         return spark.sparkContext.broadcast(out.tobytes())
 
-    def _count(self, chunks: DataFrame, n: int, frequent=None, shorter=None) -> DataFrame:
-        found = chunks.mapInArrow(released(_counted(n, self.longest - 1, self.bits, frequent, shorter)), "lang string, phrase binary, f long")
-        return found.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
+    def _count(self, chunks: DataFrame, n: int, buckets: int, frequent=None, shorter=None) -> DataFrame:
+        found = chunks.mapInArrow(released(_counted(n, self.longest - 1, self.bits, buckets, frequent, shorter)), _DEALT)
+        kept = self._met(found, buckets).mapInArrow(released(_enough(self.least)), "lang string, phrase binary, f long")
+        return materialize(kept.select("lang", F.col("phrase").cast("string").alias("phrase"), "f"))
 
     def counts(self, docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """(lang, n: all word occurrences; for each length, lang, phrase, f of the frequent phrases)."""
         spark, chunks = docs.sparkSession, self.numbered(docs)
-        words = materialize(self._count(chunks, 1))
-        total = materialize(words.groupBy("lang").agg(F.sum("f").alias("n")))
-        enough = F.col("f") >= self.least
-        found = [words.where(enough)]
-        frequent = self._map(spark, found[0]) if self.longest > 1 else None
+        buckets = max(1, -(-(chunks.agg(F.sum("places")).first()[0] or 0) // BUCKET_PLACES))
+        words = self._count(chunks, 1, buckets)
+        total = materialize(words.where("phrase is null").groupBy("lang").agg(F.sum("f").alias("n")))
+        found = [words.where("phrase is not null")]
+        frequent = self._map(spark, found[0])
         for n in range(2, self.longest + 1):
             shorter = self._map(spark, found[-1]) if n > 2 else None
-            found.append(materialize(self._count(chunks, n, frequent, shorter).where(enough)))
+            found.append(self._count(chunks, n, buckets, frequent, shorter).where("phrase is not null"))
         return total, found
 
     def score(self, docs: DataFrame) -> DataFrame:

@@ -195,21 +195,27 @@ def test_phrases_brute_force(spark, talk, every, bits, longest):
 
 
 def test_phrases_summed_early(spark, talk, monkeypatch):
-    import sparkloom.llm.phrases as phrases
-
-    # many blocks, and the sums of a few of them at a time
-    monkeypatch.setattr(phrases, "BLOCK", 20)
-    chunks = Phrases().numbered(spark.createDataFrame(talk, "doc_id long, text string, lang string"))
-    rows = phrases._counted(2, 3, 20, None, None)
     import pyarrow as pa
 
-    batches = chunks.toArrow().to_batches(max_chunksize=1)
-    total = lambda: Counter({(r["lang"], r["phrase"]): 0 for r in ()}) + sum((Counter({(r["lang"], r["phrase"]): r["f"]}) for b in rows(iter(batches)) for r in b.to_pylist()), Counter())
-    whole = total()
-    monkeypatch.setattr(phrases, "PLACES", 100)
-    assert total() == whole
-    monkeypatch.setattr(phrases, "TABLE_WORDS", 3)
-    assert total() == whole
+    import sparkloom.llm.phrases as phrases
+
+    def total(n):
+        texts = pa.Table.from_pylist([{"lang": lang or "und", "text": (t or "").encode()} for _, t, lang in talk], pa.schema([("lang", pa.string()), ("text", pa.binary())])).to_batches(max_chunksize=50)
+        order = lambda found: sorted((r for b in found for r in b.to_pylist()), key=lambda r: (r["bucket"], r["lang"]))
+        batches = lambda rows, like: pa.Table.from_pylist(rows, like).to_batches(max_chunksize=7)
+        found = list(phrases._parse(3, 16, 5)(iter(texts)))
+        blocks = list(phrases._numbered(batches(order(found), found[0].schema)))
+        found = list(phrases._counted(n, 3, 20, 3, None, None)(iter(blocks)))
+        return len(blocks), sorted(str(r) for b in phrases._enough(1)(batches(order(found), found[0].schema)) for r in b.to_pylist())
+
+    for n in (1, 2, 4):
+        with monkeypatch.context() as m:
+            few, whole = total(n)
+            m.setattr(phrases, "BLOCK", 20)  # many blocks, and the sums of a few of them at a time
+            many, parts = total(n)
+            m.setattr(phrases, "PLACES", 100)
+            m.setattr(phrases, "TABLE_WORDS", 3)
+            assert many > few and parts == whole and total(n)[1] == whole
 
 
 def test_phrases_of_nothing(spark):
