@@ -30,12 +30,12 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 MARK = b"."
 _TO_LINES = bytes.maketrans(ENDS, b"\n" * len(ENDS))
 #: Phrase places and words that a task counts together, chunks in a block; none changes a result.
-PLACES, TABLE_WORDS, BLOCK = 4_000_000, 1_000_000, 50_000
+PLACES, TABLE_WORDS, BLOCK = 1_500_000, 500_000, 25_000
 _BLOCKS = "lang string, names array<binary>, hashes binary, number binary, size binary, parsed binary, places long"
 #: Distinct texts and their counts, many in a row: those of one task, language and bucket.
 _DEALT = "bucket int, lang string, texts binary, sizes binary, counts binary"
 #: Bytes of texts and places of phrases that make a bucket.
-BUCKET_BYTES, BUCKET_PLACES = 16 << 20, 2_000_000
+BUCKET_BYTES, BUCKET_PLACES = 8 << 20, 1_000_000
 #: An odd number and its inverse modulo 2 ** 64, for hashes of stretches that don't depend on where they stand.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -199,8 +199,9 @@ def _counted(n: int, overlap: int, bits: int, buckets: int, frequent, shorter):
                     at = at[hit[at] & hit[at + 1]]
                 if len(at):
                     here.add(batch.column("names")[row].values, [number[at + j] for j in range(n)], np.repeat(get("parsed", np.int64), size)[at])
-                if here.places > PLACES or len(here.words) > TABLE_WORDS:
-                    yield from _summed(state.pop(lang))
+                # of all languages together
+                if sum(x.places for x in state.values()) > PLACES or sum(len(x.words) for x in state.values()) > TABLE_WORDS:
+                    yield from _summed(state.pop(max(state, key=lambda x: state[x].places)))
         for here in state.values():
             yield from _summed(here)
 
@@ -244,12 +245,12 @@ def _summed(here: _Held):
     names = list(here.words)
     h, names = _hashes(names), pa.array(names, pa.binary())
     # some at a time, dealt out by hash: the parts of a bucket come from many tasks anyway
-    for at in range(0, len(first), 1_000_000):
-        some = [pa.array(number[j][first[at : at + 1_000_000]]) for j in range(len(number))]
+    for at in range(0, len(first), 500_000):
+        some = [pa.array(number[j][first[at : at + 500_000]]) for j in range(len(number))]
         phrase = names.take(some[0])
         for x in some[1:]:
             phrase = pc.binary_join_element_wise(phrase, names.take(x), b" ")
-        yield _dealt(here.lang, phrase, total[at : at + 1_000_000], _joined_hash([h[x.to_numpy()] for x in some]), here.buckets)
+        yield _dealt(here.lang, phrase, total[at : at + 500_000], _joined_hash([h[x.to_numpy()] for x in some]), here.buckets)
 
 
 def _hit(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
