@@ -4,8 +4,8 @@ How full sequences can get depends only on how many pieces have each length, and
 So Spark counts the lengths; bin completion works on these counts, as many equal sequences at a time as the counts
 allow; and Spark deals the pieces out to the sequences' places by their rank among pieces of that length. Bin completion takes
 the longest length left and the filling of it that leaves least, over any number of pieces; best-fit gives the first incumbent, and bit sets
-of all sums a better one. If the plan needs more sequences than the lower bound, its end is searched again by branching over undominated
-fillings: more waste than one sequence less allows prunes a branch.
+of all sums a better one. If the plan needs more sequences than the lower bound, plans that part short pieces from
+long ones are tried as incumbents, and the end of the best is searched again by branching over undominated fillings: more waste than one sequence less allows prunes a branch.
 
 Nulls and edges: a null text is empty, and an empty document is its end token alone; rows with equal doc_id are
 separate documents; an empty table gives no pieces; extra columns are ignored.
@@ -24,6 +24,10 @@ from sparkloom.llm.common import materialize, root_of, slices, spread_rank
 from sparkloom.llm.token_cache import WordIds
 
 
+#: Plans that part short pieces from long ones: how many together are tried, and of what they spare how much is used. All are tried at any size.
+PARTS, SHARES = 8, (1.0, 0.99, 0.98, 0.97, 0.95, 0.9)
+
+
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -36,10 +40,10 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches):
         words = WordIds.of(path)
         for whole in batches:
-            for batch in slices(whole, "text", 256):
+            for batch in slices(whole, "text", 2000, 4 << 20):
                 rows = []
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), words.texts([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                    ids += last
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), words.column(batch.column("text")), strict=True):
+                    ids = ids.tobytes() + last
                     for k in range(0, len(ids), 4 * capacity):
                         piece = ids[k : k + 4 * capacity]
                         rows.append((doc, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece), piece if with_ids else None))
@@ -118,6 +122,8 @@ def _fillings(room: int, have: dict[int, int], lengths: list[int], slack: int):
 
 def fewest(counts: dict[int, int], capacity: int) -> int:
     """A lower bound of the sequences: long pieces lie apart, and pieces over a part of ``capacity`` lie few together."""
+    if not counts:
+        return 0
     count = np.zeros(capacity + 2, np.int64)
     for n, c in counts.items():
         count[n] = c
@@ -169,15 +175,10 @@ def _search(counts: dict[int, int], capacity: int, most: int, nodes: list[int])
     return None
 
 
-def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 2000) -> list[tuple[int, list[int]]]:
-    """(how many sequences, their lengths) that hold ``counts`` pieces of each length.
-
-    The fillings with least waste come first, as many times as the counts allow. While that is more than the lower bound, longer and
-    longer ends of the plan are searched for one sequence less, over ``nodes`` fillings altogether.
-    """
-    have = {n: c for n, c in counts.items() if c > 0}
+def _filled(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """The fillings with least waste of the longest length left, as many times as the counts allow."""
+    have, out = dict(counts), []
     lengths = sorted(have, reverse=True)
-    out = []
     while lengths:
         n = lengths[0]
         have[n] -= 1
@@ -189,15 +190,117 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 2000) -> l
         for x, c in need.items():
             have[x] -= times * c
         lengths = [x for x in lengths if have[x]]
-    bound, left, width = fewest(counts, capacity) if out else 0, [nodes], 2
-    while left[0] > 0 and sum(t for t, _ in out) > bound:
-        end, held = out[-width:], {}
-        size = sum(t for t, _ in end)
-        for t, way in end:
+    return out
+
+
+def _number(plan: list[tuple[int, list[int]]]) -> int:
+    return sum(times for times, _ in plan)
+
+
+def _split_counts(counts: dict[int, int], capacity: int, m: int, share: float) -> tuple[dict[int, int], dict[int, int]]:
+    """(the pieces over a length, the rest): of the shortest as many as are, on average, no longer than the ``m``-th part of ``capacity``.
+
+    Longer ones exceed that by ``share`` of what shorter ones spare: the rest is room for fillings that leave a little.
+    """
+    long, short, spare = {}, {}, 0
+    for n in sorted(counts):
+        over = m * n - capacity
+        fit = counts[n] if over <= 0 else 0 if long else min(counts[n], int(spare // over))
+        spare -= over * fit * (1 if over > 0 else share)
+        if fit:
+            short[n] = fit
+        if fit < counts[n]:
+            long[n] = counts[n] - fit
+    return long, short
+
+
+def _rows(counts: dict[int, int], capacity: int, m: int) -> list[tuple[int, list[int]]] | None:
+    """All pieces, ``m`` to a sequence, row by row from the longest, the longest of a row to where least lies; None if one gets too full."""
+    number = -(-sum(counts.values()) // m)
+    left = sorted(counts.items())
+    bins = [(0, number, [])]
+    for _ in range(m):
+        bins.sort(key=lambda e: e[0])
+        made, at, used = [], 0, 0
+        while at < len(bins) and left:
+            total, times, way = bins[at]
+            n, count = left[-1]
+            k = min(times - used, count)
+            made.append((total + n, k, [*way, n]))
+            left[-1] = n, count - k
+            used += k
+            if count == k:
+                left.pop()
+            if used == times:
+                at, used = at + 1, 0
+        made += [(total, times - (used if i == 0 else 0), way) for i, (total, times, way) in enumerate(bins[at:])]
+        bins = made
+        if max(total for total, _, _ in bins) > capacity:
+            return None
+    return [(times, way) for _, times, way in bins if times and way]
+
+
+def _parted(counts: dict[int, int], capacity: int, bound: int, plan: list[tuple[int, list[int]]]) -> list[tuple[int, list[int]]]:
+    """``plan`` or a plan of fewer sequences in which the shortest pieces lie ``m`` together and the longer ones by themselves.
+
+    The longest lengths left, filled first, take the shortest pieces with them where fewer together leave as little; what is left then fits badly.
+    """
+    least = capacity // max(counts) + 1
+    for m in range(least, min(least + PARTS, capacity // min(counts) + 1)):
+        low, high = 0.0, 1.0
+        for _ in range(10):  # the largest share with which rows of m fit
+            long, short = _split_counts(counts, capacity, m, (low + high) / 2)
+            rows = _rows(short, capacity, m) if short else None
+            if rows and fewest(long, capacity) + _number(rows) < _number(plan):
+                made = _filled(long, capacity) + rows
+                plan = made if _number(made) < _number(plan) else plan
+            low, high = ((low + high) / 2, high) if rows else (low, (low + high) / 2)
+        for share in SHARES:
+            if _number(plan) <= bound:
+                return plan
+            long, short = _split_counts(counts, capacity, m, share)
+            if not long or not short:
+                break
+            rest = fewest(short, capacity)
+            if fewest(long, capacity) + rest >= _number(plan):
+                continue
+            below = _filled(long, capacity)
+            if _number(below) + rest < _number(plan):
+                made = below + _filled(short, capacity)
+                plan = made if _number(made) < _number(plan) else plan
+    return plan
+
+
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 2000) -> list[tuple[int, list[int]]]:
+    """(how many sequences, their lengths) that hold ``counts`` pieces of each length.
+
+    The fillings with least waste come first, as many times as the counts allow; where that is more than the lower bound, a plan that parts
+    short pieces from long ones may be the better incumbent. While that is still more, longer and longer ends of the plan, worst filled
+    last, are searched for one sequence less, over ``nodes`` fillings altogether, however many sequences lie before that end.
+    """
+    have = {n: c for n, c in counts.items() if c > 0}
+    if not have:
+        return []
+    out, bound = _filled(have, capacity), fewest(have, capacity)
+    if _number(out) > bound:
+        out = _parted(have, capacity, bound, out)
+    if _number(out) <= bound:
+        return out
+    out.sort(key=lambda e: capacity - sum(e[1]))
+    left, width = [nodes], 2
+    while left[0] >= width and _number(out) > bound:
+        rest, end, size = list(out), [], 0
+        while rest and size < width:  # the last ``width`` sequences, of many equal ones as many as are missing
+            times, way = rest.pop()
+            if times > width - size:
+                rest.append((times - (width - size), way))
+                times = width - size
+            end.append((times, way))
+            size += times
+        held = {}
+        for times, way in end:
             for n in way:
-                held[n] = held.get(n, 0) + t
-        if size > left[0]:  # not even one plan fits in
-            break
+                held[n] = held.get(n, 0) + times
         found = None
         if fewest(held, capacity) < size:
             # a share of what is left, so that one end doesn't use up all
@@ -206,9 +309,9 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 2000) -> l
             found = _search(held, capacity, size - 1, share)
             left[0] += share[0]
         if found is not None:
-            out[-width:] = [(1, way) for way in found]
+            out = rest + sorted(((1, way) for way in found), key=lambda e: capacity - sum(e[1]))
             width = 2
-        elif width >= len(out):
+        elif not rest:
             break
         else:
             width *= 2

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that a worker keeps; when full, new ones are encoded again each time, which changes no result.
 CACHE_WORDS = 1_000_000
@@ -13,12 +17,37 @@ class WordIds:
     """For tokenizers that lower the case and drop white space (so space and newline always part pre-tokens)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.encode = Tokenizer.from_file(path).encode
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.ends = dict(zip(".,", self._encoded([".", ","]), strict=True))
+        # lower-case letters of Latin-1 are in normal form and one pre-token each word: where runs of letters are pre-tokens, bytes and merges are all they need
+        self.letters = None
+        if self._runs_of_letters(path):
+            plain = Tokenizer.from_file(path)
+            plain.normalizer = None
+            plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.letters = plain.encode
+        self.ends = dict(zip(".,", self._encoded(self.encode, [".", ","]), strict=True))
+
+    @staticmethod
+    def _runs_of_letters(path: str) -> bool:
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        forms = [n["type"] for n in (held.get("normalizer") or {}).get("normalizers", [])]
+        steps = (held.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        patterns = [s["pattern"].get("Regex", "") for s in steps if s["type"] == "Split"]
+        marks = {a["content"] for a in held.get("added_tokens", []) if a["content"].isalpha()}
+        return (
+            forms == ["NFC", "Replace", "Lowercase"]
+            and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+            and not steps[1]["add_prefix_space"]
+            and not steps[1]["use_regex"]
+            # a letter alone begins no other branch of the pattern
+            and [b for b in patterns[0].split("|") if not b.startswith("'")][0] == "[\\p{L}]+"
+            and not marks
+        )
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
@@ -26,35 +55,54 @@ class WordIds:
             _OPEN[path] = cls(path)
         return _OPEN[path]
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        e = self.encode(words, is_pretokenized=True, add_special_tokens=False)
+    @staticmethod
+    def _encoded(encode, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        e = encode(words, is_pretokenized=True, add_special_tokens=False)
         raw = np.array(e.ids, np.uint32).tobytes()
         cut = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
         return [raw[a:b] for a, b in zip(cut, cut[1:])]
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.chunks.keys()
-        plan, wanted = [], {}
-        for chunk in new:
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        plan, letters, others = [], {}, {}
+        for chunk in chunks:
+            if chunk in self.chunks:
+                continue
             end = chunk[-1:] if chunk[-1:] in self.ends else ""
-            word = chunk[: len(chunk) - len(end)]
-            if not word.isalpha():  # other chunks are encoded as they are
+            word, kind = chunk[: len(chunk) - len(end)], others
+            if word.isalpha() and max(word) < "Ā":
+                word, kind = word.lower(), letters
+            else:  # as it is: other letters may end in a mark when normalized, which joins what follows
                 word, end = chunk, ""
-            elif word.isascii():
-                word = word.lower()
             plan.append((chunk, word, end))
             if word not in self.words:
-                wanted[word] = None
-        found = dict(zip(wanted, self._encoded(list(wanted)), strict=True)) if wanted else {}
-        known = lambda w: found[w] if w in found else self.words[w]
-        ids = {chunk: known(word) + self.ends.get(end, b"") for chunk, word, end in plan}
-        if len(self.chunks) + len(ids) <= CACHE_WORDS:
-            self.chunks.update(ids)
-            look = self.chunks
-        else:
-            look = self.chunks | ids
+                kind[word] = None
+        found = dict(zip(letters, self._encoded(self.letters or self.encode, list(letters)), strict=True))
+        found.update(zip(others, self._encoded(self.encode, list(others)), strict=True))
+        ids = {chunk: (found[word] if word in found else self.words[word]) + self.ends.get(end, b"") for chunk, word, end in plan}
         if len(self.words) + len(found) <= CACHE_WORDS:
             self.words.update(found)
-        return [b"".join(map(look.__getitem__, s)) for s in split]
+        if len(self.chunks) + len(ids) <= CACHE_WORDS:
+            self.chunks.update(ids)
+            return [self.chunks[c] for c in chunks]
+        return [ids[c] if c in ids else self.chunks[c] for c in chunks]
+
+    def column(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a column (null: empty), as unsigned 32-bit numbers."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        bounds, split = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        held = self._chunks(split.dictionary.to_pylist())
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        at, ids = np.cumsum(size) - size, np.frombuffer(b"".join(held), np.uint32)
+        which = split.indices.to_numpy()
+        size = size[which]
+        until = np.concatenate([[0], np.cumsum(size)])
+        ids = ids[np.repeat(at[which] - until[:-1], size) + np.arange(until[-1])]
+        cut = until[bounds - bounds[0]].tolist()
+        return [ids[a:b] for a, b in zip(cut, cut[1:])]
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        return [ids.tobytes() for ids in self.column(pa.array(texts, pa.string()))]
