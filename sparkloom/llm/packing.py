@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, root_of, slices, spread_rank
+from sparkloom.llm.common import materialize, released, root_of, slices, spread_rank
 from sparkloom.llm.token_cache import WordIds
 
 
@@ -327,7 +327,7 @@ class Packer:
     def pieces(self, docs: DataFrame, with_ids: bool = False) -> DataFrame:
         schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
         given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        return given.mapInArrow(_pieces(self.tokenizer, self.capacity, self.end, with_ids), schema)
+        return given.mapInArrow(released(_pieces(self.tokenizer, self.capacity, self.end, with_ids)), schema)
 
     def pack(self, docs: DataFrame, with_ids: bool = False) -> DataFrame:
         """The pieces with sequence_id and offset."""

@@ -8,8 +8,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker keeps; when full, new ones are encoded again each time, which changes no result.
-CACHE_WORDS = 1_000_000
+#: Words that a worker keeps, and their characters at most; others are encoded again each time, which changes no result.
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
+#: Words encoded together: what the tokenizer returns for a word is far larger than its ids.
+TOGETHER = 20_000
+#: Places for hashes of words met before: most words are met once, and only those met again are kept.
+MET = 1 << 23
+#: Letters of Latin-1, and a mark that always parts from them.
+LETTERS = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+[.,]?$"
 _OPEN: dict[str, "WordIds"] = {}
 
 
@@ -20,8 +26,8 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.encode = Tokenizer.from_file(path).encode
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.met = bytearray(MET)
         # lower-case letters of Latin-1 are in normal form and one pre-token each word: where runs of letters are pre-tokens, bytes and merges are all they need
         self.letters = None
         if self._runs_of_letters(path):
@@ -29,7 +35,7 @@ class WordIds:
             plain.normalizer = None
             plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             self.letters = plain.encode
-        self.ends = dict(zip(".,", self._encoded(self.encode, [".", ","]), strict=True))
+        self.ends = self._encoded(self.encode, ["", ".", ","])
 
     @staticmethod
     def _runs_of_letters(path: str) -> bool:
@@ -64,42 +70,54 @@ class WordIds:
         cut = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
         return [raw[a:b] for a, b in zip(cut, cut[1:])]
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of distinct chunks."""
-        plan, letters, others = [], {}, {}
-        for chunk in chunks:
-            if chunk in self.chunks:
-                continue
-            end = chunk[-1:] if chunk[-1:] in self.ends else ""
-            word, kind = chunk[: len(chunk) - len(end)], others
-            if word.isalpha() and max(word) < "Ā":
-                word, kind = word.lower(), letters
-            else:  # as it is: other letters may end in a mark when normalized, which joins what follows
-                word, end = chunk, ""
-            plan.append((chunk, word, end))
-            if word not in self.words:
-                kind[word] = None
-        found = dict(zip(letters, self._encoded(self.letters or self.encode, list(letters)), strict=True))
-        found.update(zip(others, self._encoded(self.encode, list(others)), strict=True))
-        ids = {chunk: (found[word] if word in found else self.words[word]) + self.ends.get(end, b"") for chunk, word, end in plan}
-        if len(self.words) + len(found) <= CACHE_WORDS:
-            self.words.update(found)
-        if len(self.chunks) + len(ids) <= CACHE_WORDS:
-            self.chunks.update(ids)
-            return [self.chunks[c] for c in chunks]
-        return [ids[c] if c in ids else self.chunks[c] for c in chunks]
+    def _words(self, words: list[str], letters: np.ndarray) -> list[bytes]:
+        """The ids of distinct words; ``letters`` tells those of nothing but lower-case letters of Latin-1."""
+        held = list(map(self.words.get, words))
+        new = np.array([i for i, ids in enumerate(held) if ids is None], np.int64)
+        for kind, encode in ((True, self.letters or self.encode), (False, self.encode)):
+            of = new[letters[new] == kind].tolist()
+            for k in range(0, len(of), TOGETHER):
+                part = of[k : k + TOGETHER]
+                for i, ids in zip(part, self._encoded(encode, [words[i] for i in part]), strict=True):
+                    held[i] = ids
+                    self._keep(words[i], ids)
+        return held
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        at = hash(word) % MET
+        if not self.met[at]:
+            self.met[at] = 1
+        elif len(self.words) < CACHE_WORDS and len(word) <= CACHE_CHARS:
+            self.words[word] = ids
+
+    @staticmethod
+    def _joined(ids: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` are runs of ``size`` ids: (those of runs ``which`` one after another, where each of them begins and the last ends)."""
+        at, size = (np.cumsum(size) - size)[which], size[which]
+        until = np.concatenate([[0], np.cumsum(size)])
+        return ids[np.repeat(at - until[:-1], size) + np.arange(until[-1])], until
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of distinct chunks one after another, where each begins and the last ends)."""
+        plain = pc.match_substring_regex(chunks, LETTERS)
+        # others as they are: other letters may end in a mark when normalized, which joins what follows
+        words = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(chunks, characters=".,")), chunks).dictionary_encode()
+        plain, which = plain.to_numpy(zero_copy_only=False), words.indices.to_numpy()
+        letters = np.zeros(len(words.dictionary), bool)
+        letters[which] = plain
+        held = self._words(words.dictionary.to_pylist(), letters)
+        end = [pc.ends_with(chunks, mark).to_numpy(zero_copy_only=False) * k for k, mark in enumerate(".,", 1)]
+        both = np.stack([which, len(held) + plain * sum(end)], axis=1).ravel()  # each word and the mark after it, or none
+        held += self.ends
+        ids, until = self._joined(np.frombuffer(b"".join(held), np.uint32), np.fromiter(map(len, held), np.int64, len(held)) // 4, both)
+        return ids, until[::2]
 
     def column(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a column (null: empty), as unsigned 32-bit numbers."""
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         bounds, split = split.offsets.to_numpy(), split.flatten().dictionary_encode()
-        held = self._chunks(split.dictionary.to_pylist())
-        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
-        at, ids = np.cumsum(size) - size, np.frombuffer(b"".join(held), np.uint32)
-        which = split.indices.to_numpy()
-        size = size[which]
-        until = np.concatenate([[0], np.cumsum(size)])
-        ids = ids[np.repeat(at[which] - until[:-1], size) + np.arange(until[-1])]
+        ids, until = self._chunks(split.dictionary)
+        ids, until = self._joined(ids, np.diff(until), split.indices.to_numpy())
         cut = until[bounds - bounds[0]].tolist()
         return [ids[a:b] for a, b in zip(cut, cut[1:])]
 

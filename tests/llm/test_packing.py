@@ -74,3 +74,21 @@ def test_columns_of_texts():
     words.words, words.chunks = {}, {}
     assert [np.frombuffer(x, np.uint32).tolist() for x in words.texts([t or "" for t in texts])] == want
     assert words.column(pa.array([], pa.string())) == []
+
+
+def test_words_kept_are_bounded():
+    """Only words met again are kept, up to a number and a length; what is not kept has the same ids each time."""
+    from sparkloom.llm import token_cache
+
+    r = random.Random(7)
+    once = ["".join(r.choice("abcdeéñß") for _ in range(12)) + r.choice(["", ".", ",", "!"]) for _ in range(30_000)]
+    again, long = [f"word{k}x" for k in range(200)] + ["Straße.", "straße,", "STRASSE"], "x" * 5000 + "1"
+    words = WordIds(public_tokenizer())
+    for k in range(10):
+        words.column(pa.array([" ".join(once[3000 * k : 3000 * (k + 1)] + again + [long])]))
+    assert {"word7x", "straße", "strasse"} <= words.words.keys()
+    assert len(words.words) < 1000 and max(map(len, words.words)) <= token_cache.CACHE_CHARS
+    assert not any(isinstance(x, dict) and len(x) > 1000 for x in vars(words).values())
+    whole = WordIds(public_tokenizer()).encode
+    texts = [" ".join(once[:50]), " ".join(again), long, "Straße. straße, STRASSE"]
+    assert [x.tolist() for x in words.column(pa.array(texts))] == [whole(t, add_special_tokens=False).ids for t in texts]
