@@ -18,7 +18,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 def _nearest(spark, sf_dir, k, **how):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return V.cosine_topk(e.where("vec_id % 50 = 0"), e, k, **how)
+    return V.cosine_topk(e.where("vec_id % 50 = 0"), e, k, undefined=True, **how)
 
 
 @query(_COSINE.format(also="") + "SELECT * FROM t WHERE rank <= 10")
