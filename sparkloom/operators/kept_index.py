@@ -18,12 +18,15 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from sparkloom.functions.text import tokens
-from sparkloom.operators.search import B, K1, postings
+from sparkloom.operators.search import B, K1, row_postings
+from sparkloom.sources.files import shared_folder
 from sparkloom.sources.keyed import KeyedStore, children, remove
 
 _TOLD = "number long, name string, segments array<string>, changed long"
 #: Tombstones that are sent to every task (some 60 bytes each).
 BROADCAST_DEAD = 500_000
+#: Keys of new texts, of texts that share their key, and counts of words by part, that are sent to every task.
+BROADCAST_KEYS = 500_000
 
 
 class KeptIndex:
@@ -60,7 +63,7 @@ class KeptIndex:
         Beyond ``most`` segments all are folded into one.
         """
         told, number, name = self._next()
-        text = objects.where("text is not null").groupBy(F.col(self.part).cast("string").alias(self.part), F.col(self.key).cast("long").alias(self.key)).agg(F.min("text").alias("text"))
+        text = self._one_each(objects.where("text is not null").select(F.col(self.part).cast("string").alias(self.part), F.col(self.key).cast("long").alias(self.key), "text"), f"shared/{name}")
         # two digests of 64 bits: texts are only read whole where they are new
         now = text.select(self.part, self.key, F.xxhash64("text").alias("_d1"), F.xxhash64(F.lit(1), "text").alias("_d2"))
         old = self.objects.read(before=name).toDF("_p", "_k", "dl", "digest", "digest2", "segment")
@@ -74,12 +77,17 @@ class KeptIndex:
         changed = changes.count()
         if told and not changed:
             return 0
-        fresh = changes.where("_here").select(self.part, self.key)
-        some = text.join(fresh.toDF("_p", "_k"), F.col(self.part).eqNullSafe(F.col("_p")) & F.col(self.key).eqNullSafe(F.col("_k")), "left_semi")
-        split = postings(some, self.part, self.key, split=self.split).select(self.part, self.key, "token", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"), F.lit(name).alias("segment"), self._bucket().alias("bucket"))
-        split.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/segments/{name}")
-        lengths = some.select(F.col(self.part).alias("_p"), F.col(self.key).alias("_k"), F.size(self.split(F.col("text"))).cast("long").alias("dl"))
-        met = changes.join(lengths, F.col(self.part).eqNullSafe(F.col("_p")) & F.col(self.key).eqNullSafe(F.col("_k")), "left")
+        own = F.col(self.part).eqNullSafe(F.col("_p")) & F.col(self.key).eqNullSafe(F.col("_k"))
+        some = text  # at first all are new
+        if told:
+            fresh = changes.where("_here").select(self.part, self.key).toDF("_p", "_k")
+            some = text.join(F.broadcast(fresh) if changed <= BROADCAST_KEYS else fresh, own, "left_semi")
+        # each task writes its postings to their buckets: they outweigh the texts, and would once more as a shuffle
+        split = row_postings(some, self.part, self.key, split=self.split).withColumn("segment", F.lit(name)).withColumn("bucket", self._bucket())
+        split.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/segments/{name}")
+        held = self.spark.read.schema(self.rows).parquet(f"{self.path}/segments/{name}")
+        lengths = held.groupBy(F.col(self.part).alias("_p"), F.col(self.key).alias("_k")).agg(F.max("dl").alias("dl"))
+        met = changes.join(lengths, own, "left").withColumn("dl", F.when(F.col("_here"), F.coalesce("dl", F.lit(0).cast("long"))))
         met = self._written(met.select(self.part, self.key, "_here", "dl", "was", "_d1", "_d2", "segment"), f"met/{name}")
         # what a part gains and loses in objects and words
         sign = F.col("_here").isNotNull().cast("long") - F.col("was").isNotNull().cast("long")
@@ -100,6 +108,18 @@ class KeptIndex:
             self.compact()
         return changed
 
+    def _one_each(self, objects: DataFrame, folder: str) -> DataFrame:
+        """part, key, text: one row for each object, without a shuffle of texts but those of rows that share part and key."""
+        by = [F.col(self.part).alias("_p"), F.col(self.key).alias("_k")]
+        shared = self._written(objects.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_p", "_k"), folder)
+        n = shared.count()
+        if not n:
+            return objects
+        shared = F.broadcast(shared) if n <= BROADCAST_KEYS else shared
+        same = F.col(self.part).eqNullSafe(F.col("_p")) & F.col(self.key).eqNullSafe(F.col("_k"))
+        one = objects.join(shared, same, "left_semi").groupBy(self.part, self.key).agg(F.min("text").alias("text"))
+        return objects.join(shared, same, "left_anti").unionByName(one)
+
     def _tell(self, number: int, name: str, segments: list[str], changed: int) -> None:
         self.spark.createDataFrame([(number, name, segments, changed)], _TOLD).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/told/{name}")
 
@@ -118,7 +138,7 @@ class KeptIndex:
         if found is None:
             return self.spark.createDataFrame([], self.rows).drop("segment", "bucket")
         if words is not None:
-            some = words.select("token").distinct()
+            some = self._sent(words.select("token").distinct())
             asked = [r[0] for r in some.select(self._bucket()).distinct().collect()]  # as many as there are buckets
             found = found.where(F.col("bucket").isin(asked)).join(some, "token", "left_semi")
         dead = self._side("dead", names, f"{self.part} string, {self.key} long, segment string").toDF("_p", "_k", "_s")
@@ -136,11 +156,20 @@ class KeptIndex:
         """query, part, key, score for ``asked(query, token)``, as ``search.bm25`` gives them for the objects of the last refresh."""
         hits = self.postings(asked)
         size = self.sizes().select(F.col(self.part).alias("_p"), "n_objects", (F.col("words") / F.col("n_objects")).alias("avgdl"))
-        df = hits.groupBy(self.part, "token").agg(F.count(F.lit(1)).alias("df")).toDF("_p2", "_t", "df")
+        df = self._sent(hits.groupBy(self.part, "token").agg(F.count(F.lit(1)).alias("df")).toDF("_p2", "_t", "df"))
         scored = hits.join(df, F.col(self.part).eqNullSafe(F.col("_p2")) & (F.col("token") == F.col("_t"))).join(F.broadcast(size) if size.count() <= 100_000 else size, F.col(self.part).eqNullSafe(F.col("_p")))
         idf = F.greatest(F.lit(1e-6), F.log((F.col("n_objects") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        return asked.join(scored.select(self.part, self.key, "token", weight.alias("weight")), "token").groupBy(query, self.part, self.key).agg(F.round(F.sum("weight"), 6).alias("score"))
+        # an object's hits are brought together once; what queries make of them stays there
+        scored = scored.select(self.part, self.key, "token", weight.alias("weight")).repartition(self.part, self.key)
+        return scored.join(self._sent(asked), "token").groupBy(query, self.part, self.key).agg(F.round(F.sum("weight"), 6).alias("score"))
+
+    def _sent(self, df: DataFrame) -> DataFrame:
+        """``df`` written down, and sent to every task if its count allows it."""
+        path = shared_folder(self.spark)
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        return F.broadcast(kept) if kept.count() <= BROADCAST_KEYS else kept
 
     def compact(self) -> None:
         """Make one segment of all, without dead postings."""
@@ -157,8 +186,8 @@ class KeptIndex:
     def vacuum(self) -> None:
         """Delete what the newest refresh doesn't need."""
         told = self.told()
-        for folder in ("segments", "sizes", "dead", "changes", "met"):
+        for folder in ("segments", "sizes", "dead", "changes", "met", "shared"):
             for n in children(self.spark, f"{self.path}/{folder}"):
-                if n not in told.segments or folder in ("changes", "met"):
+                if n not in told.segments or folder in ("changes", "met", "shared"):
                     remove(self.spark, f"{self.path}/{folder}/{n}")
         self.objects.vacuum()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,37 @@ def postings(objects: DataFrame, part: str, key: str, text: str = "text", split:
     return found.withColumn("token", stem(F.col("token"))).groupBy(part, key, "dl", "token").agg(F.sum("tf").alias("tf"))
 
 
+#: Postings that are given back at once.
+_GIVEN = 100_000
+
+
+def _counted(names: list[str]):
+    def given(batch, rows, token, tf, dl):
+        own = [c.take(pa.array(rows, pa.int32())) for c in batch.columns[:-1]]
+        return pa.RecordBatch.from_arrays([*own, pa.array(token, pa.string()), pa.array(tf, pa.int64()), pa.array(dl, pa.int64())], [*names, "token", "tf", "dl"])
+
+    def counted(batches):
+        for batch in batches:
+            held = [], [], [], []
+            for i in range(batch.num_rows):
+                w = batch.column("w")[i].as_py() or []
+                n = Counter(w)
+                for c, more in zip(held, ([i] * len(n), n, n.values(), [len(w)] * len(n))):
+                    c.extend(more)
+                if len(held[0]) >= _GIVEN:
+                    yield given(batch, *held)
+                    held = [], [], [], []
+            yield given(batch, *held)
+
+    return counted
+
+
+def row_postings(objects: DataFrame, part: str, key: str, text: str = "text", split: Callable = tokens) -> DataFrame:
+    """``postings`` of objects that are one row each: counted row by row, without a shuffle."""
+    words = objects.select(part, key, split(F.col(text)).alias("w"))  # no filter on the words: it would split texts once more, and before a join
+    return words.mapInArrow(_counted([part, key]), ", ".join(f"`{c}` {words.schema[c].dataType.simpleString()}" for c in (part, key)) + ", token string, tf long, dl long")
+
+
 def query_terms(queries: DataFrame, query: str, terms: int = 12, split: Callable = tokens, stem: Callable | None = None) -> DataFrame:
     """query, token: the distinct tokens among a query's first ``terms``."""
     asked = queries.select(query, F.explode(F.array_distinct(F.slice(split(F.col("text")), 1, terms))).alias("token"))

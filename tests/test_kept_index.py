@@ -80,3 +80,19 @@ def test_many_refreshes_fold(spark, tmp_path, asked):
     assert len(index.told().segments) < 4 and same(spark, index, held, asked)
     words = {r.token for r in index.postings(spark.createDataFrame([("w2",)], "token string")).collect()}
     assert words == {"w2"}
+
+
+def test_a_refresh_shuffles_no_postings(spark, tmp_path, asked):
+    # rows that share their key count as one text; each task writes what it counted
+    held = texts(4, 300)
+    more = [("a", 900, "w7 w7 w2"), ("a", 900, "w1 w5 w5"), (None, 901, "w1"), (None, 901, None), ("b", None, "w5"), ("b", None, "w30")]
+    held = held | {("a", 900): "w1 w5 w5", (None, 901): "w1", ("b", None): "w30"}
+    rows = spark.createDataFrame([(p, k, t) for (p, k), t in held.items() if k not in (900, 901, None)] + more, "source string, doc_id long, text string").repartition(6)
+    index = KeptIndex(spark, f"{tmp_path}/index", buckets=2)
+    assert index.refresh(rows) == len(held) and same(spark, index, held, asked)
+    parts = spark.read.parquet(f"{tmp_path}/index/segments/refresh-1").select("bucket", F.input_file_name().alias("f")).distinct().groupBy("bucket").count()
+    assert {r["count"] for r in parts.collect()} != {1}  # not dealt out by bucket first
+    rows = rows.where("coalesce(doc_id, 0) <> 900")
+    assert index.refresh(rows) == 1
+    del held[("a", 900)]
+    assert same(spark, index, held, asked)
